@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilframe.llm import quality_rules, url_filter
+from veilframe.llm import compression_classifier, language_id, mixing, packing, quality_rules, url_filter
 from veilframe.llm.common import table
 
 URL_RULES = [url_filter.Rule("com/en/", "block"), url_filter.Rule("example.com/en/7", "allow"), url_filter.Rule("net/de/", "allow"), url_filter.Rule("example.net/de/8", "block"), url_filter.Rule("org/es/", "block")]
@@ -20,8 +20,27 @@ def op8_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.detect(table(spark, sf_dir, "documents"))
+
+
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.assign(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = (op2_language_id, op5_source_mix, op7_url_reputation, op8_line_frequency, op9_best_fit_packing, op10_compression_quality)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_url_reputation, op8_line_frequency)}
+    return {f.__name__: f for f in QUERIES}
 
 
 OP7_SQL = r"""
