@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import GAP, WORD, text_key, words
+from veilframe.llm.common import GAP, WORD, materialize, text_key, words
 
 
 @dataclass(frozen=True)
@@ -53,20 +53,21 @@ def normalised_lines(text: Column) -> Column:
 
 def line_losses(docs: DataFrame, limits: QualityLimits = QualityLimits()) -> DataFrame:
     """Per (source, text): how many words stand in its distinct lines, and how many of them in lines above the limit."""
-    # _d keeps one row per text and host: the copies of a text say nothing about boilerplate.
+    # One row per line, text and host: the copies of a text say nothing about boilerplate.
     texts = docs.select("source", text_key(F.col("text")).alias("_k"), F.explode(normalised_lines(F.col("text"))).alias("_x"))
-    lines = texts.select("source", "_k", "_x.h", "_x.w").groupBy("source", "_k", "h").agg(F.first("w").alias("w"))
-    common = lines.groupBy("source", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limits.max_texts_per_host).select(F.col("source").alias("_src"), F.col("h").alias("_h"))
-    hit = lines.join(common, F.col("source").eqNullSafe(F.col("_src")) & (F.col("h") == F.col("_h")), "left_semi")
-    return hit.groupBy("source", "_k").agg(F.sum("w").alias("lost_words"))
+    # Kept, for the counts and the losses both read it, and the texts should be taken apart once.
+    lines = materialize(texts.select("source", "_k", "_x.h", "_x.w").groupBy("source", "_k", "h").agg(F.first("w").alias("w")))
+    common = lines.groupBy("source", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limits.max_texts_per_host).select(F.col("source").alias("_src"), F.col("h").alias("_h"), F.lit(True).alias("_common"))
+    seen = lines.join(common, F.col("source").eqNullSafe(F.col("_src")) & (F.col("h") == F.col("_h")), "left")
+    return seen.groupBy("source", "_k").agg(F.sum("w").alias("all_words"), F.sum(F.when(F.col("_common"), F.col("w")).otherwise(0)).alias("lost_words"))
 
 
 def judge(docs: DataFrame, limits: QualityLimits = QualityLimits()) -> DataFrame:
     """doc_id, the measures, base_failed, lost_words, kept."""
     docs = docs.select("doc_id", "text", "source")
-    lost = line_losses(docs, limits).select(F.col("source").alias("_src"), F.col("_k").alias("_kk"), "lost_words")
-    rows = measure(docs).withColumns({"_k": text_key(F.col("text")), "_all": F.aggregate(normalised_lines(F.col("text")), F.lit(0), lambda a, x: a + x["w"])}).drop("text")
+    lost = line_losses(docs, limits).select(F.col("source").alias("_src"), F.col("_k").alias("_kk"), "all_words", "lost_words")
+    rows = measure(docs).withColumn("_k", text_key(F.col("text"))).drop("text")
     rows = rows.join(lost, F.col("source").eqNullSafe(F.col("_src")) & (F.col("_k") == F.col("_kk")), "left")
     failed = (F.col("n_words") < limits.min_words) | (100 * F.col("n_repeat_words") > limits.max_repeat_percent * F.col("n_words"))
     lost_words = F.coalesce(F.col("lost_words"), F.lit(0))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~(lost_words > limits.max_lost * F.col("_all"))).alias("kept"), lost_words.cast("long").alias("lost_words"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~(lost_words > limits.max_lost * F.coalesce(F.col("all_words"), F.lit(0)))).alias("kept"), lost_words.cast("long").alias("lost_words"))
