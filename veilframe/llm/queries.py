@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilframe.llm import compression_classifier, language_id, mixing, packing, quality_rules, url_filter
+from veilframe.llm import compression_classifier, edit_fingerprint, language_id, line_dedup, mixing, packing, quality_rules, url_filter
 from veilframe.llm.common import table
 
 URL_RULES = [url_filter.Rule("com/en/", "block"), url_filter.Rule("example.com/en/7", "allow"), url_filter.Rule("net/de/", "allow"), url_filter.Rule("example.net/de/8", "block"), url_filter.Rule("org/es/", "block")]
@@ -24,6 +24,14 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.detect(table(spark, sf_dir, "documents"))
 
 
+def op4_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+def op6_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_fingerprint.fingerprint(table(spark, sf_dir, "documents"))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.assign(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -36,7 +44,7 @@ def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = (op2_language_id, op5_source_mix, op7_url_reputation, op8_line_frequency, op9_best_fit_packing, op10_compression_quality)
+QUERIES = (op2_language_id, op4_site_spread, op5_source_mix, op6_edit_fingerprint, op7_url_reputation, op8_line_frequency, op9_best_fit_packing, op10_compression_quality)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -111,5 +119,28 @@ from m
 """
 
 
+OP4_SQL = r"""
+with d as (select row_number() over () as r, doc_id, source, text from documents),
+texts as (select text, min(doc_id) as first_doc, arg_min(coalesce(source, chr(0)), doc_id) as site from d where text is not null group by text),
+lines as (
+  select distinct text, first_doc, site, lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))) as x
+  from (select text, first_doc, site, unnest(string_split(text, chr(10))) as x from texts) where regexp_matches(x, '[^\x20\x09-\x0D]')
+), spread as (
+  select x, min(first_doc) as owner from lines group by x
+  having count(distinct site) >= case when len(string_split(x, ' ')) >= 5 then 3 else 10 end
+), gone as (select l.text, l.x from lines l join spread s using (x) where l.first_doc <> s.owner),
+parts as (
+  select r, text, unnest(string_split(text, chr(10))) as y, unnest(range(len(string_split(text, chr(10))))) as i from d where text is not null
+), marked as (
+  select p.r, p.y, p.i, g.x is null as stays
+  from parts p left join gone g on g.text = p.text and g.x = lower(trim(regexp_replace(p.y, '[\x20\x09-\x0D]+', ' ', 'g')))
+), clean as (
+  select r, coalesce(string_agg(y, chr(10) order by i) filter (where stays), '') as t, count(*) filter (where not stays) as lines_removed from marked group by r
+)
+select d.doc_id, case when d.text is null then null else c.t end as text, d.source, coalesce(c.lines_removed, 0)::bigint as lines_removed
+from d left join clean c using (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_reputation": OP7_SQL, "op8_line_frequency": OP8_SQL}
+    return {"op4_site_spread": OP4_SQL, "op7_url_reputation": OP7_SQL, "op8_line_frequency": OP8_SQL}
