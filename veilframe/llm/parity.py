@@ -75,3 +75,13 @@ class Bands:
         value = np.bitwise_xor.reduceat(hashes, new)
         need = self.differ(len(hashes), partner) + 1
         return mix(value[:need] ^ mix(at[new][:need] + np.uint64(band << 44)))
+
+    def emitted(self, n: int, band: int) -> int:
+        """Keys that a set of n elements emits in a band."""
+        own = self.band(n)
+        return self.differ(n, min(self.most(n), self.limits[own + 1] - 1) if band == own else self.most(n)) + 1
+
+    def need(self, a: int, b: int) -> int:
+        """Keys that linked sets of these sizes share at least."""
+        band = max(self.band(a), self.band(b))
+        return min(self.emitted(a, band), self.emitted(b, band)) - self.differ(a, b)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilframe.llm import compression_classifier, edit_fingerprint, language_id, line_dedup, mixing, packing, quality_rules, url_filter, wrappers
+from veilframe.llm import compression_classifier, edit_fingerprint, language_id, line_dedup, mixing, ngram_join, packing, quality_rules, url_filter, wrappers
 from veilframe.llm.common import table
 
 URL_RULES = [url_filter.Rule("com/en/", "block"), url_filter.Rule("example.com/en/7", "allow"), url_filter.Rule("net/de/", "allow"), url_filter.Rule("example.net/de/8", "block"), url_filter.Rule("org/es/", "block")]
@@ -20,6 +20,10 @@ def op8_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op1_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.detect(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = (op2_language_id, op3_html_wrappers, op4_site_spread, op5_source_mix, op6_edit_fingerprint, op7_url_reputation, op8_line_frequency, op9_best_fit_packing, op10_compression_quality)
+QUERIES = (op1_parity_join, op2_language_id, op3_html_wrappers, op4_site_spread, op5_source_mix, op6_edit_fingerprint, op7_url_reputation, op8_line_frequency, op9_best_fit_packing, op10_compression_quality)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
