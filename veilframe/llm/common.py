@@ -43,3 +43,12 @@ def text_key(text: Column) -> Column:
 def in_training(doc_id: Column) -> Column:
     """Three quarters of the rows may be learned from; the rest are held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 != 2, F.lit(False))
+
+
+#: Up to so many rows a counted table of short rows is broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A materialised table with a broadcast hint if it has few rows."""
+    return F.broadcast(df) if df.count() <= rows else df

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import materialize, text_key, words
+from veilframe.llm.common import materialize, small, text_key, words
 
 
 @dataclass(frozen=True)
@@ -131,12 +131,14 @@ def assign(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
 def mix_rows(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The mixed corpus: the columns of ``docs``, once per copy, with shard and position key; sort by both to read a shard."""
-    got = assign(docs, mix).where("copies > 0").groupBy("doc_id", "source", "key").agg(F.flatten(F.collect_list("shards")).alias("_shards"))
-    got = got.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("key").alias("_key"), F.posexplode("_shards").alias("_copy", "_shard"))
-    # Rows that repeat share one line of copies: the first of them carries it.
-    first = docs.withColumn("_k", text_key(F.col("text"))).dropDuplicates(["doc_id", "source", "_k"])
+    got = assign(docs, mix).groupBy("doc_id", "source", "key").agg(F.flatten(F.collect_list("shards")).alias("_shards"), F.count(F.lit(1)).alias("_rows")).where(F.size("_shards") > 0)
+    got = materialize(got.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("key").alias("_key"), "_shards", "_rows"))
     on = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_k") == F.col("_key"))
-    return first.join(got, on).select(*docs.columns, F.col("_shard").alias("mix_shard"), F.xxhash64(F.lit(mix.seed), "_id", "_copy", "_key").alias("mix_order"))
+    rows = docs.withColumn("_k", text_key(F.col("text"))).join(small(got), on)
+    single = rows.where("_rows = 1")
+    if not got.where("_rows > 1").isEmpty():  # rows that repeat share one line of copies: one of them carries it
+        single = single.unionByName(rows.where("_rows > 1").dropDuplicates(["doc_id", "source", "_k"]))
+    return single.select(*docs.columns, F.posexplode("_shards").alias("_copy", "mix_shard"), "_key").select(*docs.columns, "mix_shard", F.xxhash64(F.lit(mix.seed), "doc_id", "_copy", "_key").alias("mix_order"))
 
 
 def shuffle_shards(mixed: DataFrame, mix: Mix = Mix()) -> DataFrame:

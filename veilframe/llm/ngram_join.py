@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import materialize, text_key
+from veilframe.llm.common import BROADCAST_ROWS, materialize, small, text_key
 from veilframe.llm.components import components
 from veilframe.llm.parity import Bands
 from veilframe.llm.shingles import Shingler
@@ -43,7 +43,7 @@ class JoinSettings:
     ratio: float = 1.6
     #: Texts that one task compares with a least set before the group continues in another block.
     block: int = 512
-    broadcast_rows: int = 1_000_000
+    broadcast_rows: int = BROADCAST_ROWS
 
     @property
     def bands(self) -> Bands:
@@ -57,11 +57,6 @@ class JoinSettings:
         return F.floor(100 * n / F.lit(self.percent) + 1e-9).cast("long")
 
 
-def small(df: DataFrame, s: JoinSettings) -> DataFrame:
-    """A materialised table with a broadcast hint if it has few rows."""
-    return F.broadcast(df) if df.count() <= s.broadcast_rows else df
-
-
 def sketch(docs: DataFrame, s: JoinSettings) -> DataFrame:
     """Per row: doc_id, key of the text, set size n, two checksums of the set, and its sketch keys."""
     bands = s.bands
@@ -86,7 +81,7 @@ def sketch(docs: DataFrame, s: JoinSettings) -> DataFrame:
 def texts_of(docs: DataFrame, wanted: DataFrame, s: JoinSettings) -> DataFrame:
     """The rows of ``wanted`` (with _doc and _tk) beside the text of the document that they name."""
     rows = docs.select("doc_id", "text").withColumn("tk", text_key(F.col("text")))
-    return rows.join(small(wanted, s), (F.col("tk") == F.col("_tk")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).drop("doc_id", "tk", "_doc", "_tk")
+    return rows.join(small(wanted, s.broadcast_rows), (F.col("tk") == F.col("_tk")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).drop("doc_id", "tk", "_doc", "_tk")
 
 
 def compare(docs: DataFrame, pairs: DataFrame, sets: DataFrame, s: JoinSettings) -> DataFrame:
@@ -222,7 +217,7 @@ def unique_shingles(docs: DataFrame, sets: DataFrame, s: JoinSettings) -> DataFr
 def find_links(docs: DataFrame, sets: DataFrame, keyed: DataFrame, s: JoinSettings) -> DataFrame | None:
     """(id, label) of the sets that have links; None if no two sets share a key."""
     common = materialize(keyed.groupBy("key").agg(F.min("sid").alias("p"), F.max("sid").alias("_q")).where("p <> _q").select("key", "p"))
-    members = materialize(keyed.join(small(common, s), "key"))
+    members = materialize(keyed.join(small(common, s.broadcast_rows), "key"))
     if members.isEmpty():
         return None
     own = members.groupBy("sid").agg(F.collect_list("key").alias("keys"))  # a set's own keys at most
@@ -251,16 +246,33 @@ def find_links(docs: DataFrame, sets: DataFrame, keyed: DataFrame, s: JoinSettin
 
 
 def join_components(docs: DataFrame, s: JoinSettings = JoinSettings()) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, and tk, the key of the text."""
+    """Per row: doc_id, tk (key of the text), n_shingles, component_id, stays (whether it is the component's first text; of
+    repeated rows all are)."""
     sk = materialize(sketch(docs, s).withColumn("rid", F.monotonically_increasing_id()))
-    sets = materialize(sk.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("rid").alias("sid"), F.min("doc_id").alias("first_doc"), F.min_by("tk", "rid").alias("tk"), F.min_by("doc_id", "rid").alias("doc")))
-    keyed = sk.join(small(sets.select("sid"), s), F.col("rid") == F.col("sid"), "left_semi").select(F.col("rid").alias("sid"), F.explode("keys").alias("key"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk")).alias("first")
+    sets = materialize(sk.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("rid").alias("sid"), first, F.min_by("tk", "rid").alias("tk"), F.min_by("doc_id", "rid").alias("doc")))
+    keyed = sk.join(small(sets.select("sid"), s.broadcast_rows), F.col("rid") == F.col("sid"), "left_semi").select(F.col("rid").alias("sid"), F.explode("keys").alias("key"))
     labels = find_links(docs, sets, keyed, s)
-    result = sets.select("n", "s1", "s2", "sid", F.col("first_doc").alias("component_id"))
+    result = sets.select("n", "s1", "s2", "sid", "first")
     if labels is not None:
-        named = sets.select("sid", "first_doc").join(labels.withColumnRenamed("id", "sid"), "sid")
-        least = named.groupBy("label").agg(F.min("first_doc").alias("_least"))
-        result = result.join(named.join(least, "label").select("sid", "_least"), "sid", "left").withColumn("component_id", F.coalesce("_least", "component_id")).drop("_least")
-    result = materialize(result.drop("sid"))
-    joined = sk.select("doc_id", "tk", "n", "s1", "s2").join(small(result, s), ["n", "s1", "s2"], "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "tk")
+        named = sets.select("sid", "first").join(labels.withColumnRenamed("id", "sid"), "sid")
+        least = named.groupBy("label").agg(F.min("first").alias("_least"))
+        result = result.join(named.join(least, "label").select("sid", "_least"), "sid", "left").withColumn("first", F.coalesce("_least", "first")).drop("_least")
+    result = materialize(result.select("n", "s1", "s2", F.col("first.doc_id").alias("_id"), F.col("first.tk").alias("_tk")))
+    joined = sk.select("doc_id", "tk", "n", "s1", "s2").join(small(result, s.broadcast_rows), ["n", "s1", "s2"], "left")
+    alone = F.col("n") == 0
+    return joined.select("doc_id", "tk", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("_id")).alias("component_id"), (alone | (F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tk") == F.col("_tk")))).alias("stays"))
+
+
+def keep_first(docs: DataFrame, s: JoinSettings = JoinSettings()) -> DataFrame:
+    """The rows of ``docs`` less all but the first document of every component. Texts without shingles stay."""
+    rows = materialize(join_components(docs, s).select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), "n_shingles", "stays"))
+    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row_key") == F.col("_tk"))
+    keyed = docs.withColumn("_row_key", text_key(F.col("text")))
+    gone = materialize(rows.where("not stays").select("_id", "_tk").distinct())
+    kept = keyed.join(small(gone, s.broadcast_rows), on, "left_anti")
+    again = materialize(rows.where("stays and n_shingles > 0").groupBy("_id", "_tk").count().where("count > 1").select("_id", "_tk"))
+    if not again.isEmpty():  # repeated rows of a document that stays: one of them does
+        again = small(again, s.broadcast_rows)
+        kept = kept.join(again, on, "left_anti").unionByName(kept.join(again, on, "left_semi").dropDuplicates(["doc_id", "_row_key"]))
+    return kept.select(*docs.columns)
