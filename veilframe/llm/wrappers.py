@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilframe.llm.common import materialize, small
 from veilframe.llm.url_filter import split_url
 
 
@@ -311,22 +312,35 @@ def host_profiles(pages: DataFrame, s: Sampling = Sampling()) -> DataFrame:
     own = pages.where(F.col("html").isNotNull()).select(split_url(F.col("url"))[0].alias("host"), F.xxhash64("html").alias("h"))
     # The first pages of a host by hash; the rank's limit is applied in every task before rows move.
     picked = own.distinct().withColumn("k", F.row_number().over(Window.partitionBy("host").orderBy("h"))).where(F.col("k") <= s.pages_per_host).select(F.col("host").alias("_host"), F.col("h").alias("_h"))
-    full = pages.where(F.col("html").isNotNull()).withColumns({"host": split_url(F.col("url"))[0], "h": F.xxhash64("html")})
-    sample = full.join(picked, (F.col("host") == F.col("_host")) & (F.col("h") == F.col("_h"))).select("host", "h", "html").dropDuplicates(["host", "h"])
+    full = pages.where(F.col("html").isNotNull()).select("html", split_url(F.col("url"))[0].alias("host"), F.xxhash64("html").alias("h"))
+    sample = full.join(small(materialize(picked)), (F.col("host") == F.col("_host")) & (F.col("h") == F.col("_h"))).select("host", "h", "html")
 
-    def learn(rows):
-        import pandas as pd
-
-        rows = rows.sort_values("h")
-        about = profile(infer(list(rows["html"]), s)) if len(rows) >= s.least_pages else {}
-        return pd.DataFrame({"host": [rows["host"].iloc[0]], "profile": [json.dumps(about)]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def learn(host: str, found: dict[int, str]) -> pa.RecordBatch:
+            about = profile(infer([found[h] for h in sorted(found)], s)) if len(found) >= s.least_pages else {}
+            return pa.RecordBatch.from_arrays([pa.array([host], pa.string()), pa.array([json.dumps(about)], pa.string())], names=["host", "profile"])
 
-    return sample.groupBy("host").applyInPandas(learn, "host string, profile string")
+        host, found = None, {}
+        for b in batches:
+            for k in range(b.num_rows):
+                name, h = b.column(0)[k].as_py(), b.column(1)[k].as_py()
+                if name != host and found:
+                    yield learn(host, found)
+                    found = {}
+                host = name
+                if h not in found:  # copies of a page say nothing new
+                    found[h] = b.column(2)[k].as_py()
+        if found:
+            yield learn(host, found)
+
+    # Copies of the picked pages meet here, so they are first reduced to one per task and host.
+    once = sample.dropDuplicates(["host", "h"])
+    return once.repartition("host").sortWithinPartitions("host", "h").mapInArrow(run, "host string, profile string")
 
 
 def extract_pages(pages: DataFrame, s: Sampling = Sampling()) -> DataFrame:
     """Per page: page_id, url, text, n_chars."""
-    profiles = host_profiles(pages, s).select(F.col("host").alias("_host"), "profile")
+    profiles = small(materialize(host_profiles(pages, s).select(F.col("host").alias("_host"), "profile")))
     rows = pages.select("page_id", "url", "html", split_url(F.col("url"))[0].alias("host")).join(profiles, F.col("host") == F.col("_host"), "left")
     kind = pages.schema["page_id"].dataType.simpleString()
 
