@@ -52,3 +52,15 @@ BROADCAST_ROWS = 1_000_000
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A materialised table with a broadcast hint if it has few rows."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def map_texts(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` over long texts: batches of fewer rows than Spark's default of 10,000, so that neither the JVM's buffers nor
+    the Python worker hold tens of megabytes at once. A session's own smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, BATCH_ROWS)
+    return df.mapInArrow(run, schema)
+
+
+BATCH_ROWS = 1000

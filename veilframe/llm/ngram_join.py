@@ -5,6 +5,7 @@ sets that reach the similarity must agree in one of the parts that both emit as
 partial aggregation, and those that a single set has are dropped. Candidates are then settled in an order that never writes
 all pairs of a group:
 
+0. Sets that share fewer keys than a link forces are dropped.
 1. In every key's group each set is compared with the group's least set, and the links found are contracted to components.
 2. Groups that lie in one component are done. In the others, exact bounds remove sets that can't link any more: shingles that no
    other open set has count fully towards every difference, and differences to the group's least set bound those among the
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import BROADCAST_ROWS, materialize, small, text_key
+from veilframe.llm.common import BROADCAST_ROWS, map_texts, materialize, small, text_key
 from veilframe.llm.components import components
 from veilframe.llm.parity import Bands
 from veilframe.llm.shingles import Shingler
@@ -75,7 +76,7 @@ def sketch(docs: DataFrame, s: JoinSettings) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), n, s1, s2, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))], names=["doc_id", "tk", "n", "s1", "s2", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_key(F.col("text")).alias("tk"), "text").mapInArrow(run, f"doc_id {kind}, tk long, n long, s1 long, s2 long, keys array<long>")
+    return map_texts(docs.select("doc_id", text_key(F.col("text")).alias("tk"), "text"), run, f"doc_id {kind}, tk long, n long, s1 long, s2 long, keys array<long>")
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame, s: JoinSettings) -> DataFrame:
@@ -113,7 +114,7 @@ def compare(docs: DataFrame, pairs: DataFrame, sets: DataFrame, s: JoinSettings)
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b", "na", "nb", "delta"])
 
     routed = texts_of(docs, routes, s).select("sid", "b", "block", "role", "n", "text")
-    return routed.repartition("b", "block").sortWithinPartitions("b", "block", "role", "sid").mapInArrow(run, "a long, b long, na long, nb long, delta long")
+    return map_texts(routed.repartition("b", "block").sortWithinPartitions("b", "block", "role", "sid"), run, "a long, b long, na long, nb long, delta long")
 
 
 def links_of(compared: DataFrame, s: JoinSettings) -> DataFrame:
@@ -131,7 +132,7 @@ def likely(pairs: DataFrame, cands: DataFrame, s: JoinSettings) -> DataFrame:
             keep = [shared(bands, na, nb, np.array(ka), np.array(kb)) is not None for na, nb, ka, kb in zip(*(b.column(i).to_pylist() for i in range(2, 6)), strict=True)]
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return rows.select("a", "b", "na", "nb", "ka", "kb").mapInArrow(run, "a long, b long")
+    return map_texts(rows.select("a", "b", "na", "nb", "ka", "kb"), run, "a long, b long")
 
 
 def shared(bands: Bands, na: int, nb: int, ka: np.ndarray, kb: np.ndarray) -> int | None:
@@ -194,7 +195,7 @@ def remaining_pairs(rows: DataFrame, s: JoinSettings) -> DataFrame:
             yield from emit(key, group)
 
     dealt = rows.select("key", "sid", "n", "u", "delta", "comp", "keys").repartition("key").sortWithinPartitions("key", "sid")
-    return dealt.mapInArrow(run, "a long, b long")
+    return map_texts(dealt, run, "a long, b long")
 
 
 def unique_shingles(docs: DataFrame, sets: DataFrame, s: JoinSettings) -> DataFrame:
@@ -210,7 +211,7 @@ def unique_shingles(docs: DataFrame, sets: DataFrame, s: JoinSettings) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.concatenate(found).view(np.int64))], names=["sid", "h"])
 
     texts = texts_of(docs, sets.select("sid", F.col("doc").alias("_doc"), F.col("tk").alias("_tk")), s).select("sid", "text")
-    alone = texts.mapInArrow(run, "sid long, h long").groupBy("h").agg(F.min("sid").alias("sid"), F.max("sid").alias("_other")).where("sid = _other")
+    alone = map_texts(texts, run, "sid long, h long").groupBy("h").agg(F.min("sid").alias("sid"), F.max("sid").alias("_other")).where("sid = _other")
     return alone.groupBy("sid").agg(F.count(F.lit(1)).alias("u"))
 
 
@@ -221,7 +222,14 @@ def find_links(docs: DataFrame, sets: DataFrame, keyed: DataFrame, s: JoinSettin
     if members.isEmpty():
         return None
     own = members.groupBy("sid").agg(F.collect_list("key").alias("keys"))  # a set's own keys at most
-    cands = materialize(sets.join(own, "sid").select("sid", "n", "doc", "tk", F.sort_array("keys").alias("keys")))
+    # A set that shares fewer keys than a link forces has none; what it leaves alone in a group goes too.
+    shares = (F.col("n") < s.bands.sure) | (F.size("keys") > s.bands.spare)
+    cands = materialize(sets.join(own, "sid").where(shares).select("sid", "n", "doc", "tk", F.sort_array("keys").alias("keys")))
+    members = members.select("key", "sid").join(small(cands.select("sid"), s.broadcast_rows), "sid", "left_semi")
+    groups = members.groupBy("key").agg(F.min("sid").alias("p"), F.max("sid").alias("_q")).where("p <> _q").select("key", "p")
+    members = materialize(members.join(groups, "key"))
+    if members.isEmpty():
+        return None
     first = materialize(likely(members.where("sid <> p").select(F.col("sid").alias("a"), F.col("p").alias("b")).distinct(), cands, s))
     compared = materialize(compare(docs, first, cands, s))
     links = links_of(compared, s)

@@ -26,6 +26,7 @@ class Bands:
 
     percent: int = 85
     ratio: float = 1.6
+    spare: int = 4
 
     @property
     def share(self) -> float:
@@ -51,7 +52,7 @@ class Bands:
     def parts(self, band: int) -> int:
         """Parts of a band's sketches: what its largest sets may differ in, and some more for parts left empty."""
         top = self.limits[band + 1] - 1
-        return math.ceil(1.12 * (self.differ(top, top) + 1)) + 6
+        return math.ceil(1.12 * (self.differ(top, top) + 1)) + 12 + self.spare
 
     def differ(self, a: int, b: int) -> int:
         """Most elements in which linked sets of these sizes differ."""
@@ -73,15 +74,22 @@ class Bands:
         at = ((hashes >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)  # hashes are sorted, and so are their parts
         new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         value = np.bitwise_xor.reduceat(hashes, new)
-        need = self.differ(len(hashes), partner) + 1
+        need = self.differ(len(hashes), partner) + 1 + self.spare
         return mix(value[:need] ^ mix(at[new][:need] + np.uint64(band << 44)))
 
     def emitted(self, n: int, band: int) -> int:
-        """Keys that a set of n elements emits in a band."""
+        """Keys that a set of n elements emits in a band, unless it fills fewer parts."""
         own = self.band(n)
-        return self.differ(n, min(self.most(n), self.limits[own + 1] - 1) if band == own else self.most(n)) + 1
+        return self.differ(n, min(self.most(n), self.limits[own + 1] - 1) if band == own else self.most(n)) + 1 + self.spare
 
     def need(self, a: int, b: int) -> int:
-        """Keys that linked sets of these sizes share at least."""
+        """Keys that linked sets of these sizes share at least. Sets of few elements may fill fewer parts than they are to emit:
+        of those only one shared key is asked. From ``sure`` elements on, the odds of that are below one in ten million."""
+        if min(a, b) < self.sure:
+            return 1
         band = max(self.band(a), self.band(b))
         return min(self.emitted(a, band), self.emitted(b, band)) - self.differ(a, b)
+
+    @property
+    def sure(self) -> int:
+        return 60

@@ -35,8 +35,8 @@ class Shingler:
 
     def __init__(self, size: int):
         self.size = size
-        self.up = _powers(_BASE, 1 << 20)
-        self.down = _powers(_BACK, 1 << 20)
+        self.up = _powers(_BASE, 1 << 19)
+        self.down = _powers(_BACK, 1 << 19)
 
     def _grow(self, n: int) -> None:
         if len(self.up) < n:
@@ -49,7 +49,7 @@ class Shingler:
         for t in texts:
             lot.append(b" ".join((t or "").encode().lower().split()))
             held += len(lot[-1])
-            if held > 1 << 20:
+            if held > 1 << 18:
                 yield from self._sets(lot)
                 lot, held = [], 0
         yield from self._sets(lot)
