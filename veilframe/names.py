@@ -33,7 +33,8 @@ def alias_token(name: str) -> str:
 def quote(name: str, dialect: str = "SPARK") -> str:
     """Quotes an identifier: back-ticks for Spark, MySQL, OceanBase and ClickHouse, double quotes for DM and Oracle."""
     mark = '"' if dialect.upper() in ("DM", "ORACLE12") else "`"
-    return mark + strip(name).replace(mark, mark * 2) + mark
+    bare = name[1:-1] if len(name) > 1 and name[0] + name[-1] in ("``", '""', "[]") else name
+    return mark + bare.replace(mark, mark * 2) + mark
 
 
 def lookup_code(prefix: str, table: str, prop: str = "") -> str:
