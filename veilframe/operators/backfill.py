@@ -312,6 +312,7 @@ class Task:
 
     def slice(self, df: DataFrame, s: dict) -> None:
         """Derives, stages and checks the next rows after the last bound."""
+        self.folder = s["folder"]
         at = self.cursor(df)
         after = df if s["last"] is None else df.where(at > self.bound(df, s["last"]))
         top = after.select(at.alias("c")).orderBy("c").limit(self.definition.batch).agg(F.max("c").alias("c")).first()["c"]
@@ -385,7 +386,7 @@ class Task:
                 rows = rows.withColumn(label or kept, F.coalesce(before, value))
             if rule.separate:
                 new = only_new(external_rows(rows.select(F.col("_plain").alias("plain")), rule, algorithms), self.engine.read(rule.storage_table), rule.hash_column)
-                self.engine.store.append(rule.storage_table, new)
+                self.add_external(rule.storage_table, new)
                 label = named(rows, rule.column)
                 rows = rows.withColumns({"_changed": F.col("_changed") | value.isNotNull(), label: F.when(value.isNotNull(), algorithms.hash(rule.hash).column(value)).otherwise(F.col(f"`{label}`").cast("string"))})
             else:
@@ -406,6 +407,12 @@ class Task:
             rows = self.derive_json(rows, rule)
         return rows
 
+    def add_external(self, table: str, new: DataFrame) -> None:
+        """Appends external rows as written files, so that later slices read them and don't derive them anew."""
+        path = f"{self.folder}/external-{normal(table)}-{uuid4().hex}"
+        new.write.parquet(path)
+        self.engine.store.append(table, self.engine.spark.read.parquet(path))
+
     def derive_json(self, rows: DataFrame, rule: JsonRule) -> DataFrame:
         """Values at the paths become hashes; hashes that the external table knows are left alone."""
         import pandas as pd
@@ -427,7 +434,7 @@ class Task:
 
         udf = F.pandas_udf(run, "json string, writes array<struct<path:string,hash:string,plain:string>>", F.PandasUDFType.SCALAR)
         rows = rows.withColumn("_json", udf(F.col(f"`{label}`"), known)).drop(*[f"_k{i}" for i in range(len(refs))])
-        self.engine.store.append(rule.storage_table, only_new(json_external_rows(rows.select("_json.writes"), rule, algorithms), store, rule.hash_column))
+        self.add_external(rule.storage_table, only_new(json_external_rows(rows.select("_json.writes"), rule, algorithms), store, rule.hash_column))
         return rows.withColumns({"_changed": F.col("_changed") | (F.size("_json.writes") > 0), label: F.when(F.size("_json.writes") > 0, F.col("_json.json")).otherwise(F.col(f"`{label}`"))}).drop("_json")
 
     def verify(self, staged: DataFrame) -> None:

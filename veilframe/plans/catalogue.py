@@ -298,20 +298,25 @@ def migrated(spark: SparkSession, sf_dir: str, **options) -> tuple[Engine, backf
     return e, backfill.Task(e, backfill.Definition("user_account", ("id",), backup={"id_card": "id_card_backup"}, **options), backfill.MemoryState()).run()
 
 
+def third(spark: SparkSession, sf_dir: str) -> int:
+    """Slices of a third of the table, so that every size has some."""
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").count() // 3 + 1
+
+
 def migrate_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, _ = migrated(spark, sf_dir, batch=400)
+    e, _ = migrated(spark, sf_dir, batch=third(spark, sf_dir))
     return e.sql("select id, phone, id_card, email, id_card_backup from user_account")
 
 
 def migrate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, report = migrated(spark, sf_dir, batch=400)
+    _, report = migrated(spark, sf_dir, batch=third(spark, sf_dir))
     return report.frame(spark)
 
 
 def migrate_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run that stops after its first slice, and one that goes on from there."""
     e = Engine(spark, rules(), Algorithms.standard({"aes": "catalogue-aes-key"}), tables={"user_account": plain_table(spark, sf_dir)})
-    state, what = backfill.MemoryState(), backfill.Definition("user_account", ("id",), batch=500, backup={"id_card": "id_card_backup"})
+    state, what = backfill.MemoryState(), backfill.Definition("user_account", ("id",), batch=third(spark, sf_dir), backup={"id_card": "id_card_backup"})
     first = backfill.Task(e, what, state).run(most_slices=1)
     second = backfill.Task(e, what, state).run()
     return first.frame(spark).unionByName(second.frame(spark)).select("scanned", "migrated", "status")
@@ -409,7 +414,7 @@ SPECIAL: dict[str, tuple[Query, str | None]] = {
     "safe_log_map": (safe_log_map, SAFE_SQL),
     "migrate_values": (migrate_values, f"select id, phone, id_card, email, id_card as id_card_backup from {U} u"),
     "migrate_report": (migrate_report, "select count(*)::bigint as total, count(*)::bigint as scanned, count(*)::bigint as migrated, 0::bigint as skipped, count(*)::bigint as verified, min(c_custkey)::varchar as range_start, max(c_custkey)::varchar as range_end, 'COMPLETED' as status from customer"),
-    "migrate_resume": (migrate_resume, "select least(500, count(*))::bigint as scanned, least(500, count(*))::bigint as migrated, case when count(*) > 500 then 'RUNNING' else 'COMPLETED' end as status from customer union all select count(*)::bigint, count(*)::bigint, 'COMPLETED' from customer"),
+    "migrate_resume": (migrate_resume, "select (count(*) // 3 + 1)::bigint as scanned, (count(*) // 3 + 1)::bigint as migrated, 'RUNNING' as status from customer union all select count(*)::bigint, count(*)::bigint, 'COMPLETED' from customer"),
     "ddl_generate": (ddl_statements, None),
     "reject_matrix": (reject_matrix, "select * from (values " + ", ".join(f"('{k}', '{v}')" for k, v in REFUSAL_CODES.items()) + ") t(name, code)"),
     "stream_protect": (streamed, f"select id, phone, id_card from {U} u where phone is not null"),
