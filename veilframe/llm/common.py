@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,7 +62,27 @@ def map_texts(df: DataFrame, run, schema) -> DataFrame:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
         df.sparkSession.conf.set(key, BATCH_ROWS)
-    return df.mapInArrow(run, schema)
+
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a Python worker outlives its tasks, and would hold on to what the largest one used."""
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 BATCH_ROWS = 1000

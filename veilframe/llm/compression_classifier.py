@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import in_training
+from veilframe.llm.common import in_training, map_texts
 
 
 @dataclass(frozen=True)
@@ -147,7 +147,7 @@ def score(docs: DataFrame, model: Model, s: Settings = Settings()) -> DataFrame:
 
     rows = docs.select("doc_id", (~in_training(F.col("doc_id")) & F.col("doc_id").isNotNull()).alias("held_out"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double").withColumn("predicted", (F.col("score") >= s.threshold).cast("int"))
+    return map_texts(rows, run, f"doc_id {kind}, held_out boolean, score double").withColumn("predicted", (F.col("score") >= s.threshold).cast("int"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -165,4 +165,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> D
         for b in batches:
             yield b.filter(pa.array([scorer.score(x.as_py()) >= s.threshold for x in b.column(place)], pa.bool_()))
 
-    return docs.select(*names).mapInArrow(run, docs.schema)
+    return map_texts(docs.select(*names), run, docs.schema)

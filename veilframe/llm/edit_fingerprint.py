@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import text_key
+from veilframe.llm.common import map_texts, text_key
 from veilframe.llm.shingles import mix
 
 
@@ -121,7 +121,7 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", text_key(F.col("text")))
     place = F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf")))
     steps = [(i + 1) / parts for i in range(parts - 1)]
-    cuts = docs.select(F.percentile_approx(F.col("doc_id").cast("double"), F.array(*map(F.lit, steps)) if steps else F.array(F.lit(0.5)), F.lit(10000)).alias("c")).first()["c"] or []
+    cuts = docs.select(F.percentile_approx(F.col("doc_id").cast("double"), F.array(*map(F.lit, steps)) if steps else F.array(F.lit(0.5)), F.lit(10000)).alias("c")).first()["c"] or [0.0]
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
     bucket = Bucketizer(splits=splits, inputCol="_at", outputCol="bucket", handleInvalid="keep")
     rows = bucket.transform(rows.withColumn("_at", place)).drop("_at").withColumn("bucket", F.col("bucket").cast("int"))
@@ -179,7 +179,7 @@ def fingerprint(docs: DataFrame, w: Walk = Walk()) -> DataFrame:
             yield finish(lot, follow)
 
     dealt = with_next(docs, 4 * n).repartition(n, "bucket").sortWithinPartitions("bucket", "mark", F.col("doc_id").asc_nulls_first(), "key")
-    return dealt.mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return map_texts(dealt, run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def near_pairs(prints: DataFrame, least: float = 0.8, bands: int = 24, per_band: int = 4, seed: int = 3) -> DataFrame:
@@ -207,4 +207,4 @@ def near_pairs(prints: DataFrame, least: float = 0.8, bands: int = 24, per_band:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(likeness(x, y), pa.float64())], names=["a", "b", "likeness"])
 
     kind = prints.schema["id"].dataType.simpleString()
-    return pairs.mapInArrow(verify, f"a {kind}, b {kind}, likeness double").where(F.col("likeness") >= least).unionByName(copies)
+    return map_texts(pairs, verify, f"a {kind}, b {kind}, likeness double").where(F.col("likeness") >= least).unionByName(copies)

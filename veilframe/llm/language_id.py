@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import in_training
+from veilframe.llm.common import in_training, map_texts
 
 
 @dataclass(frozen=True)
@@ -58,7 +58,7 @@ def windows(data: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
     flat = np.full(n * size, 32, np.uint8)
     flat[: len(data)] = np.frombuffer(data, np.uint8)
     held = np.full(n, size, np.float32)
-    held[-1] = len(data) - (n - 1) * size
+    held[-1:] = len(data) - (n - 1) * size
     return flat.reshape(n, size), held
 
 
@@ -208,7 +208,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", (~in_training(F.col("doc_id")) & F.col("doc_id").isNotNull()).alias("held_out"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return map_texts(rows, run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def detect(docs: DataFrame, s: Settings = Settings()) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import GAP, WORD, materialize, text_key
+from veilframe.llm.common import BROADCAST_ROWS, GAP, WORD, map_texts, materialize, small, text_key
 
 
 @dataclass(frozen=True)
@@ -42,7 +42,7 @@ def line_hashes(text: Column) -> Column:
 
 
 def spread_lines(docs: DataFrame, s: Spread = Spread()) -> tuple[DataFrame, DataFrame]:
-    """The lines of the distinct texts (key, h, site, first) and the spread ones among them (h, sites, first).
+    """The lines of the distinct texts (key, h, w, first, site) and the spread ones among them (h, sites, owner).
 
     ``first`` orders texts: the least doc_id of a text and its key.
     """
@@ -51,21 +51,24 @@ def spread_lines(docs: DataFrame, s: Spread = Spread()) -> tuple[DataFrame, Data
     exploded = rows.select("key", F.explode(line_hashes(F.col("text"))).alias("x")).select("key", "x.h", "x.w").groupBy("key", "h").agg(F.first("w").alias("w"))
     lines = materialize(exploded.join(firsts, "key"))
     least = F.when(F.col("w") >= s.min_words, s.min_sites).otherwise(s.short_min_sites)
-    sketched = lines.groupBy("h").agg(F.hll_sketch_agg("site", F.lit(s.sketch_bits)).alias("sketch"), F.min("w").alias("w"), F.count(F.lit(1)).alias("texts"))
+    sketched = lines.groupBy("h").agg(F.hll_sketch_agg("site", F.lit(s.sketch_bits)).alias("sketch"), F.min("w").alias("w"), F.count(F.lit(1)).alias("texts"), F.min("first").alias("owner"))
     # A line of fewer texts than sites needed can't reach them.
-    likely = sketched.where(F.col("texts") >= least).select("h", F.hll_sketch_estimate("sketch").alias("estimate"), least.alias("least")).where(F.col("estimate") * s.near >= F.col("least"))
+    likely = sketched.where(F.col("texts") >= least).select("h", "owner", F.hll_sketch_estimate("sketch").alias("estimate"), least.alias("least")).where(F.col("estimate") * s.near >= F.col("least"))
     likely = materialize(likely)
     near = likely.where(F.col("estimate") <= F.col("least") * s.near)
-    exact = lines.select("h", "site").join(near, "h").groupBy("h", "least", "site").agg(F.lit(1).alias("one")).groupBy("h", "least").agg(F.count("one").alias("sites")).where(F.col("sites") >= F.col("least")).select("h", "sites")
+    exact = lines.select("h", "site").join(small(near), "h").groupBy("h", "least", "site").agg(F.lit(1).alias("one")).groupBy("h", "least").agg(F.count("one").alias("sites")).where(F.col("sites") >= F.col("least")).select("h", "sites")
     sure = likely.where(F.col("estimate") > F.col("least") * s.near).select("h", F.col("estimate").alias("sites"))
-    chosen = exact.unionAll(sure)
-    return lines, lines.select("h", "first").join(chosen, "h").groupBy("h").agg(F.first("sites").alias("sites"), F.min("first").alias("owner"))
+    chosen = materialize(exact.unionAll(sure).join(likely.select("h", "owner"), "h"))
+    return lines, small(chosen)
 
 
 def dedup_lines(docs: DataFrame, s: Spread = Spread()) -> DataFrame:
     """The columns of ``docs`` with cleaned texts, and lines_removed (long)."""
     lines, spread = spread_lines(docs, s)
-    losers = lines.join(spread, "h").where(F.col("first") != F.col("owner")).groupBy(F.col("key").alias("_drop_key")).agg(F.collect_set("h").alias("_drop"))  # a text's own lines at most
+    gone = materialize(lines.join(spread, "h").where(F.col("first") != F.col("owner")).select("key", "h"))
+    losers = gone.groupBy(F.col("key").alias("_drop_key")).agg(F.collect_set("h").alias("_drop"))  # a text's own lines at most
+    if gone.count() <= BROADCAST_ROWS:
+        losers = F.broadcast(losers)
     names = docs.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     place = names.index("text")
@@ -93,4 +96,4 @@ def dedup_lines(docs: DataFrame, s: Spread = Spread()) -> DataFrame:
     # The hashes of a text's lines, in order and with null for lines without a word, only where some line goes.
     ordered = F.transform(F.split("text", "\n", -1), lambda x: F.when(x.rlike(WORD), F.xxhash64(F.lower(F.btrim(F.regexp_replace(x, GAP, " "))))))
     joined = docs.withColumn("_row_key", text_key(F.col("text"))).join(losers, F.col("_row_key") == F.col("_drop_key"), "left")
-    return joined.select(*names, F.when(F.col("_drop").isNotNull(), ordered).alias("_hashes"), "_drop").mapInArrow(run, f"{kinds}, lines_removed long")
+    return map_texts(joined.select(*names, F.when(F.col("_drop").isNotNull(), ordered).alias("_hashes"), "_drop"), run, f"{kinds}, lines_removed long")

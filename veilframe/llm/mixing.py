@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,10 +73,8 @@ def split_quotas(quotas: list[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def _fill(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of one block: takes documents in hash order while they fit, then smaller ones into what is left."""
-    rows = rows.sort_values(["draw", "doc_id", "key"], kind="stable").reset_index(drop=True)
-    size, room = rows["size"].to_numpy(), int(rows["room"].iloc[0]) if len(rows) else 0
+def fill(size: np.ndarray, room: int) -> np.ndarray:
+    """Of one block: which documents are taken, in order while they fit, then smaller ones into what is left."""
     chosen = np.cumsum(size) <= room
     room -= int(size[chosen].sum())
     for i in sorted(np.flatnonzero(~chosen & (size <= room)), key=lambda i: -size[i]):
@@ -87,8 +85,26 @@ def _fill(rows: pd.DataFrame) -> pd.DataFrame:
     rest = [i for i in np.flatnonzero(~chosen) if size[i] < 2 * room]
     if rest:
         chosen[min(rest, key=lambda i: (abs(int(size[i]) - room), i))] = True
-    rows["extra"] = chosen
-    return rows[["row", "extra"]]
+    return chosen
+
+
+def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks come one after the other, sorted; each is about block_docs rows of numbers."""
+    whose, rows = None, []
+
+    def done() -> pa.RecordBatch:
+        size = np.array([r[1] for r in rows], np.int64)
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(fill(size, rows[0][2]), pa.bool_())], names=["row", "extra"])
+
+    for b in batches:
+        for i, *r in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+            if i != whose and rows:
+                yield done()
+                rows = []
+            whose = i
+            rows.append(r)
+    if rows:
+        yield done()
 
 
 def assign(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
@@ -120,7 +136,8 @@ def assign(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     own = own.join(extra, "_i")
     # Only the block in which a source's target falls is looked at document by document.
     part = own.where("over > 0 and block = cut").select("_i", "row", "doc_id", "key", "draw", "size", "room")
-    chosen = part.groupBy("_i").applyInPandas(_fill, "row long, extra boolean")
+    part = part.repartition("_i").sortWithinPartitions("_i", "draw", "doc_id", "key")
+    chosen = part.select("_i", "row", "size", "room").mapInArrow(_filled, "row long, extra boolean")
     own = own.join(chosen, "row", "left")
     once_more = (F.col("over") > 0) & ((F.col("block") < F.col("cut")) | F.coalesce("extra", F.lit(False)))
     own = own.withColumn("copies", F.col("times") + once_more.cast("int"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import materialize
+from veilframe.llm.common import map_texts, materialize
 
 CAPACITY = 2048
 PIECES = "doc_id {kind}, piece int, start long, length long, ids_crc32 long"
@@ -145,7 +145,7 @@ def tokenize(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES.format(kind=kind))
+    return map_texts(docs.select("doc_id", "text"), run, PIECES.format(kind=kind))
 
 
 def rank_by_length(pieces: DataFrame) -> DataFrame:
@@ -176,7 +176,7 @@ def place(pieces: DataFrame, runs: list[Run]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), pa.array(at[:, 2] + k // at[:, 3]), pa.array(at[:, 4] + k % at[:, 3] * length)], names=[*names, "sequence_id", "offset"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return pieces.mapInArrow(run, f"{kinds}, sequence_id long, offset long")
+    return map_texts(pieces, run, f"{kinds}, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:

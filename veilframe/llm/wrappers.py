@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import materialize, small
+from veilframe.llm.common import map_texts, materialize, small
 from veilframe.llm.url_filter import split_url
 
 
@@ -335,7 +335,7 @@ def host_profiles(pages: DataFrame, s: Sampling = Sampling()) -> DataFrame:
 
     # Copies of the picked pages meet here, so they are first reduced to one per task and host.
     once = sample.dropDuplicates(["host", "h"])
-    return once.repartition("host").sortWithinPartitions("host", "h").mapInArrow(run, "host string, profile string")
+    return map_texts(once.repartition("host").sortWithinPartitions("host", "h"), run, "host string, profile string")
 
 
 def extract_pages(pages: DataFrame, s: Sampling = Sampling()) -> DataFrame:
@@ -357,4 +357,4 @@ def extract_pages(pages: DataFrame, s: Sampling = Sampling()) -> DataFrame:
                 texts.append(extract(source.as_py(), known[key]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return rows.select("page_id", "url", "html", "profile").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return map_texts(rows.select("page_id", "url", "html", "profile"), run, f"page_id {kind}, url string, text string, n_chars long")
