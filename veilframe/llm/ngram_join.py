@@ -5,12 +5,12 @@ sets that reach the similarity must agree in one of the parts that both emit as
 partial aggregation, and those that a single set has are dropped. Candidates are then settled in an order that never writes
 all pairs of a group:
 
-0. Sets that share fewer keys than a link forces are dropped.
-1. In every key's group each set is compared with the group's least set, and the links found are contracted to components.
-2. Groups that lie in one component are done. In the others, exact bounds remove sets that can't link any more: shingles that no
-   other open set has count fully towards every difference, and differences to the group's least set bound those among the
-   rest, as the symmetric difference is a metric.
-3. Pairs of different components that pass all bounds are compared, each at the first key that it shares.
+1. Sets that share fewer keys than a link forces are dropped, and so are those whose shingles that no other candidate has are too
+   many for any link: such shingles count fully towards every difference. Sets that only share a passage end here.
+2. In every key's group each set is compared with the group's least set, and the links found are contracted to components.
+3. Groups that lie in one component are done. In the others the differences to the least set bound those among the rest, as the
+   symmetric difference is a metric, and sets that can't link any more are removed.
+4. Pairs of different components that pass all bounds are compared, each at the first key that it shares.
 
 A comparison is exact, on whole texts. Texts travel to the comparisons in blocks of bounded size per least set, so one group of
 copies, however large, is spread over many tasks. Small tables (counted first, up to ``broadcast_rows``) are broadcast, larger ones joined by
@@ -143,14 +143,15 @@ def shared(bands: Bands, na: int, nb: int, ka: np.ndarray, kb: np.ndarray) -> in
 
 def prune(rows: DataFrame, more: Column, least: Column, s: JoinSettings) -> DataFrame:
     """Drops rows of a key's group that no other row can reach: ``more`` + the least of ``least`` in the group lower-bounds
-    every difference. Groups that are left with one component go as a whole. Only aggregates by key move between tasks."""
+    every difference. Only aggregates by key move between tasks, pre-aggregated."""
     for _ in range(2):
-        of = rows.groupBy("key").agg(F.min(least).alias("_low"), F.max("n").alias("_top"))
-        rows = rows.join(of, "key").where(more + F.col("_low") <= s.differ(F.col("n"), F.least("_top", s.most(F.col("n"))))).drop("_low", "_top")
-    return open_groups(rows)
+        of = rows.groupBy("key").agg(F.min(least).alias("_low"), F.max("n").alias("_top"), F.min("sid").alias("_s1"), F.max("sid").alias("_s2")).where("_s1 <> _s2")
+        rows = rows.join(of, "key").where(more + F.col("_low") <= s.differ(F.col("n"), F.least("_top", s.most(F.col("n"))))).drop("_low", "_top", "_s1", "_s2")
+    return rows
 
 
 def open_groups(rows: DataFrame) -> DataFrame:
+    """The rows of groups that hold several components."""
     several = rows.groupBy("key").agg(F.min("comp").alias("_c1"), F.max("comp").alias("_c2")).where("_c1 <> _c2").select("key")
     return materialize(rows.join(several, "key"))
 
@@ -198,38 +199,40 @@ def remaining_pairs(rows: DataFrame, s: JoinSettings) -> DataFrame:
     return map_texts(dealt, run, "a long, b long")
 
 
-def unique_shingles(docs: DataFrame, sets: DataFrame, s: JoinSettings) -> DataFrame:
-    """(sid, u): how many shingles of each of the sets no other of them has."""
+def unique_shingles(docs: DataFrame, sets: DataFrame, s: JoinSettings, every: int) -> DataFrame:
+    """(sid, u): how many shingles of each of the sets no other of them has, at least. With ``every`` above 1 only so many of the
+    hashes are counted: a bound from half of the shingles is as valid and settles most sets at half the cost."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(s.words)
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                found = list(shingler.sets(part.column(1).to_pylist()))
+                found = [x[x % np.uint64(every) == 0] for x in shingler.sets(part.column(1).to_pylist())]
                 owner = np.repeat(part.column(0).to_numpy(), [len(x) for x in found])
                 yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.concatenate(found).view(np.int64))], names=["sid", "h"])
 
     texts = texts_of(docs, sets.select("sid", F.col("doc").alias("_doc"), F.col("tk").alias("_tk")), s).select("sid", "text")
-    alone = map_texts(texts, run, "sid long, h long").groupBy("h").agg(F.min("sid").alias("sid"), F.max("sid").alias("_other")).where("sid = _other")
+    # Nearly all hashes differ, so a partial aggregation would only widen what moves.
+    alone = map_texts(texts, run, "sid long, h long").repartition("h").groupBy("h").agg(F.min("sid").alias("sid"), F.max("sid").alias("_other")).where("sid = _other")
     return alone.groupBy("sid").agg(F.count(F.lit(1)).alias("u"))
 
 
 def find_links(docs: DataFrame, sets: DataFrame, keyed: DataFrame, s: JoinSettings) -> DataFrame | None:
-    """(id, label) of the sets that have links; None if no two sets share a key."""
-    common = materialize(keyed.groupBy("key").agg(F.min("sid").alias("p"), F.max("sid").alias("_q")).where("p <> _q").select("key", "p"))
+    """(id, label) of the sets that have links; None if no two sets share enough keys."""
+    common = materialize(keyed.groupBy("key").agg(F.min("sid").alias("_p"), F.max("sid").alias("_q")).where("_p <> _q").select("key"))
     members = materialize(keyed.join(small(common, s.broadcast_rows), "key"))
-    if members.isEmpty():
-        return None
     own = members.groupBy("sid").agg(F.collect_list("key").alias("keys"))  # a set's own keys at most
-    # A set that shares fewer keys than a link forces has none; what it leaves alone in a group goes too.
+    # A set that shares fewer keys than a link forces has none.
     shares = (F.col("n") < s.bands.sure) | (F.size("keys") > s.bands.spare)
     cands = materialize(sets.join(own, "sid").where(shares).select("sid", "n", "doc", "tk", F.sort_array("keys").alias("keys")))
-    members = members.select("key", "sid").join(small(cands.select("sid"), s.broadcast_rows), "sid", "left_semi")
-    groups = members.groupBy("key").agg(F.min("sid").alias("p"), F.max("sid").alias("_q")).where("p <> _q").select("key", "p")
-    members = materialize(members.join(groups, "key"))
-    if members.isEmpty():
+    if cands.isEmpty():
         return None
+    # Sets that share a passage but have too much of their own go before anything is compared.
+    counted = materialize(cands.select("sid", "n", "doc", "tk").join(unique_shingles(docs, cands, s, 2), "sid", "left").withColumn("u", F.coalesce("u", F.lit(0))).where(F.col("u") <= s.differ(F.col("n"), s.most(F.col("n")))))
+    members = members.join(small(counted.select("sid", "n", "u"), s.broadcast_rows), "sid")
+    members = prune(members, F.col("u"), F.col("u"), s)
+    members = materialize(members.join(members.groupBy("key").agg(F.min("sid").alias("p")), "key"))
     first = materialize(likely(members.where("sid <> p").select(F.col("sid").alias("a"), F.col("p").alias("b")).distinct(), cands, s))
     compared = materialize(compare(docs, first, cands, s))
     links = links_of(compared, s)
@@ -238,15 +241,17 @@ def find_links(docs: DataFrame, sets: DataFrame, keyed: DataFrame, s: JoinSettin
     rows = open_groups(rows)
     if rows.isEmpty():
         return labels
-    hot = materialize(rows.select("sid").distinct().join(cands, "sid"))
-    alone = unique_shingles(docs, hot, s)
-    rows = rows.join(hot.select("sid", "n"), "sid").join(alone, "sid", "left").withColumn("u", F.coalesce("u", F.lit(0)))
-    rows = prune(rows, F.col("u"), F.col("u"), s)
+    # Few sets are left: all of their shingles are counted. The least sets are among them, so what is unique is not in those.
+    hot = materialize(rows.select("sid").unionAll(rows.select("p")).distinct().join(cands, "sid"))
+    alone = unique_shingles(docs, hot, s, 1)
+    rows = rows.drop("u").join(alone, "sid", "left").withColumn("u", F.coalesce("u", F.lit(0)))
+    rows = open_groups(prune(rows, F.col("u"), F.col("u"), s))
     known = compared.select(F.col("a").alias("sid"), F.col("b").alias("p"), "delta")
+    # Pairs with the least set that could be told apart without comparing them still need their difference as a bound.
     lack = materialize(rows.select("sid", "p").distinct().join(known, ["sid", "p"], "left_anti").select(F.col("sid").alias("a"), F.col("p").alias("b")))
     if not lack.isEmpty():
         known = known.unionByName(compare(docs, lack, cands, s).select(F.col("a").alias("sid"), F.col("b").alias("p"), "delta"))
-    rows = prune(rows.join(known, ["sid", "p"]), F.col("delta"), 2 * F.col("u") - F.col("delta"), s)
+    rows = open_groups(prune(rows.join(known, ["sid", "p"]), F.col("delta"), 2 * F.col("u") - F.col("delta"), s))
     rest = materialize(remaining_pairs(rows.join(cands.select("sid", "keys"), "sid"), s))
     if rest.isEmpty():
         return labels
