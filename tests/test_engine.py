@@ -169,3 +169,27 @@ def test_filters_reach_the_scan(spark, rules, tmp_path):
     e.insert("u", spark.createDataFrame([(1, "a", "m", "x")], "id int, phone string, mail string, note string"))
     plan = e.query("select id from u where phone = 'a'").physical._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     assert "EqualTo(phone_h" in plan and "ReadSchema: struct<id:int,phone_h:string>" in plan
+
+
+def test_log_line(engine):
+    line = engine.query("select id from u where phone = ? and note = ?", ["13800000001", "secret"]).log_line
+    assert "13800000001" not in line and "secret" not in line and "=***" in line and engine.algorithms.hash_value("sha256", "13800000001") in line
+
+
+def test_payloads(spark, small_dir):
+    import json
+
+    from veilframe.operators.payload import resolve_payloads
+
+    e = catalogue.engine(spark, small_dir, tables=("user_account",))
+    m = e.lookup_meta("user_account").where("id = 3").first()
+    phone, card = m.phone.asDict(), m.idCard.asDict()
+    payloads = [
+        {"a": 1, "phone": "138****", "sensitiveSubmitMeta": {"phone": phone}},
+        {"idCard": {"state": "masked", "value": "x", "lookupMeta": card}, "phone": {"state": "changed", "value": "139"}},
+        {"phone": "kept", "sensitiveSubmitMeta": {"phone": phone | {"hash": "0"}}},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(p)) for i, p in enumerate(payloads)] + [(3, None), (4, "no json"), (5, "[1]")], "i int, payload string")
+    got = {r.i: r.payload for r in resolve_payloads(e, df).collect()}
+    assert json.loads(got[0]) == {"a": 1, "phone": "13800000003"} and json.loads(got[1]) == {"idCard": "110101000000000003", "phone": "139"}
+    assert json.loads(got[2]) == {"phone": "kept"} and (got[3], got[4], got[5]) == (None, "no json", "[1]")

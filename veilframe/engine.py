@@ -45,6 +45,12 @@ class Frame:
     def warnings(self) -> list[str]:
         return self.compiled.warnings
 
+    @property
+    def log_line(self) -> str:
+        """The statement for logs: hashes of parameters are shown, anything else is hidden."""
+        shown = [f"{k}={v if isinstance(v, str) and len(v) == 64 and set(v) <= set('0123456789abcdef') else '***'}" for k, v in dict(self.compiled.args).items()]
+        return f"{self.compiled.sql} /* params: {'|'.join(shown)} */" if shown else self.compiled.sql
+
     def reveal(self) -> DataFrame:
         return reveal(self.physical, self.outputs, self.compiled.order, self.engine.read, self.engine.algorithms)
 
