@@ -38,12 +38,12 @@ def restore_json(df: DataFrame, label: str, rule: JsonRule, read: Read, algorith
     store = read(rule.storage_table)
     if store is None:
         return df
-    rows = df.withColumn("_row", F.monotonically_increasing_id())
     hashes = F.array_compact(F.array(*[F.get_json_object(F.col(f"`{label}`"), p.path) for p in rule.paths]))
-    by_path = {p.path: p for p in rule.paths}
     refs = df.select(F.explode(hashes).alias("_ref")).distinct()
-    cipher = algorithms.cipher(next(iter(by_path.values())).cipher)
-    known = refs.join(store.groupBy(F.col(rule.hash_column).alias("_ref")).agg(F.any_value(F.col(rule.cipher_column)).alias("_cipher")), "_ref").select("_ref", cipher.decrypt(F.col("_cipher")).alias("_plain"))
+    # Paths may use several ciphers; only the one that made a ciphertext opens it.
+    names = sorted({p.cipher for p in rule.paths})
+    plain = algorithms.cipher(names[0]).decrypt(F.col("_cipher")) if len(names) == 1 else F.coalesce(*[algorithms.cipher(n).try_decrypt(F.col("_cipher")) for n in names])
+    known = refs.join(store.groupBy(F.col(rule.hash_column).alias("_ref")).agg(F.any_value(F.col(rule.cipher_column)).alias("_cipher")), "_ref").select("_ref", plain.alias("_plain"))
     rows = df.withColumn("_refs", hashes)
     # A row has a few references, one per path at most: they are looked up one after the other.
     for i in range(len(rule.paths)):
