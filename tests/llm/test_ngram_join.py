@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from veilframe.llm import components, ngram_join
-from veilframe.llm.parity import Bands
+from veilframe.llm.parity import Bands, bit_sketch, folded, hamming
 from veilframe.llm.shingles import Shingler
 
 
@@ -131,3 +131,13 @@ def test_components(spark):
     own = {x for a, b in links if a != b for x in (a, b)}
     got = {r.id: r.label for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: find(x) for x in own}
+
+
+def test_bit_sketches_bound_differences():
+    rng = np.random.default_rng(2)
+    for n in (3, 17, 64, 200, 900):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        for drop, add in ((0, 0), (1, 0), (n // 4, n // 4), (n // 2, 2 * n)):
+            b = np.unique(np.concatenate([a[drop:], rng.integers(0, 1 << 63, add, dtype=np.uint64)]))
+            rows = folded([bit_sketch(a), bit_sketch(b)])
+            assert hamming(rows[0], rows[1:])[0] <= len(a) + len(b) - 2 * len(np.intersect1d(a, b))

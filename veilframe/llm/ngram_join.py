@@ -10,7 +10,8 @@ all pairs of a group:
 2. In every key's group each set is compared with the group's least set, and the links found are contracted to components.
 3. Groups that lie in one component are done. In the others the differences to the least set bound those among the rest, as the
    symmetric difference is a metric, and sets that can't link any more are removed.
-4. Pairs of different components that pass all bounds are compared, each at the first key that it shares.
+4. Pairs of different components that pass all bounds, the Hamming distance of finer bit sketches among them, are compared, each at the
+   first key that it shares.
 
 A comparison is exact, on whole texts. Texts travel to the comparisons in blocks of bounded size per least set, so one group of
 copies, however large, is spread over many tasks. Small tables (counted first, up to ``broadcast_rows``) are broadcast, larger ones joined by
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from veilframe.llm.common import BROADCAST_ROWS, map_texts, materialize, small, text_key
 from veilframe.llm.components import components
-from veilframe.llm.parity import Bands
+from veilframe.llm.parity import Bands, bit_sketch, folded, hamming
 from veilframe.llm.shingles import Shingler
 
 
@@ -163,13 +164,16 @@ def remaining_pairs(rows: DataFrame, s: JoinSettings) -> DataFrame:
     def pairs(key: int, group: list[tuple]) -> Iterator[tuple[int, int]]:
         sid, n, u, delta, comp = (np.array(c, np.int64) for c in zip(*[x[:5] for x in group], strict=True))
         keys = [np.array(x[5], np.int64) for x in group]
+        bits = folded([x[6] for x in group])
         far = 2 * u - delta
         share = 100 + s.percent
         for i in range(1, len(group)):
             limit = (100 - s.percent) * (n[i] + n[:i])
             fits = (comp[:i] != comp[i]) & (share * (u[i] + u[:i]) <= limit) & (share * (delta[i] + far[:i]) <= limit) & (share * (delta[:i] + far[i]) <= limit)
             fits &= 100 * np.minimum(n[:i], n[i]) >= s.percent * np.maximum(n[:i], n[i])
-            for j in np.flatnonzero(fits):
+            near = np.flatnonzero(fits)
+            near = near[share * hamming(bits[i], bits[near]) <= limit[near]]
+            for j in near:
                 if shared(bands, int(n[i]), int(n[j]), keys[i], keys[j]) == key:
                     yield int(max(sid[i], sid[j])), int(min(sid[i], sid[j]))
 
@@ -186,7 +190,7 @@ def remaining_pairs(rows: DataFrame, s: JoinSettings) -> DataFrame:
 
         key, group = None, []
         for b in batches:
-            for k, *x in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
+            for k, *x in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
                 if k != key and group:
                     yield from emit(key, group)
                     group = []
@@ -195,7 +199,7 @@ def remaining_pairs(rows: DataFrame, s: JoinSettings) -> DataFrame:
         if group:
             yield from emit(key, group)
 
-    dealt = rows.select("key", "sid", "n", "u", "delta", "comp", "keys").repartition("key").sortWithinPartitions("key", "sid")
+    dealt = rows.select("key", "sid", "n", "u", "delta", "comp", "keys", "bits").repartition("key").sortWithinPartitions("key", "sid")
     return map_texts(dealt, run, "a long, b long")
 
 
@@ -218,10 +222,25 @@ def unique_shingles(docs: DataFrame, sets: DataFrame, s: JoinSettings, every: in
     return alone.groupBy("sid").agg(F.count(F.lit(1)).alias("u"))
 
 
+def bit_sketches(docs: DataFrame, sets: DataFrame, s: JoinSettings) -> DataFrame:
+    """(sid, bits): the bit sketch of each of the sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(s.words)
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([bit_sketch(x) for x in shingler.sets(part.column(1).to_pylist())], pa.binary())], names=["sid", "bits"])
+
+    wanted = materialize(sets.select("sid", F.col("doc").alias("_doc"), F.col("tk").alias("_tk")))
+    return map_texts(texts_of(docs, wanted, s).select("sid", "text"), run, "sid long, bits binary").dropDuplicates(["sid"])
+
+
 def find_links(docs: DataFrame, sets: DataFrame, keyed: DataFrame, s: JoinSettings) -> DataFrame | None:
     """(id, label) of the sets that have links; None if no two sets share enough keys."""
-    common = materialize(keyed.groupBy("key").agg(F.min("sid").alias("_p"), F.max("sid").alias("_q")).where("_p <> _q").select("key"))
-    members = materialize(keyed.join(small(common, s.broadcast_rows), "key"))
+    # Counted with partial sums; joined by shuffle at every size, where a key of many sets can be split over tasks.
+    common = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key")
+    members = materialize(keyed.join(common, "key"))
     own = members.groupBy("sid").agg(F.collect_list("key").alias("keys"))  # a set's own keys at most
     # A set that shares fewer keys than a link forces has none.
     shares = (F.col("n") < s.bands.sure) | (F.size("keys") > s.bands.spare)
@@ -252,7 +271,7 @@ def find_links(docs: DataFrame, sets: DataFrame, keyed: DataFrame, s: JoinSettin
     if not lack.isEmpty():
         known = known.unionByName(compare(docs, lack, cands, s).select(F.col("a").alias("sid"), F.col("b").alias("p"), "delta"))
     rows = open_groups(prune(rows.join(known, ["sid", "p"]), F.col("delta"), 2 * F.col("u") - F.col("delta"), s))
-    rest = materialize(remaining_pairs(rows.join(cands.select("sid", "keys"), "sid"), s))
+    rest = materialize(remaining_pairs(rows.join(cands.select("sid", "keys"), "sid").join(bit_sketches(docs, rows.select("sid").distinct().join(cands, "sid"), s), "sid"), s))
     if rest.isEmpty():
         return labels
     return components(links.unionByName(links_of(compare(docs, rest, cands, s), s)))

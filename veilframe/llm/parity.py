@@ -20,6 +20,30 @@ import numpy as np
 from veilframe.llm.shingles import mix
 
 
+def bit_sketch(hashes: np.ndarray) -> bytes:
+    """A set as parities of its elements over four bits or more per element, a power of two in all."""
+    bits = 1 << max(6, (4 * len(hashes) - 1).bit_length())
+    at = (hashes >> np.uint64(20)) & np.uint64(bits - 1)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Bit sketches as rows of one length: a longer one folds onto itself, which keeps every element's parity."""
+    least = min(map(len, sketches))
+    rows = []
+    for s in sketches:
+        x = np.frombuffer(s, np.uint8)
+        while len(x) > least:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        rows.append(x)
+    return np.stack(rows)
+
+
+def hamming(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Bits in which a sketch differs from others: at most the elements in which the sets differ."""
+    return np.bitwise_count(one ^ many).sum(1, dtype=np.int64)
+
+
 @dataclass(frozen=True)
 class Bands:
     """Integer similarity threshold in percent, and the ratio of successive band limits."""
