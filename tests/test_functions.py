@@ -10,6 +10,7 @@ from veilframe.errors import ConfigurationError, ErrorCode
 from veilframe.functions import jsonpaths, masks, sm4, textmask
 from veilframe.functions.algorithms import Algorithms
 from veilframe.rules import JsonPathRule, JsonRule
+from veilframe.sources.shared import shared_folder
 
 
 def apply(spark, f, values):
@@ -74,7 +75,8 @@ def test_ciphers(spark, name):
     c = Algorithms.standard({"aes": "k", "sm4": "k"}).cipher(name)
     values = ["13800138000", "", "é漢字 " * 50, None, "x"]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
-    sealed = df.withColumn("c", c.encrypt(F.col("v"))).localCheckpoint()
+    shared_folder(spark)
+    sealed = df.withColumn("c", c.encrypt(F.col("v"))).checkpoint()
     assert [r.v for r in sealed.orderBy("i").select(c.decrypt(F.col("c")).alias("v")).collect()] == values
     texts = [r.c for r in sealed.collect() if r.c]
     assert len(set(texts)) == 4
