@@ -7,23 +7,28 @@ from pyspark.sql import functions as F
 
 from veilframe.llm.common import materialize
 
+EDGES_PER_TASK = 200_000
+
 
 def components(links: DataFrame) -> DataFrame:
     """(id, label) of every id in ``links`` (a, b): label is the least id reachable.
 
     Large-star links every greater neighbour to the least one, small-star every lesser; both keep the components and end in
-    stars. Every round is one pre-aggregated minimum and one join by id, and is checkpointed.
+    stars. Every round is one pre-aggregated minimum and one join by id, and is checkpointed. The rounds run over as many partitions as
+    the number of links asks for, so that a small graph doesn't leave thousands of tiny files.
     """
     edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
+    parts = max(1, -(-edges.count() // EDGES_PER_TASK))
     while True:
+        edges = edges.coalesce(parts)
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").coalesce(parts).distinct().coalesce(parts)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select("a", "b", "m")
+        small = large.join(low, "a").select("a", "b", "m").coalesce(parts)
         edges = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(small.select("a", F.col("m").alias("b"))).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        edges = materialize(edges)
+        edges = materialize(edges.coalesce(parts))
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             break
