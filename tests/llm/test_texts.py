@@ -40,6 +40,19 @@ def test_union_free_wrapper():
     assert wrappers.expression(wrappers.infer([a, b])) == "<body><ul>(<li>#TEXT</li>)+</ul>(<h2>only\\ here</h2>)?<p>fixed</p><div>#TEXT</div></body>"
 
 
+def test_slots_choose_the_text(spark):
+    """Template lines inside an article go, also among paragraphs of their shape; teaser articles don't hide the real text."""
+    story = "<body><article><h1>Title {n}</h1><p>Own text {n} of the page</p><p>Tell your friends about us</p><div class=x>Printed at home</div></article></body>"
+    cards = "<body><div class=story><p>The long text number {n} of this page, which is told at length</p><p>More of number {n} here</p></div><article>Card {n}</article></body>"
+    pages = [(i, f"http://h.example.com/{i}", story.format(n=i)) for i in range(40)] + [(100 + i, f"http://h.example.com/c{i}", cards.format(n=i)) for i in range(9)]
+    pages += [(200, "http://h.example.com/7", story.format(n=7))] * 50  # copies don't make template text
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
+    got = {r.page_id: r.text for r in wrappers.extract_pages(df).collect()}
+    assert all(got[i] == f"Title {i}\nOwn text {i} of the page" for i in range(40)) and got[200] == got[7]
+    assert wrappers.infer(["<div>" * 3000 + "deep"] * 3) and wrappers.extract("<div>" * 3000 + "deep") == "deep"
+    assert all(got[100 + i] == f"The long text number {i} of this page, which is told at length\nMore of number {i} here" for i in range(9))
+
+
 def test_given_pages(spark, mid_dir):
     import html
     import re

@@ -1,33 +1,38 @@
 """HTML extraction with wrappers inferred from the pages of a host.
 
-The pages of a host come from a few templates. A wrapper is a union-free regular expression over their tokens, inferred from a
-bounded sample of distinct pages per host: adjacent siblings of the same shape fold into a repeated group, then pages are
-aligned one after the other; where two streams agree the wrapper keeps the token, where texts differ it gets a text slot,
-and tokens that one side lacks become an optional group. What a wrapper says about a host: texts that stand at a place on every
-sampled page are template text, and the place that holds most of the text in slots is the host's main place.
-
-A page is then read as a whole. Scripts, styles and markup never reach the text; elements that their names, roles or class and id
-words mark as menus, headers, footers, sidebars, notices, adverts, forms or comments are left out; template text is left out; what
-remains inside the article, or else the main element, or else the host's main place, or else the body, is the text. Character references
-are decoded, white space inside a block becomes one space, blocks are joined by newlines, nothing else is dropped.
+The pages of a host come from a few templates; pages of a host whose bodies have the same kinds of children are one cluster. A
+wrapper is a union-free regular expression over the tokens of all distinct pages of a cluster: adjacent siblings of the same
+shape fold into a repeated group, then pages are aligned one after the other; where two streams agree the wrapper keeps the token,
+where texts differ it gets a text slot, and tokens that one side lacks become an optional group. Wrappers align with each
+other as pages do, so tasks infer wrappers of their own pages, which are then merged in two rounds. A text place also counts its pages and
+its commonest texts (Misra-Gries counters, which merge): inside a repeated group these tell the template's lines from slots.
+
+A page is then read as a whole and matched against the wrapper of its cluster. Scripts, styles and markup never reach the text;
+elements that their names, roles or class and id words mark as menus, headers, footers, sidebars, notices, adverts, forms or
+comments are left out; text that the wrapper matches as template text is left out. Of the rest, what stands in the cluster's
+main place, the deepest one that holds most of the text in slots, is the text. The article or main elements are a hint: where one
+holds half of that text or more, its borders are taken instead. Character references are decoded, white space inside a block
+becomes one space, blocks are joined by newlines, nothing else is dropped.
 
 Edge cases: null and empty html give an empty text; a null url has an empty host; unclosed and stray tags, truncated pages and
-unquoted attributes are read as far as they make sense; pages of a host without a wrapper are read by names alone;
+unquoted attributes are read as far as they make sense; pages of a cluster of fewer than ``least_pages`` distinct pages share
+a wrapper with the host's other such pages, and where these are too few are read by names alone;
 repeated rows are read each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.llm.common import map_texts, materialize, small
@@ -36,11 +41,17 @@ from veilframe.llm.url_filter import split_url
 
 @dataclass(frozen=True)
 class Sampling:
-    """How many distinct pages of a host are aligned, and how many tokens of each."""
+    """From how many distinct pages on a wrapper counts, and what makes template text."""
 
-    pages_per_host: int = 6
-    tokens_per_page: int = 3000
     least_pages: int = 3
+    #: Share of a place's pages that carry a template text, and counters of commonest texts per place.
+    template_share: float = 0.9
+    counters: int = 32
+    #: Share of the text in slots that the main place holds at least.
+    main_share: float = 0.7
+    #: A task hands on its wrappers when it has so many, and a wrapper's parts are first merged in so many heaps.
+    held: int = 200
+    heaps: int = 16
 
 
 # Fixed values of the HTML standard and common usage.
@@ -90,14 +101,10 @@ class Element:
     path: str
 
 
-def events(source: str, limit: int | None = None) -> Iterator[tuple[str, Element | None, str]]:
+def events(source: str) -> Iterator[tuple[str, Element | None, str]]:
     """(kind, element, text) of a page: 'open' and 'close' of elements and 'text' inside them; end tags are implied where HTML does."""
     stack: list[Element] = []
-    n = 0
     for m in TOKEN.finditer(source):
-        n += 1
-        if limit and n > limit:
-            break
         if m["text"] is not None:
             yield "text", stack[-1] if stack else None, m["text"]
         elif m["name"]:
@@ -144,9 +151,19 @@ class Block:
     main: bool
 
 
-def page_blocks(source: str | None) -> list[Block]:
-    """The text blocks of a page in order, decoded and with white space collapsed."""
+# A wrapper is a list of items: ("tag", key, items, pages), ("text", literal or None for a slot, characters, pages, counters of
+# texts by hash), ("opt", items), ("rep", items). A page's own stream has the same tags, and ("text", number of its block).
+
+
+#: Elements nested deeper stand beside each other in a wrapper.
+DEEP = 80
+
+
+def read_page(source: str | None) -> tuple[list[Block], list]:
+    """The text blocks of a page in order, decoded and with white space collapsed, and its tokens as nested items."""
     out: list[Block] = []
+    root: list = []
+    stack = [root]
     parts: list[str] = []
     owner: Element | None = None
 
@@ -155,6 +172,7 @@ def page_blocks(source: str | None) -> list[Block]:
         text = " ".join(entities.unescape("".join(parts)).split()) if parts else ""
         if text:
             e = owner or Element("", "", False, False, False, "")
+            stack[-1].append(("text", len(out)))
             out.append(Block(text, e.path, e.aside, e.article, e.main))
         parts, owner = [], None
 
@@ -169,11 +187,32 @@ def page_blocks(source: str | None) -> list[Block]:
             parts.append(" ")
         elif kind == "break" or e is not None and e.name in BLOCK:
             flush()
+            if kind == "open" and len(stack) > DEEP:
+                stack.append(stack[-1])
+            elif kind == "open":
+                item = ("tag", e.key, [], 1)
+                stack[-1].append(item)
+                stack.append(item[2])
+            elif kind == "close" and len(stack) > 1:
+                stack.pop()
     flush()
-    return out
+    return out, root
+
+
+def page_blocks(source: str | None) -> list[Block]:
+    return read_page(source)[0]
 
 
-# A wrapper is a list of items: ("tag", key, items), ("text", literal or None for a slot, characters), ("opt", items), ("rep", items).
+def cluster(items: list) -> str:
+    """The template of a page: the kinds of its body's children."""
+    inner = items
+    while (deeper := [x for x in inner if x[0] == "tag" and x[1].partition(".")[0] in ("html", "body")]):
+        inner = [y for x in deeper for y in x[2]]
+    return digest(" ".join(sorted({x[1] for x in inner if x[0] == "tag"})))
+
+
+def digest(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).hexdigest()
 
 
 def shape(item: tuple) -> str:
@@ -184,23 +223,21 @@ def shape(item: tuple) -> str:
 
 def parse(source: str, s: Sampling = Sampling()) -> list:
     """The token stream of a page as nested items, with siblings of one shape folded into repeated groups."""
-    root: list = []
-    stack = [root]
-    for kind, e, text in events(source, s.tokens_per_page):
-        if kind == "open" and e.name in BLOCK:
-            item = ("tag", e.key, [])
-            stack[-1].append(item)
-            stack.append(item[2])
-        elif kind == "close" and e.name in BLOCK and len(stack) > 1:
-            stack.pop()
-        elif kind == "text":
-            words = " ".join(entities.unescape(text).split())
-            if words and stack[-1] and stack[-1][-1][0] == "text":
-                before = stack[-1].pop()
-                stack[-1].append(("text", f"{before[1]} {words}", before[2] + len(words)))
-            elif words:
-                stack[-1].append(("text", words, len(words)))
-    return fold(root)
+    return stream(*read_page(source))
+
+
+def stream(blocks: list[Block], items: list) -> list:
+    def put(items: list) -> list:
+        out = []
+        for i in items:
+            if i[0] == "tag":
+                out.append(("tag", i[1], put(i[2]), 1))
+            else:
+                text = blocks[i[1]].text
+                out.append(("text", text, len(text), 1, {digest(text): 1}))
+        return out
+
+    return fold(put(items))
 
 
 def fold(items: list) -> list:
@@ -208,11 +245,11 @@ def fold(items: list) -> list:
     out: list = []
     for item in items:
         if item[0] == "tag":
-            item = ("tag", item[1], fold(item[2]))
+            item = ("tag", item[1], fold(item[2]), item[3])
             if out and out[-1][0] in ("tag", "rep") and shape(out[-1]) == item[1]:
                 before = out.pop()
                 inner = before[1] if before[0] == "rep" else [before]
-                out.append(("rep", align(inner, [item])))
+                out.append(("rep", align(inner, [item], one_page=True)))
                 continue
         out.append(item)
     return out
@@ -222,26 +259,38 @@ def optional(items: list) -> list:
     return [x if x[0] == "opt" else ("opt", [x]) for x in items]
 
 
-def merge(a: tuple, b: tuple) -> tuple:
+def merge_counts(a: dict[str, int], b: dict[str, int], one_page: bool, most: int) -> dict[str, int]:
+    """Counts add over pages; inside a page a text counts once. More than ``most`` counters are all lowered by the next one's count."""
+    out = dict(a)
+    for k, n in b.items():
+        out[k] = max(out.get(k, 0), n) if one_page else out.get(k, 0) + n
+    if len(out) > most and not one_page:
+        least = sorted(out.values(), reverse=True)[most]
+        out = {k: n - least for k, n in out.items() if n > least}
+    return out
+
+
+def merge(a: tuple, b: tuple, one_page: bool = False, s: Sampling = Sampling()) -> tuple:
     """One item for two of the same shape."""
     if a[0] == "opt" or b[0] == "opt":
-        return ("opt", align(a[1] if a[0] == "opt" else [a], b[1] if b[0] == "opt" else [b]))
+        return ("opt", align(a[1] if a[0] == "opt" else [a], b[1] if b[0] == "opt" else [b], one_page, s))
     if a[0] == "rep" or b[0] == "rep":
-        return ("rep", align(a[1] if a[0] == "rep" else [a], b[1] if b[0] == "rep" else [b]))
+        return ("rep", align(a[1] if a[0] == "rep" else [a], b[1] if b[0] == "rep" else [b], one_page, s))
+    pages = max(a[3], b[3]) if one_page else a[3] + b[3]
     if a[0] == "text":
-        return ("text", a[1] if a[1] == b[1] else None, a[2] + b[2])
-    return ("tag", a[1], align(a[2], b[2]))
+        return ("text", a[1] if a[1] == b[1] else None, a[2] + b[2], pages, merge_counts(a[4], b[4], one_page, s.counters))
+    return ("tag", a[1], align(a[2], b[2], one_page, s), pages)
 
 
-def align(a: list, b: list) -> list:
+def align(a: list, b: list, one_page: bool = False, s: Sampling = Sampling()) -> list:
     """The wrapper that matches what either list matches: common items merged, the others optional, in order."""
     x, y = [shape(i) for i in a], [shape(i) for i in b]
     if x == y:
-        return [merge(i, j) for i, j in zip(a, b, strict=True)]
+        return [merge(i, j, one_page, s) for i, j in zip(a, b, strict=True)]
     out: list = []
     for op, i, j, k, m in SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
         if op == "equal":
-            out.extend(merge(p, q) for p, q in zip(a[i:j], b[k:m], strict=True))
+            out.extend(merge(p, q, one_page, s) for p, q in zip(a[i:j], b[k:m], strict=True))
         else:
             out.extend(optional(a[i:j]))
             out.extend(optional(b[k:m]))
@@ -252,8 +301,8 @@ def infer(pages: list[str], s: Sampling = Sampling()) -> list:
     """The wrapper of some pages."""
     wrapper: list | None = None
     for source in pages:
-        stream = parse(source, s)
-        wrapper = stream if wrapper is None else align(wrapper, stream)
+        items = parse(source, s)
+        wrapper = items if wrapper is None else align(wrapper, items, s=s)
     return wrapper or []
 
 
@@ -270,77 +319,160 @@ def expression(items: list) -> str:
     return "".join(out)
 
 
-def profile(wrapper: list) -> dict:
-    """What a wrapper says about its host: template texts by place, and the main place."""
-    literals: dict[str, list[str]] = defaultdict(list)
+def profile(wrapper: list, s: Sampling = Sampling()) -> dict:
+    """What matching needs of a wrapper: its items with the template texts of every text place, and the main place."""
     slots: Counter[str] = Counter()
 
-    def walk(items: list, path: str, sure: bool, aside: bool) -> None:
+    def walk(items: list, path: str, aside: bool) -> list:
+        out = []
         for i in items:
-            if i[0] == "tag":
-                name, _, words = i[1].partition(".")
-                walk(i[2], f"{path}/{i[1]}", sure, aside or is_aside(name, {"class": words.replace(".", " ")}, "/article" in path))
-            elif i[0] == "text":
-                if i[1] is None and not aside:
+            inner = i
+            while inner[0] in ("opt", "rep"):
+                if len(inner[1]) != 1:
+                    break
+                inner = inner[1][0]
+            if inner[0] == "tag":
+                name, _, words = inner[1].partition(".")
+                out.append([inner[1], walk(inner[2], f"{path}/{inner[1]}", aside or is_aside(name, {"class": words.replace(".", " ")}, "/article" in path))])
+            elif inner[0] == "text":
+                fixed = [k for k, n in inner[4].items() if inner[3] >= s.least_pages and n >= s.template_share * inner[3]]
+                if not aside and inner[1] is None:
                     # The text of a paragraph speaks for what holds the paragraph.
-                    slots[path.rpartition("/")[0]] += i[2]
-                elif i[1] is not None and sure:
-                    literals[path].append(i[1])
+                    above = path.rpartition("/")[0]
+                    while above:
+                        slots[above] += inner[2]
+                        above = above.rpartition("/")[0]
+                    slots[""] += inner[2]
+                out.append(["#", fixed])
             else:
-                walk(i[1], path, sure and i[0] == "rep", aside)
+                out.extend(walk(inner[1], path, aside))
+        return out
+
+    items = walk(wrapper, "", False)
+    holding = [p for p in slots if slots[p] >= s.main_share * slots[""] and slots[""]]
+    return {"items": items, "main": max(holding, key=lambda p: (p.count("/"), p)) if holding else None}
 
-    walk(wrapper, "", True, False)
-    return {"literals": dict(literals), "main": max(slots, key=lambda p: (slots[p], p)) if slots else None}
 
+def template_blocks(items: list, page: list, blocks: list[Block]) -> set[int]:
+    """Matches a page against a wrapper's items: the blocks that stand as template text at their places."""
+    found: set[int] = set()
 
-def extract(source: str | None, about: dict | None = None) -> str:
-    """The main text of a page."""
-    found = [b for b in page_blocks(source) if not b.aside]
-    about = about or {}
-    inside = [b for b in found if b.article] or [b for b in found if b.main]
-    if not inside:
-        literals = about.get("literals", {})
-        inside = [b for b in found if b.text not in literals.get(b.path, ())]
-        main = about.get("main")
-        chosen = [b for b in inside if main is not None and (b.path == main or b.path.startswith(f"{main}/"))]
-        inside = chosen or inside
-    return "\n".join(b.text for b in inside)
+    def match(items: list, page: list) -> None:
+        runs: list[list] = []  # siblings of one shape meet one repeated group
+        for i in page:
+            if i[0] == "tag" and runs and runs[-1][0][0] == "tag" and runs[-1][0][1] == i[1]:
+                runs[-1].append(i)
+            else:
+                runs.append([i])
+        x, y = [i[0] for i in items], [shape(r[0]) for r in runs]
+        same = [(0, 0, len(x))] if x == y else SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks()
+        for i, j, n in same:
+            for item, run in zip(items[i : i + n], runs[j : j + n], strict=True):
+                for one in run:
+                    if item[0] != "#":
+                        match(item[1], one[2])
+                    elif item[1] and digest(blocks[one[1]].text) in item[1]:
+                        found.add(one[1])
+
+    match(items, page)
+    return found
+
+
+def extract(source: str | None, about: dict[str, dict] | None = None) -> str:
+    """The main text of a page, by the profiles of its host's clusters."""
+    blocks, page = read_page(source)
+    own = (about.get(cluster(page)) or about.get("")) if about else None
+    fixed = template_blocks(own["items"], page, blocks) if own else ()
+    found = [b for k, b in enumerate(blocks) if not b.aside and k not in fixed]
+    main = own["main"] if own else None
+    chosen = [b for b in found if main is not None and (b.path == main or b.path.startswith(f"{main}/"))] or found
+    size = lambda lot: sum(len(b.text) for b in lot)
+    if 2 * size(b for b in chosen if b.article) >= size(chosen):
+        chosen = [b for b in found if b.article]
+    elif 2 * size(b for b in chosen if b.main) >= size(chosen):
+        chosen = [b for b in found if b.main]
+    return "\n".join(b.text for b in chosen)
+
+
+PARTS = "host string, cluster string, n long, at long, wrapper string"
+
+
+def distinct_pages(pages: DataFrame) -> DataFrame:
+    """(host, h, html) of the distinct pages; only pages that have copies move."""
+    own = pages.where(F.col("html").isNotNull()).select(split_url(F.col("url"))[0].alias("host"), F.xxhash64("html").alias("h"), "html")
+    copied = materialize(own.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("host").alias("_host"), F.col("h").alias("_h")))
+    on = (F.col("host") == F.col("_host")) & (F.col("h") == F.col("_h"))
+    if copied.isEmpty():
+        return own
+    copied = small(copied)
+    return own.join(copied, on, "left_anti").unionAll(own.join(copied, on, "left_semi").dropDuplicates(["host", "h"]))
 
 
 def host_profiles(pages: DataFrame, s: Sampling = Sampling()) -> DataFrame:
-    """(host, profile as JSON) from a bounded sample of distinct pages of every host."""
-    own = pages.where(F.col("html").isNotNull()).select(split_url(F.col("url"))[0].alias("host"), F.xxhash64("html").alias("h"))
-    # The first pages of a host by hash; the rank's limit is applied in every task before rows move.
-    picked = own.distinct().withColumn("k", F.row_number().over(Window.partitionBy("host").orderBy("h"))).where(F.col("k") <= s.pages_per_host).select(F.col("host").alias("_host"), F.col("h").alias("_h"))
-    full = pages.where(F.col("html").isNotNull()).select("html", split_url(F.col("url"))[0].alias("host"), F.xxhash64("html").alias("h"))
-    sample = full.join(small(materialize(picked)), (F.col("host") == F.col("_host")) & (F.col("h") == F.col("_h"))).select("host", "h", "html")
+    """(host, profiles of its clusters as JSON) from all distinct pages of every host."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def learn(host: str, found: dict[int, str]) -> pa.RecordBatch:
-            about = profile(infer([found[h] for h in sorted(found)], s)) if len(found) >= s.least_pages else {}
-            return pa.RecordBatch.from_arrays([pa.array([host], pa.string()), pa.array([json.dumps(about)], pa.string())], names=["host", "profile"])
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, str], list] = {}
 
-        host, found = None, {}
+        def hand_on() -> pa.RecordBatch:
+            rows = [(h, c, n, at, json.dumps(w)) for (h, c), (n, at, w) in held.items()]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["host", "cluster", "n", "at", "wrapper"])
+
+        for b in batches:
+            for host, h, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                blocks, page = read_page(source.as_py())
+                key, items = (host, cluster(page)), stream(blocks, page)
+                if key in held:
+                    n, at, w = held[key]
+                    held[key] = [n + 1, min(at, h), align(w, items, s=s)]
+                else:
+                    held[key] = [1, h, items]
+                    if len(held) >= s.held:
+                        yield hand_on()
+        if held:
+            yield hand_on()
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row(key: tuple, n: int, at: int, w: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.string()), pa.array([key[1]], pa.string()), pa.array([n], pa.int64()), pa.array([at], pa.int64()), pa.array([json.dumps(w)], pa.string())], names=["host", "cluster", "n", "at", "wrapper"])
+
+        key, n, at, w = None, 0, 0, []
         for b in batches:
-            for k in range(b.num_rows):
-                name, h = b.column(0)[k].as_py(), b.column(1)[k].as_py()
-                if name != host and found:
-                    yield learn(host, found)
-                    found = {}
-                host = name
-                if h not in found:  # copies of a page say nothing new
-                    found[h] = b.column(2)[k].as_py()
-        if found:
-            yield learn(host, found)
-
-    # Copies of the picked pages meet here, so they are first reduced to one per task and host.
-    once = sample.dropDuplicates(["host", "h"])
-    return map_texts(once.repartition("host").sortWithinPartitions("host", "h"), run, "host string, profile string")
+            for host, kind, m, first, text in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
+                if (host, kind) != key:
+                    if key:
+                        yield row(key, n, at, w)
+                    key, n, at, w = (host, kind), m, first, json.loads(text)
+                else:
+                    n, w = n + m, align(w, json.loads(text), s=s)
+        if key:
+            yield row(key, n, at, w)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in join(batches):
+            about = profile(json.loads(b.column(4)[0].as_py()), s) if b.column(2)[0].as_py() >= s.least_pages else None
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([json.dumps(about)], pa.string())], names=["host", "cluster", "profile"])
+
+    parts = materialize(map_texts(distinct_pages(pages), learn, PARTS))
+    rare = parts.groupBy("host", "cluster").agg(F.sum("n").alias("n")).where(F.col("n") < s.least_pages).select(F.col("host").alias("_host"), F.col("cluster").alias("_cluster"))
+    named = parts.join(rare, (F.col("host") == F.col("_host")) & (F.col("cluster") == F.col("_cluster")), "left")
+    named = named.select("host", F.when(F.col("_host").isNull(), F.col("cluster")).otherwise("").alias("cluster"), "n", "at", "wrapper")
+    # A host's parts are as many as the tasks that met it, so they are merged in heaps first.
+    heap = F.pmod(F.xxhash64("at"), F.lit(s.heaps))
+    once = map_texts(named.withColumn("heap", heap).repartition("host", "cluster", "heap").sortWithinPartitions("host", "cluster", "heap", "at").drop("heap"), join, PARTS)
+    whole = map_texts(once.repartition("host", "cluster").sortWithinPartitions("host", "cluster", "at"), finish, "host string, cluster string, profile string")
+    entries = whole.where("profile <> 'null'").groupBy("host").agg(F.sort_array(F.collect_list(F.concat(F.lit('"'), "cluster", F.lit('":'), "profile"))).alias("e"))
+    return entries.select("host", F.concat(F.lit("{"), F.array_join("e", ","), F.lit("}")).alias("profile"))
+
+
+#: Profiles are a few kilobytes each.
+PROFILES = 10_000
 
 
 def extract_pages(pages: DataFrame, s: Sampling = Sampling()) -> DataFrame:
     """Per page: page_id, url, text, n_chars."""
-    profiles = small(materialize(host_profiles(pages, s).select(F.col("host").alias("_host"), "profile")))
+    profiles = small(materialize(host_profiles(pages, s).select(F.col("host").alias("_host"), "profile")), PROFILES)
     rows = pages.select("page_id", "url", "html", split_url(F.col("url"))[0].alias("host")).join(profiles, F.col("host") == F.col("_host"), "left")
     kind = pages.schema["page_id"].dataType.simpleString()
 
