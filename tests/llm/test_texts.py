@@ -53,6 +53,29 @@ def test_slots_choose_the_text(spark):
     assert all(got[100 + i] == f"The long text number {i} of this page, which is told at length\nMore of number {i} here" for i in range(9))
 
 
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("<html><head><meta charset=utf-8><title>t</title><body><p>all of it</p></body>", "all of it"),
+        ("<head><title>t</title><p>all of it</p>", "all of it"),
+        ("<body><nav><ul><li>Menu</ul><div><p>all of it</p></div></body>", "all of it"),
+        ("<body><div><button>Go<p>all of it</p></div></body>", "all of it"),
+        ("<p>one</p><svg-icon></svg-icon><p>two</p><svg/><iframe src='x' /><math /><video-player></video-player><p>three</p>", "one\ntwo\nthree"),
+        ("<script src=/a/>var x='<p>no</p>';</script><title/><p>yes</p><script src='a' />no</script><p>yes</p>", "yes\nyes"),
+        ("<article><h2 id='related-work'>Related work</h2><p>text</p></article>", "Related work\ntext"),
+    ],
+)
+def test_ordinary_html(source, text):
+    assert wrappers.extract(source) == text
+
+
+def test_words_inside_articles_count_where_they_recur(spark):
+    page = "<body><article><div class='article-header'>Title {n}</div>{more}<p>Text {n}</p><div class='related'>Next {n}</div></article></body>"
+    pages = [(i, f"http://h.example.com/{i}", page.format(n=i, more="<section id=advertising>On adverts</section>" if i == 3 else "")) for i in range(8)]
+    got = {r.page_id: r.text for r in wrappers.extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Title 3\nOn adverts\nText 3" and got[4] == "Title 4\nText 4"
+
+
 def test_given_pages(spark, mid_dir):
     import html
     import re

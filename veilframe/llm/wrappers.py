@@ -9,7 +9,7 @@ its commonest texts (Misra-Gries counters, which merge): inside a repeated group
 
 A page is then read as a whole and matched against the wrapper of its cluster. Scripts, styles and markup never reach the text;
 elements that their names, roles or class and id words mark as menus, headers, footers, sidebars, notices, adverts, forms or
-comments are left out; text that the wrapper matches as template text is left out. Of the rest, what stands in the cluster's
+comments are left out (inside an article class and id words count only for what recurs on half of the cluster's pages); text that the wrapper matches as template text is left out. Of the rest, what stands in the cluster's
 main place, the deepest one that holds most of the text in slots, is the text. The article or main elements are a hint: where one
 holds half of that text or more, its borders are taken instead. Character references are decoded, white space inside a block
 becomes one space, blocks are joined by newlines, nothing else is dropped.
@@ -56,9 +56,14 @@ class Sampling:
 
 # Fixed values of the HTML standard and common usage.
 RAW = "script style noscript template svg math textarea select option iframe object canvas audio video title".split()
+CODE = "script style title textarea select option".split()
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "button": {"button"}}
+HEAD = frozenset("base link meta".split())
+#: Where its end tag is missing, one of LOOSE ends where one of CONTENT begins.
+LOOSE = frozenset("nav button label".split())
+CONTENT = frozenset("article main section div h1 p header footer".split())
 BOUNDS = frozenset("ul ol dl table body html article section div".split())
 ASIDE_TAGS = frozenset("nav aside footer form button dialog menu head label fieldset".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -68,11 +73,18 @@ ASIDE_WORDS = frozenset(
     "search pagination pager copyright disclaimer skip toolbar".split()
 )
 
+ATTRS = r"(?:[^\"'>]++|\"[^\"]*+\"|'[^']*')*+"
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/a-zA-Z][^>]*(?:>|\Z)|(?P<text>[^<]+|<)",
+    r"<!--.*?(?:-->|\Z)"
+    # A self-closed element has no content; an unquoted value's last slash doesn't close. Scripts and the like close themselves only where no end tag follows.
+    r"|<(?P<code>" + "|".join(CODE) + rf")(?=[\s/>])(?:{ATTRS}|[^>]*)>.*?</(?P=code)\s*>"
+    r"|<(?:" + "|".join(RAW) + rf")(?=[\s/>])(?:\s*/|{ATTRS}(?<=[\s\"']/))>"
+    r"|<(?P<raw>" + "|".join(RAW) + rf")(?=[\s/>])(?:{ATTRS}|[^>]*)>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>{ATTRS})>|<[!?/a-zA-Z][^>]*(?:>|\Z)|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
 ATTR = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -86,9 +98,12 @@ def is_aside(name: str, attrs: dict[str, str], in_article: bool) -> bool:
         return True
     if name in ("html", "body", "main") or not attrs or name == "header":
         return False
-    if attrs.get("role", "").lower() in ASIDE_ROLES:
-        return True
-    return any(w.lower() in ASIDE_WORDS for key in ("class", "id") for w in WORDS.findall(attrs.get(key, "")))
+    return attrs.get("role", "").lower() in ASIDE_ROLES or not in_article and has_aside_word(attrs)
+
+
+def has_aside_word(attrs: dict[str, str], in_article: bool = False) -> bool:
+    """A header inside an article belongs to it, whether by name or by class."""
+    return any(w.lower() in ASIDE_WORDS and not (in_article and w.lower() == "header") for key in ("class", "id") for w in WORDS.findall(attrs.get(key, "")))
 
 
 @dataclass
@@ -99,12 +114,25 @@ class Element:
     article: bool
     main: bool
     path: str
+    part: str = ""  # inside an article: the place of the outermost element whose class or id words mark it
+    loose: bool = False
 
 
 def events(source: str) -> Iterator[tuple[str, Element | None, str]]:
     """(kind, element, text) of a page: 'open' and 'close' of elements and 'text' inside them; end tags are implied where HTML does."""
     stack: list[Element] = []
+    ends: dict[str, int] = {}  # where the next end tag of a name stands
+
+    def ended(name: str, at: int) -> bool:
+        if ends.get(name, -1) < at:
+            m = re.compile(rf"</{name}[\s/>]", re.I).search(source, at)
+            ends[name] = m.start() if m else len(source)
+        return ends[name] < len(source)
+
     for m in TOKEN.finditer(source):
+        # Anything but metadata ends the head.
+        if stack and stack[-1].name == "head" and (not m["text"].isspace() if m["text"] is not None else m["name"] and not m["end"] and m["name"].lower() not in HEAD):
+            yield "close", stack.pop(), ""
         if m["text"] is not None:
             yield "text", stack[-1] if stack else None, m["text"]
         elif m["name"]:
@@ -127,16 +155,23 @@ def events(source: str) -> Iterator[tuple[str, Element | None, str]]:
                         yield "close", stack.pop(), ""
                 elif stack[i].name in BOUNDS:
                     break
+            if name in CONTENT:
+                at = next((i for i, x in enumerate(stack) if x.loose), len(stack))
+                while len(stack) > at:
+                    yield "close", stack.pop(), ""
             attrs = attributes(m["attrs"])
             above = stack[-1] if stack else Element("", "", False, False, False, "")
             words = ".".join(sorted(WORDS.findall(attrs.get("class", ""))))
             key = name + (f".{words}" if words else "")
+            marked = above.article and name not in HEADINGS and has_aside_word(attrs, True)
+            if marked and has_aside_word({"id": attrs.get("id", "")}, True):
+                key += f"#{digest(attrs['id'])}"
             aside = above.aside or is_aside(name, attrs, above.article)
             article = not aside and (above.article or name == "article" or attrs.get("itemprop", "").lower() == "articlebody")
             main = not aside and (above.main or name == "main" or attrs.get("role", "").lower() == "main")
             # A path names block elements only: emphasis doesn't make another place.
             path = f"{above.path}/{key}" if name in BLOCK else above.path
-            stack.append(Element(name, key, aside, article, main, path))
+            stack.append(Element(name, key, aside, article, main, path, above.part or (path if marked and not aside else ""), name in LOOSE and not ended(name, m.end())))
             yield "open", stack[-1], ""
     while stack:
         yield "close", stack.pop(), ""
@@ -149,6 +184,7 @@ class Block:
     aside: bool
     article: bool
     main: bool
+    part: str
 
 
 # A wrapper is a list of items: ("tag", key, items, pages), ("text", literal or None for a slot, characters, pages, counters of
@@ -173,12 +209,12 @@ def read_page(source: str | None) -> tuple[list[Block], list]:
         if text:
             e = owner or Element("", "", False, False, False, "")
             stack[-1].append(("text", len(out)))
-            out.append(Block(text, e.path, e.aside, e.article, e.main))
+            out.append(Block(text, e.path, e.aside, e.article, e.main, e.part))
         parts, owner = [], None
 
     for kind, e, text in events(source or ""):
         if kind == "text":
-            if owner is not None and e is not None and (e.path, e.aside) != (owner.path, owner.aside):
+            if owner is not None and e is not None and (e.path, e.aside, e.part) != (owner.path, owner.aside, owner.part):
                 flush()
             if owner is None and not text.isspace():
                 owner = e
@@ -319,9 +355,11 @@ def expression(items: list) -> str:
     return "".join(out)
 
 
-def profile(wrapper: list, s: Sampling = Sampling()) -> dict:
-    """What matching needs of a wrapper: its items with the template texts of every text place, and the main place."""
+def profile(wrapper: list, pages: int, s: Sampling = Sampling()) -> dict:
+    """What matching needs of a wrapper: its items with the template texts of every text place, the main place, and the places
+    that few of the pages have."""
     slots: Counter[str] = Counter()
+    places: Counter[str] = Counter()
 
     def walk(items: list, path: str, aside: bool) -> list:
         out = []
@@ -332,7 +370,8 @@ def profile(wrapper: list, s: Sampling = Sampling()) -> dict:
                     break
                 inner = inner[1][0]
             if inner[0] == "tag":
-                name, _, words = inner[1].partition(".")
+                name, _, words = inner[1].partition("#")[0].partition(".")
+                places[f"{path}/{inner[1]}"] += inner[3]
                 out.append([inner[1], walk(inner[2], f"{path}/{inner[1]}", aside or is_aside(name, {"class": words.replace(".", " ")}, "/article" in path))])
             elif inner[0] == "text":
                 fixed = [k for k, n in inner[4].items() if inner[3] >= s.least_pages and n >= s.template_share * inner[3]]
@@ -350,7 +389,13 @@ def profile(wrapper: list, s: Sampling = Sampling()) -> dict:
 
     items = walk(wrapper, "", False)
     holding = [p for p in slots if slots[p] >= s.main_share * slots[""] and slots[""]]
-    return {"items": items, "main": max(holding, key=lambda p: (p.count("/"), p)) if holding else None}
+    return {"items": items, "main": max(holding, key=lambda p: (p.count("/"), p)) if holding else None, "usual": sorted(p for p, n in places.items() if 2 * n >= pages and is_marked(p))}
+
+
+def is_marked(path: str) -> bool:
+    """Whether class words mark the last element of a place, or id words, which only then are part of it."""
+    last = path.rpartition("/")[2]
+    return "#" in last or has_aside_word({"class": last.partition(".")[2].replace(".", " ")}, True)
 
 
 def template_blocks(items: list, page: list, blocks: list[Block]) -> set[int]:
@@ -383,7 +428,9 @@ def extract(source: str | None, about: dict[str, dict] | None = None) -> str:
     blocks, page = read_page(source)
     own = (about.get(cluster(page)) or about.get("")) if about else None
     fixed = template_blocks(own["items"], page, blocks) if own else ()
-    found = [b for k, b in enumerate(blocks) if not b.aside and k not in fixed]
+    # Inside an article a class or id word says less: with a wrapper, it counts where half of the pages have such an element.
+    usual = set(own["usual"]) if own else None
+    found = [b for k, b in enumerate(blocks) if not b.aside and k not in fixed and not (b.part and (usual is None or b.part in usual))]
     main = own["main"] if own else None
     chosen = [b for b in found if main is not None and (b.path == main or b.path.startswith(f"{main}/"))] or found
     size = lambda lot: sum(len(b.text) for b in lot)
@@ -451,7 +498,7 @@ def host_profiles(pages: DataFrame, s: Sampling = Sampling()) -> DataFrame:
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in join(batches):
-            about = profile(json.loads(b.column(4)[0].as_py()), s) if b.column(2)[0].as_py() >= s.least_pages else None
+            about = profile(json.loads(b.column(4)[0].as_py()), b.column(2)[0].as_py(), s) if b.column(2)[0].as_py() >= s.least_pages else None
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([json.dumps(about)], pa.string())], names=["host", "cluster", "profile"])
 
     parts = materialize(map_texts(distinct_pages(pages), learn, PARTS))
