@@ -133,6 +133,30 @@ def test_near_pairs(spark):
     assert {(r.a, r.b) for r in edit_fingerprint.near_pairs(prints).collect()} == {(1, 2), (1, 3)}
 
 
+@pytest.mark.parametrize("block", [512, 5])
+def test_near_pairs_of_mixed_buckets(spark, block):
+    """All fingerprints share every bucket; those that are near each other are neither its least nor its greatest."""
+    rng = np.random.default_rng(3)
+    shared = sorted({int(i) for _ in range(24) for i in rng.choice(128, 4, replace=False)})
+    rest = [i for i in range(128) if i not in shared]
+    rows = rng.integers(0, 255, (40, 128)).astype(np.uint8)
+    rows[:, shared] = rows[0, shared]
+    for k in range(5, 25, 3):
+        rows[k + 1, rest[:45]] = rows[k, rest[:45]]
+        rows[k + 2, rest[10:]] = rows[k + 1, rest[10:]]
+    near = {(i, j) for i in range(40) for j in range(i + 1, 40) if edit_fingerprint.likeness(rows[i : i + 1], rows[j : j + 1])[0] >= 0.8}
+    prints = spark.createDataFrame([(i, r.tobytes().hex()) for i, r in enumerate(rows)], "id long, fingerprint string")
+    got = {(r.a, r.b) for r in edit_fingerprint.near_pairs(prints, block=block).collect()}
+
+    def groups(links):
+        of = list(range(40))
+        for a, b in links:
+            of = [of[a] if x == of[b] else x for x in of]
+        return {frozenset(i for i in range(40) if of[i] == x) for x in of}
+
+    assert len(near) > 10 and got <= near and groups(got) == groups(near)
+
+
 def test_url_rules(spark):
     rules = [url_filter.Rule("com/en/", "block"), url_filter.Rule("example.com/en/7", "allow")]
     urls = ["http://WWW.Example.com/en/77?x", "http://example.com/en/8#y", "ftp://notcom/en/1", "a://b://c/d", None, "plain", "x://com", "http://h?x=://y/z"]

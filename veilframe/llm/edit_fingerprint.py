@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import map_texts, text_key
+from veilframe.llm.common import map_texts, materialize, text_key
+from veilframe.llm.components import components
 from veilframe.llm.shingles import mix
 
 
@@ -182,16 +183,18 @@ def fingerprint(docs: DataFrame, w: Walk = Walk()) -> DataFrame:
     return map_texts(dealt, run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def near_pairs(prints: DataFrame, least: float = 0.8, bands: int = 24, per_band: int = 4, seed: int = 3) -> DataFrame:
-    """Pairs (a, b, likeness) of fingerprints that agree in all sampled slots of some band and reach ``least``.
+def near_pairs(prints: DataFrame, least: float = 0.8, bands: int = 24, per_band: int = 4, seed: int = 3, block: int = 512) -> DataFrame:
+    """Links (a, b, likeness) of fingerprints that agree in all sampled slots of some band and reach ``least``: any two such
+    fingerprints are linked, or joined by a chain of links.
 
     ``prints`` has id and fingerprint. Equal fingerprints stand for each other: they are linked to the least id that has
-    them, and only distinct fingerprints are paired. In a band's bucket every member is compared with the two least members
-    and with its neighbour in order, which links a bucket without writing all its pairs.
+    them, and only distinct fingerprints are paired. In a band's bucket every member is first compared with the bucket's least and
+    greatest id. In the buckets that these links leave in several components, all members of different components are then compared,
+    in blocks of about ``block`` by ``block`` members; a block links components once.
     """
     rng = np.random.default_rng(seed)
     picks = [sorted(rng.choice(128, per_band, replace=False).tolist()) for _ in range(bands)]
-    one = prints.groupBy("fingerprint").agg(F.min("id").alias("id"))
+    one = materialize(prints.groupBy("fingerprint").agg(F.min("id").alias("id")))
     copies = prints.join(one.withColumnRenamed("id", "a"), "fingerprint").where("id <> a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("likeness"))
     piece = lambda p: F.concat(*[F.substring("fingerprint", 2 * i + 1, 2) for i in p])
     keyed = one.select("id", "fingerprint", F.explode(F.array(*[F.xxhash64(F.lit(k), piece(p)) for k, p in enumerate(picks)])).alias("key"))
@@ -207,4 +210,47 @@ def near_pairs(prints: DataFrame, least: float = 0.8, bands: int = 24, per_band:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(likeness(x, y), pa.float64())], names=["a", "b", "likeness"])
 
     kind = prints.schema["id"].dataType.simpleString()
-    return map_texts(pairs, verify, f"a {kind}, b {kind}, likeness double").where(F.col("likeness") >= least).unionByName(copies)
+    found = f"a {kind}, b {kind}, likeness double"
+    first = materialize(map_texts(pairs, verify, found).where(F.col("likeness") >= least))
+
+    label = components(first.select("a", "b")).select(F.col("id").alias("_id"), "label")
+    members = keyed.join(label, F.col("id") == F.col("_id"), "left").select("key", "id", "fingerprint", F.coalesce("label", "id").alias("label"))
+    mixed = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("n > 2 and lo <> hi").select("key", F.ceil(F.col("n") / block).cast("int").alias("parts"))
+    dealt = members.join(mixed, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "fingerprint", "label")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(where: tuple, rows: list[tuple]) -> pa.RecordBatch:
+            part, ids, texts, labels = zip(*rows, strict=True)
+            print_of = np.stack([np.frombuffer(bytes.fromhex(t), np.uint8) for t in texts])
+            side, out = np.array(part), []
+            number = {x: k for k, x in enumerate(dict.fromkeys(labels))}
+            of = np.array([number[x] for x in labels])
+            for k in range(len(ids) - 1):
+                apart = of[k + 1 :] != of[k]
+                if where[1] != where[2]:
+                    apart &= side[k + 1 :] != side[k]
+                at = k + 1 + np.flatnonzero(apart)
+                like = likeness(np.broadcast_to(print_of[k], (len(at), print_of.shape[1])), print_of[at])
+                for m, v in zip(at[like >= least], like[like >= least], strict=True):
+                    if of[m] != of[k]:
+                        of[of == of[m]] = of[k]
+                        out.append((min(ids[k], ids[m]), max(ids[k], ids[m]), float(v)))
+            a, b, v = zip(*out, strict=True) if out else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, id_type), pa.array(b, id_type), pa.array(v, pa.float64())], names=["a", "b", "likeness"])
+
+        where, rows = None, []
+        id_type = None
+        for batch in batches:
+            id_type = batch.column(4).type
+            for *at, part, i, text, own in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
+                if tuple(at) != where and rows:
+                    yield links(where, rows)
+                    rows = []
+                where = tuple(at)
+                rows.append((part, i, text, own))
+        if rows:
+            yield links(where, rows)
+
+    rest = map_texts(dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id"), compare, found).dropDuplicates(["a", "b"])
+    return first.unionByName(rest).unionByName(copies)
