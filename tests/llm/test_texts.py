@@ -125,6 +125,24 @@ def test_small_edits_stay_near():
     assert edit_fingerprint.likeness(a[None], b[None])[0] > 0.5
 
 
+def test_early_insertions_in_long_texts_stay_near():
+    rng = np.random.default_rng(1)
+    texts = ["".join(map(chr, 97 + rng.integers(0, 26, n))) for n in [20000] * 12 + [50] * 100]
+    embed = edit_fingerprint.Embedder()
+    own = embed.prints(texts)
+    for k in (5, 10, 20):
+        like = edit_fingerprint.likeness(own, embed.prints(["q" * k + t for t in texts]))[:12]
+        assert np.median(like) >= 0.8 and np.mean(like >= 0.8) > 0.6
+    # Side by side or alone, a text has one fingerprint, which a plain walk confirms.
+    alone = embed.prints(texts[:1])
+    assert (alone[0] == own[0]).all() and (embed.prints(texts[20:21])[0] == own[20]).all()
+    at, steps = 0, []
+    for c in np.frombuffer(texts[0].encode("utf-32-le"), "<u4"):
+        steps.append(at)
+        at += int(embed.wait[int(edit_fingerprint.mix(np.array([c], np.uint64))[0]) % 64 * 4096 + at % 4096])
+    assert (embed._steps([np.frombuffer(t.encode("utf-32-le"), "<u4") for t in texts])[0] == steps).all()
+
+
 def test_near_pairs(spark):
     text = "".join(chr(97 + (i * 31 + i // 11) % 26) for i in range(3000))
     rows = [(1, text), (2, text), (3, text[:2990] + "!"), (4, text[::-1])]

@@ -3,7 +3,8 @@
 A random walk reads a text: at step i it stands at a character c and moves on if bit r(i, c) is set. All texts share the bits,
 so two walks that an edit throws out of step meet again soon, and edit distance becomes Hamming distance between the sequences
 that the walks write. The waiting time at a character depends on the step and the character only, so a table of waiting times
-moves a walk a character per lookup; texts are walked in windows of fixed length, thousands of windows side by side.
+moves a walk a character per lookup. Every text is walked as a whole, many texts side by side, and the ends of the longest ones
+one by one.
 
 A fingerprint keeps, for each of ``slots`` random classes of (step, character) pairs, 8 bits of the least hash: two texts agree in
 a slot with the probability that their written sequences share its pair. Slots sampled into bands give candidate pairs, which the
@@ -33,7 +34,6 @@ from veilframe.llm.shingles import mix
 
 @dataclass(frozen=True)
 class Walk:
-    window: int = 1024
     classes: int = 64
     period: int = 4096
     slots: int = 128
@@ -41,6 +41,8 @@ class Walk:
 
 
 EMPTY = 255
+#: So many characters are walked or hashed at once, and from so many texts on side by side.
+ROWS, AT_ONCE, SIDE_BY_SIDE = 1024, 1 << 20, 64
 
 
 class Embedder:
@@ -57,41 +59,64 @@ class Embedder:
         for i in range(2 * w.period - 2, -1, -1):
             wait[:, i] = np.where(bits[:, i] == 1, 1, wait[:, i + 1] + 1)
         self.wait = np.ascontiguousarray(wait[:, : w.period]).ravel()
+        self.waits = self.wait.tolist()
 
-    def _steps(self, codes: np.ndarray) -> np.ndarray:
-        """Per window (column) and character (row), the step at which the walk reaches it."""
-        length, n = codes.shape
-        base = (mix(codes.astype(np.uint64)) & np.uint64(self.w.classes - 1)).astype(np.int32) * self.w.period
-        at = np.zeros(n, np.int32)
-        out = np.empty((length, n), np.int32)
+    def _steps(self, texts: list[np.ndarray]) -> list[np.ndarray]:
+        """Per text, the steps at which its walk reaches its characters."""
         mask = self.w.period - 1
-        for j in range(length):
-            out[j] = at
-            at = at + self.wait[base[j] + (at & mask)]
-        return out
+        order = sorted(range(len(texts)), key=lambda k: -len(texts[k]))
+        base = [(mix(texts[k].astype(np.uint64)) & np.uint64(self.w.classes - 1)).astype(np.int32) * self.w.period for k in order]
+        out = [np.empty(len(b), np.int64) for b in base]
+        at = np.zeros(len(base), np.int64)
+        first, n = 0, len(base)
+        while True:
+            while n and len(base[n - 1]) <= first:
+                n -= 1
+            if n < SIDE_BY_SIDE:
+                break
+            # The longest come first, so those that are still on their way are the first n.
+            part = np.zeros((min(ROWS, len(base[0]) - first), n), np.int32)
+            for c in range(n):
+                own = base[c][first : first + len(part)]
+                part[: len(own), c] = own
+            steps, now = np.empty(part.shape, np.int64), at[:n].copy()
+            for j in range(len(part)):
+                steps[j] = now
+                now = now + self.wait[part[j] + (now & mask)]
+            for c in range(n):
+                size = min(len(part), len(base[c]) - first)
+                out[c][first : first + size] = steps[:size, c]
+            at[:n] = now
+            first += len(part)
+        waits = self.waits
+        for c in range(n):
+            now, steps = int(at[c]), []
+            for b in base[c][first:].tolist():
+                steps.append(now)
+                now += waits[b + (now & mask)]
+            out[c][first:] = steps
+        return [x for _, x in sorted(zip(order, out, strict=True), key=lambda x: x[0])]
 
     def prints(self, texts: list[str]) -> np.ndarray:
         """One row of slots per text."""
-        w, size = self.w, self.w.window
+        w = self.w
         # Least hash of every slot: 56 bits, all ones where there is none.
         least = np.full(len(texts) * w.slots, (1 << 56) - 1, np.uint64)
-        lot: list[tuple[int, int, np.ndarray]] = []
-        for k, text in enumerate(texts):
-            codes = np.frombuffer(text.encode("utf-32-le"), "<u4")
-            lot.extend((k, i, codes[i * size : (i + 1) * size]) for i in range(-(-len(codes) // size)))
-        lot.sort(key=lambda x: len(x[2]))  # windows of like length side by side
-        for first in range(0, len(lot), 1024):
-            part = lot[first : first + 1024]
-            n = np.array([len(x[2]) for x in part])
-            codes = np.zeros((int(n.max()), len(part)), np.uint32)
-            for c, x in enumerate(part):
-                codes[: n[c], c] = x[2]
-            steps = self._steps(codes)
-            real = np.arange(len(codes))[:, None] < n[None]
-            owner = np.broadcast_to(np.array([x[0] for x in part], np.int64)[None], codes.shape)[real]
-            window = np.broadcast_to(np.array([x[1] for x in part], np.uint64)[None], codes.shape)[real]
-            h = mix((codes[real].astype(np.uint64) << np.uint64(40)) ^ (window << np.uint64(16)) ^ steps[real].astype(np.uint64))
-            np.minimum.at(least, owner * w.slots + (h >> np.uint64(57)).astype(np.int64) % w.slots, h & np.uint64((1 << 56) - 1))
+        first = 0
+        while first < len(texts):
+            last, chars = first, 0
+            while last < len(texts) and (last == first or chars + len(texts[last]) <= AT_ONCE):
+                chars += len(texts[last])
+                last += 1
+            lot = [np.frombuffer(t.encode("utf-32-le"), "<u4") for t in texts[first:last]]
+            steps = np.concatenate(self._steps(lot))
+            codes = np.concatenate(lot)
+            owner = np.repeat(np.arange(first, last), [len(x) for x in lot])
+            for i in range(0, len(codes), AT_ONCE):
+                part = slice(i, i + AT_ONCE)
+                h = mix((codes[part].astype(np.uint64) << np.uint64(40)) ^ steps[part].astype(np.uint64))
+                np.minimum.at(least, owner[part] * w.slots + (h >> np.uint64(57)).astype(np.int64) % w.slots, h & np.uint64((1 << 56) - 1))
+            first = last
         out = (mix(least) % np.uint64(EMPTY)).astype(np.uint8)
         out[least == (1 << 56) - 1] = EMPTY
         return out.reshape(len(texts), w.slots)
