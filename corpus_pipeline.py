@@ -31,8 +31,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources come to their target weights: a document is there as often as the mix takes it."""
-    return mixing.mix_rows(docs).select(*docs.columns)
+    """Sources come to their target weights: a document is there as often as the mix takes it, in its shards, which are shuffled."""
+    return mixing.shuffle_shards(mixing.mix_rows(docs)).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

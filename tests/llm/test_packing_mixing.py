@@ -136,6 +136,17 @@ def test_mix_of_given_documents(spark, mid_dir):
     assert {r.mix_shard: r["count"] for r in parts} == dict(per_shard)
 
 
+def test_pipeline_writes_shards_in_order(spark, mid_dir):
+    import corpus_pipeline
+    from veilframe.llm.queries import queries
+
+    docs = spark.read.parquet(f"{mid_dir}/documents.parquet")
+    given = queries()["op5_source_mix"](spark, mid_dir).collect()
+    want = sorted((s, o, r.doc_id) for r in given for s, o in zip(r.shards, r.orders, strict=True))
+    assert all(len(r.orders) == r.copies for r in given) and len({s for s, _, _ in want}) > 1
+    assert [r.doc_id for r in corpus_pipeline.mix(spark, docs, mid_dir).collect()] == [i for _, _, i in want]
+
+
 def test_repeated_rows_share_copies(spark):
     docs = spark.createDataFrame([(1, "a b c", "s"), (1, "a b c", "s"), (2, "d e", "s"), (3, "f", None), (4, " ".join("x" * 40), "t")], "doc_id long, text string, source string")
     rows = mixing.assign(docs).collect()

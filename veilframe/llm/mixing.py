@@ -108,7 +108,8 @@ def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def assign(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """The columns of ``docs`` less the text, and: size, source_size, target, copies, taken, shards (one per copy)."""
+    """The columns of ``docs`` less the text, and: size, source_size, target, copies, taken, shards and orders (one per copy): where a copy
+    stands is its order's place among its shard's."""
     own = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), text_key(F.col("text")).alias("key"))
     own = own.withColumns({"row": F.monotonically_increasing_id(), "draw": F.xxhash64(F.lit(mix.seed), "doc_id", "key")})
     own = materialize(own)  # from here on, row numbers and sizes are fixed
@@ -143,24 +144,27 @@ def assign(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     own = own.withColumn("copies", F.col("times") + once_more.cast("int"))
     # Copy c of a block is number c * blocks + block in the order of its source; a shard owns the numbers below its end.
     shard = F.expr("transform(if(copies > 0, sequence(0, copies - 1), array()), c -> size(filter(ends, e -> e <= c * blocks + block)))")
-    return own.select("doc_id", "source", "key", "row", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), shard.alias("shards"))
+    order = F.expr(f"transform(if(copies > 0, sequence(0, copies - 1), array()), c -> xxhash64({mix.seed}, doc_id, c, key))")
+    return own.select("doc_id", "source", "key", "row", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), shard.alias("shards"), order.alias("orders"))
 
 
 def mix_rows(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The mixed corpus: the columns of ``docs``, once per copy, with shard and position key; sort by both to read a shard."""
-    got = assign(docs, mix).groupBy("doc_id", "source", "key").agg(F.flatten(F.collect_list("shards")).alias("_shards"), F.count(F.lit(1)).alias("_rows")).where(F.size("_shards") > 0)
+    got = assign(docs, mix).groupBy("doc_id", "source", "key").agg(F.flatten(F.collect_list(F.arrays_zip("shards", "orders"))).alias("_shards"), F.count(F.lit(1)).alias("_rows")).where(F.size("_shards") > 0)
     got = materialize(got.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("key").alias("_key"), "_shards", "_rows"))
     on = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_k") == F.col("_key"))
     rows = docs.withColumn("_k", text_key(F.col("text"))).join(small(got), on)
     single = rows.where("_rows = 1")
     if not got.where("_rows > 1").isEmpty():  # rows that repeat share one line of copies: one of them carries it
         single = single.unionByName(rows.where("_rows > 1").dropDuplicates(["doc_id", "source", "_k"]))
-    return single.select(*docs.columns, F.posexplode("_shards").alias("_copy", "mix_shard"), "_key").select(*docs.columns, "mix_shard", F.xxhash64(F.lit(mix.seed), "doc_id", "_copy", "_key").alias("mix_order"))
+    return single.select(*docs.columns, F.explode("_shards").alias("_at")).select(*docs.columns, F.col("_at.shards").alias("mix_shard"), F.col("_at.orders").alias("mix_order"))
 
 
 def shuffle_shards(mixed: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """One sorted run per shard, shuffled locally by the position key."""
-    return mixed.repartition(mix.shards, "mix_shard").sortWithinPartitions("mix_shard", "mix_order")
+    """Shard after shard, each shuffled by the position key: its range is cut evenly, so that a shard is several tasks, in order."""
+    parts = -(-int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions")) // mix.shards)
+    part = F.least(F.floor((F.col("mix_order").cast("double") / 2.0**64 + 0.5) * parts), F.lit(parts - 1))
+    return mixed.repartitionById(mix.shards * parts, (F.col("mix_shard") * parts + part).cast("int")).sortWithinPartitions("mix_shard", "mix_order")
 
 
 def coarse_error(taken: Iterator[int], target: float) -> float:
