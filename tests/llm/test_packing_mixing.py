@@ -80,6 +80,21 @@ def test_pieces_round_trip(spark, small_dir):
     assert len(sequences) == packing.reference_bins([r.length for r in rows])
 
 
+def test_added_token(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok, rng = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), random.Random(2)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>\n\n", "<|endoftext", "<|<|endoftext|>|>"]
+    texts += ["".join(rng.choice(["<|endoftext|>", " ", "  \n", "ab", "'s", "é", "1", "<|", "|>", "."]) for _ in range(30)) for _ in range(200)]
+    rows = packing.tokenize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in rows}
+    for i, text in enumerate(texts):
+        ids = [*tok.encode(text, add_special_tokens=False).ids, 0]
+        assert got[i] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    assert packing.tokenizer().encode(texts[0], allowed_special="all") == [64, 220, 50256, 275]
+
+
 def slow_targets(sizes, mix):
     """Reshares the excess until no source is above its cap."""
     from fractions import Fraction
