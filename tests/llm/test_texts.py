@@ -30,8 +30,8 @@ def test_wrapper_of_a_host(spark):
     pages = [(i, f"http://h.example.com/{i}", PAGE.format(n=i)) for i in range(8)] + [(99, "http://other.example.com/", "<article><h1>A</h1><p>b &lt; c &#233;</p><section class='comments'><p>no</p></section></article><p>out")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     got = {r.page_id: r for r in wrappers.extract_pages(df).collect()}
-    assert got[3].text == "Title 3\nFirst 3 & more line\nSecond bold 3\nThird 3" and got[3].n_chars == len(got[3].text)
-    assert got[99].text == "A\nb < c é"
+    assert got[3].text == "Title 3\n\nFirst 3 & more line\n\nSecond bold 3\n\nThird 3" and got[3].n_chars == len(got[3].text)
+    assert got[99].text == "A\n\nb < c é"
 
 
 def test_union_free_wrapper():
@@ -48,9 +48,11 @@ def test_slots_choose_the_text(spark):
     pages += [(200, "http://h.example.com/7", story.format(n=7))] * 50  # copies don't make template text
     df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
     got = {r.page_id: r.text for r in wrappers.extract_pages(df).collect()}
-    assert all(got[i] == f"Title {i}\nOwn text {i} of the page" for i in range(40)) and got[200] == got[7]
+    assert all(got[i] == f"Title {i}\n\nOwn text {i} of the page" for i in range(40)) and got[200] == got[7]
     assert wrappers.infer(["<div>" * 3000 + "deep"] * 3) and wrappers.extract("<div>" * 3000 + "deep") == "deep"
-    assert all(got[100 + i] == f"The long text number {i} of this page, which is told at length\nMore of number {i} here" for i in range(9))
+    assert all(got[100 + i] == f"The long text number {i} of this page, which is told at length\n\nMore of number {i} here" for i in range(9))
+    # Without the wrappers the template's lines stay and the teasers win.
+    assert "Tell your friends" in wrappers.extract(story.format(n=3)) and wrappers.extract(cards.format(n=3)) != got[103]
 
 
 @pytest.mark.parametrize(
@@ -60,9 +62,9 @@ def test_slots_choose_the_text(spark):
         ("<head><title>t</title><p>all of it</p>", "all of it"),
         ("<body><nav><ul><li>Menu</ul><div><p>all of it</p></div></body>", "all of it"),
         ("<body><div><button>Go<p>all of it</p></div></body>", "all of it"),
-        ("<p>one</p><svg-icon></svg-icon><p>two</p><svg/><iframe src='x' /><math /><video-player></video-player><p>three</p>", "one\ntwo\nthree"),
-        ("<script src=/a/>var x='<p>no</p>';</script><title/><p>yes</p><script src='a' />no</script><p>yes</p>", "yes\nyes"),
-        ("<article><h2 id='related-work'>Related work</h2><p>text</p></article>", "Related work\ntext"),
+        ("<p>one</p><svg-icon></svg-icon><p>two</p><svg/><iframe src='x' /><math /><video-player></video-player><p>three</p>", "one\n\ntwo\n\nthree"),
+        ("<script src=/a/>var x='<p>no</p>';</script><title/><p>yes</p><script src='a' />no</script><p>yes</p>", "yes\n\nyes"),
+        ("<article><h2 id='related-work'>Related work</h2><p>text</p></article>", "Related work\n\ntext"),
     ],
 )
 def test_ordinary_html(source, text):
@@ -73,7 +75,7 @@ def test_words_inside_articles_count_where_they_recur(spark):
     page = "<body><article><div class='article-header'>Title {n}</div>{more}<p>Text {n}</p><div class='related'>Next {n}</div></article></body>"
     pages = [(i, f"http://h.example.com/{i}", page.format(n=i, more="<section id=advertising>On adverts</section>" if i == 3 else "")) for i in range(8)]
     got = {r.page_id: r.text for r in wrappers.extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
-    assert got[3] == "Title 3\nOn adverts\nText 3" and got[4] == "Title 4\nText 4"
+    assert got[3] == "Title 3\n\nOn adverts\n\nText 3" and got[4] == "Title 4\n\nText 4"
 
 
 def test_given_pages(spark, mid_dir):
@@ -95,6 +97,14 @@ def test_lines_keep_their_first_text(spark):
     assert all(got[10 + i].text == rows[5][1] for i in range(5))
 
 
+def test_sites_of_copies_count(spark):
+    """A passage in two texts, one of them on twenty sites, stands on twenty sites."""
+    shared = "this passage stands in two texts only " * 3
+    rows = [(i, f"first text of its own\n{shared}", f"s{i}") for i in range(20)] + [(50, f"second text of its own\n{shared}", "s3")]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[i].text == rows[i][1] for i in range(20)) and got[50].text == "second text of its own" and got[50].lines_removed == 1
+
+
 def test_sure_and_near_counts_agree(spark):
     rows = [(100 * k + i, f"line of number {k} on some sites\nfiller {k} {i} a b c d", f"s{i}") for k in range(1, 16) for i in range(k)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")

@@ -12,7 +12,7 @@ elements that their names, roles or class and id words mark as menus, headers, f
 comments are left out (inside an article class and id words count only for what recurs on half of the cluster's pages); text that the wrapper matches as template text is left out. Of the rest, what stands in the cluster's
 main place, the deepest one that holds most of the text in slots, is the text. The article or main elements are a hint: where one
 holds half of that text or more, its borders are taken instead. Character references are decoded, white space inside a block
-becomes one space, blocks are joined by newlines, nothing else is dropped.
+becomes one space, blocks are joined by an empty line (two newlines), nothing else is dropped.
 
 Edge cases: null and empty html give an empty text; a null url has an empty host; unclosed and stray tags, truncated pages and
 unquoted attributes are read as far as they make sense; pages of a cluster of fewer than ``least_pages`` distinct pages share
@@ -438,7 +438,7 @@ def extract(source: str | None, about: dict[str, dict] | None = None) -> str:
         chosen = [b for b in found if b.article]
     elif 2 * size(b for b in chosen if b.main) >= size(chosen):
         chosen = [b for b in found if b.main]
-    return "\n".join(b.text for b in chosen)
+    return "\n\n".join(b.text for b in chosen)
 
 
 PARTS = "host string, cluster string, n long, at long, wrapper string"
