@@ -18,10 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the one the cluster names, or one of our own where none is set."""
+    """The shared folder for checkpoints: the one the cluster names, or one of our own where none is set and
+    driver and executors are one process."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(shared or "/tmp/checkpoints")
     return context.getCheckpointDir()
 
 
@@ -31,6 +35,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def numbered(df: DataFrame, *names: str) -> tuple[DataFrame, tuple[Column, ...]]:
+    """The table with its columns named by number, so that no name of a caller's clashes with one made here, and the named ones of them."""
+    found = df.toDF(*(f"#{i}" for i in range(len(df.columns))))
+    return found, tuple(F.col(f"#{df.columns.index(n)}") for n in names)
+
+
+def restored(df: DataFrame, names: list[str], *more: str) -> DataFrame:
+    """Undoes ``numbered``; further columns replace those of their names."""
+    return df.select(*(F.col(f"#{i}").alias(n) for i, n in enumerate(names) if n not in more), *more)
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text; null and blank texts have none."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(ASCII_SPACE))

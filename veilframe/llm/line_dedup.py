@@ -1,15 +1,17 @@
 """Line dedup by distinct-site spread: lines that many sites carry are boilerplate and go from all texts but the first.
 
 Lines are normalised (white space collapsed, trimmed, lower case) and hashed. HyperLogLog sketches of the sites of every line
-merge by aggregation; where the estimate lies near the threshold, the distinct sites are counted exactly. Copies of one text
-count as one text, at the site of its first document, so that a text that was copied whole is left to a document-level
-operator. The text with the least doc_id among those that carry a spread line keeps it; all others lose it.
+merge by aggregation; where the estimate lies near the threshold, the distinct sites are counted exactly. Sites are counted over all
+documents, copies included. A line that one text alone carries is not boilerplate, however often that text was copied: copies of
+whole texts are left to a document-level operator. The text with the least doc_id among those that carry a spread line keeps it
+in all its copies; all other texts lose it.
 
 A line of at least ``min_words`` words spreads from ``min_sites`` sites on, a shorter one from ``short_min_sites`` on.
 
 Edge cases: null and empty texts are returned as they are; lines without a word are never removed; a null source is a site of
 its own; of rows that repeat a doc_id with other texts each is treated by its text; an empty table gives an empty result; the
-other columns are returned unchanged (``n_chars`` follows the text where it is present).
+other columns are returned unchanged, whatever their names (``n_chars`` follows the text where it is present, a column
+``lines_removed`` is replaced).
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import BROADCAST_ROWS, GAP, WORD, map_texts, materialize, small, text_key
+from veilframe.llm.common import BROADCAST_ROWS, GAP, WORD, map_texts, materialize, numbered, small, text_key
 
 
 @dataclass(frozen=True)
@@ -44,19 +46,24 @@ def line_hashes(text: Column) -> Column:
 def spread_lines(docs: DataFrame, s: Spread = Spread()) -> tuple[DataFrame, DataFrame]:
     """The lines of the distinct texts (key, h, w, first, site) and the spread ones among them (h, sites, owner).
 
-    ``first`` orders texts: the least doc_id of a text and its key.
+    ``first`` orders texts: the least doc_id of a text and its key. ``site`` is one of the text's sites.
     """
-    rows = docs.select("doc_id", "source", text_key(F.col("text")).alias("key"), "text").where(F.col("text").isNotNull())
-    firsts = rows.groupBy("key").agg(F.min(F.struct("doc_id", "source")).alias("f")).select("key", F.struct("f.doc_id", "key").alias("first"), F.coalesce(F.xxhash64("f.source", F.length("f.source")), F.lit(0)).alias("site"))
+    site = F.coalesce(F.xxhash64("source", F.length("source")), F.lit(0)).alias("site")
+    rows = docs.select("doc_id", site, text_key(F.col("text")).alias("key"), "text").where(F.col("text").isNotNull())
+    held = materialize(rows.groupBy("key", "site").agg(F.min("doc_id").alias("doc_id"), F.max(F.col("doc_id").isNull()).alias("none")))
+    least_id = F.min(F.struct((~F.col("none")).alias("named"), F.when(~F.col("none"), F.col("doc_id")).alias("doc_id"))).alias("f")
+    firsts = held.groupBy("key").agg(least_id, F.min("site").alias("site")).select("key", F.struct("f.doc_id", "key").alias("first"), "site")
     exploded = rows.select("key", F.explode(line_hashes(F.col("text"))).alias("x")).select("key", "x.h", "x.w").groupBy("key", "h").agg(F.first("w").alias("w"))
     lines = materialize(exploded.join(firsts, "key"))
+    # The other sites of texts that stand on several.
+    others = materialize(held.join(firsts.select("key", F.col("site").alias("_site")), "key").where("site <> _site").select("key", F.col("site").alias("other")))
     least = F.when(F.col("w") >= s.min_words, s.min_sites).otherwise(s.short_min_sites)
-    sketched = lines.groupBy("h").agg(F.hll_sketch_agg("site", F.lit(s.sketch_bits)).alias("sketch"), F.min("w").alias("w"), F.count(F.lit(1)).alias("texts"), F.min("first").alias("owner"))
-    # A line of fewer texts than sites needed can't reach them.
-    likely = sketched.where(F.col("texts") >= least).select("h", "owner", F.hll_sketch_estimate("sketch").alias("estimate"), least.alias("least")).where(F.col("estimate") * s.near >= F.col("least"))
+    everywhere = lines.select("h", "w", "first", "site").unionAll(lines.join(small(others), "key").select("h", "w", "first", F.col("other").alias("site")))
+    sketched = everywhere.groupBy("h").agg(F.hll_sketch_agg("site", F.lit(s.sketch_bits)).alias("sketch"), F.min("w").alias("w"), F.min("first").alias("owner"), F.max("first").alias("last"))
+    likely = sketched.where("owner <> last").select("h", "owner", F.hll_sketch_estimate("sketch").alias("estimate"), least.alias("least")).where(F.col("estimate") * s.near >= F.col("least"))
     likely = materialize(likely)
     near = likely.where(F.col("estimate") <= F.col("least") * s.near)
-    exact = lines.select("h", "site").join(small(near), "h").groupBy("h", "least", "site").agg(F.lit(1).alias("one")).groupBy("h", "least").agg(F.count("one").alias("sites")).where(F.col("sites") >= F.col("least")).select("h", "sites")
+    exact = everywhere.select("h", "site").join(small(near.select("h", "least")), "h").groupBy("h", "least", "site").agg(F.lit(1).alias("one")).groupBy("h", "least").agg(F.count("one").alias("sites")).where(F.col("sites") >= F.col("least")).select("h", "sites")
     sure = likely.where(F.col("estimate") > F.col("least") * s.near).select("h", F.col("estimate").alias("sites"))
     chosen = materialize(exact.unionAll(sure).join(likely.select("h", "owner"), "h"))
     return lines, small(chosen)
@@ -64,9 +71,10 @@ def spread_lines(docs: DataFrame, s: Spread = Spread()) -> tuple[DataFrame, Data
 
 def dedup_lines(docs: DataFrame, s: Spread = Spread()) -> DataFrame:
     """The columns of ``docs`` with cleaned texts, and lines_removed (long)."""
+    docs = docs.drop("lines_removed")
     lines, spread = spread_lines(docs, s)
     gone = materialize(lines.join(spread, "h").where(F.col("first") != F.col("owner")).select("key", "h"))
-    losers = gone.groupBy(F.col("key").alias("_drop_key")).agg(F.collect_set("h").alias("_drop"))  # a text's own lines at most
+    losers = gone.groupBy(F.col("key").alias("drop_key")).agg(F.collect_set("h").alias("drop"))  # a text's own lines at most
     if gone.count() <= BROADCAST_ROWS:
         losers = F.broadcast(losers)
     names = docs.columns
@@ -94,6 +102,7 @@ def dedup_lines(docs: DataFrame, s: Spread = Spread()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], names=[*names, "lines_removed"])
 
     # The hashes of a text's lines, in order and with null for lines without a word, only where some line goes.
-    ordered = F.transform(F.split("text", "\n", -1), lambda x: F.when(x.rlike(WORD), F.xxhash64(F.lower(F.btrim(F.regexp_replace(x, GAP, " "))))))
-    joined = docs.withColumn("_row_key", text_key(F.col("text"))).join(losers, F.col("_row_key") == F.col("_drop_key"), "left")
-    return map_texts(joined.select(*names, F.when(F.col("_drop").isNotNull(), ordered).alias("_hashes"), "_drop"), run, f"{kinds}, lines_removed long")
+    rows, (text,) = numbered(docs, "text")
+    ordered = F.transform(F.split(text, "\n", -1), lambda x: F.when(x.rlike(WORD), F.xxhash64(F.lower(F.btrim(F.regexp_replace(x, GAP, " "))))))
+    joined = rows.withColumn("row_key", text_key(text)).join(losers, F.col("row_key") == F.col("drop_key"), "left")
+    return map_texts(joined.select(*rows.columns, F.when(F.col("drop").isNotNull(), ordered).alias("hashes"), "drop"), run, f"{kinds}, lines_removed long")

@@ -129,13 +129,14 @@ from m
 
 OP4_SQL = r"""
 with d as (select row_number() over () as r, doc_id, source, text from documents),
-texts as (select text, min(doc_id) as first_doc, arg_min(coalesce(source, chr(0)), doc_id) as site from d where text is not null group by text),
+texts as (select text, min(doc_id) as first_doc from d where text is not null group by text),
+sites as (select distinct text, coalesce(source, chr(0)) as site from d where text is not null),
 lines as (
-  select distinct text, first_doc, site, lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))) as x
-  from (select text, first_doc, site, unnest(string_split(text, chr(10))) as x from texts) where regexp_matches(x, '[^\x20\x09-\x0D]')
+  select distinct text, first_doc, lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))) as x
+  from (select text, first_doc, unnest(string_split(text, chr(10))) as x from texts) where regexp_matches(x, '[^\x20\x09-\x0D]')
 ), spread as (
-  select x, min(first_doc) as owner from lines group by x
-  having count(distinct site) >= case when len(string_split(x, ' ')) >= 5 then 3 else 10 end
+  select x, min(first_doc) as owner from lines join sites using (text) group by x
+  having count(distinct text) > 1 and count(distinct site) >= case when len(string_split(x, ' ')) >= 5 then 3 else 10 end
 ), gone as (select l.text, l.x from lines l join spread s using (x) where l.first_doc <> s.owner),
 parts as (
   select r, text, unnest(string_split(text, chr(10))) as y, unnest(range(len(string_split(text, chr(10))))) as i from d where text is not null
