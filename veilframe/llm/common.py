@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import contextlib
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -62,13 +63,36 @@ def in_training(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 != 2, F.lit(False))
 
 
-#: Up to so many rows a counted table of short rows is broadcast; a larger one is joined by shuffle.
+#: Up to so many rows a counted table of two numbers is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Up to so many bytes, by its rows' measured widths, any table is.
+BROADCAST_BYTES = 32 << 20
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A materialised table with a broadcast hint if it has few rows."""
-    return F.broadcast(df) if df.count() <= rows else df
+def width(field: T.StructField) -> Column:
+    """Bytes of a value, about."""
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(F.col(f"`{field.name}`")), F.lit(0)) + 8
+    if isinstance(field.dataType, T.ArrayType):
+        return 8 * F.greatest(F.size(F.col(f"`{field.name}`")), F.lit(0)) + 8
+    return F.lit(8 * len(field.dataType.fields) + 8 if isinstance(field.dataType, T.StructType) else 8)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """A materialised table with a broadcast hint if it has few rows and bytes."""
+    each = sum((width(f) for f in df.schema.fields), F.lit(16))
+    found = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(each.cast("long")), F.lit(0)).alias("size")).first()
+    return F.broadcast(df) if found["n"] <= rows and found["size"] <= size else df
+
+
+def first_of(df: DataFrame, group: str, order: list[Column], most: Column) -> DataFrame:
+    """The first ``most`` rows of every group. Every task keeps no more of a group before the rest move."""
+    return df.withColumn("#k", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("#k") <= most).drop("#k")
+
+
+def passages(text: Column, chars: int) -> Column:
+    """The whole text as an array of (at, passage)."""
+    return F.transform(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{chars}}}"), F.lit(0)), lambda x, i: F.struct(i.alias("at"), x.alias("passage")))
 
 
 def map_texts(df: DataFrame, run, schema) -> DataFrame:

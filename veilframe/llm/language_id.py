@@ -4,8 +4,10 @@ Bytes are embedded, convolved with filters of several widths, max-pooled over a
 A text is cut into windows that cover all of it; the mean of the windows' logits, weighted by their length, decides. For use,
 embedding and filters fold into lookup tables of byte pairs, so a window costs a few gathers and additions.
 
-Fitting reads at most ``texts_per_language`` training texts of each language, chosen by a hash of their id, and at most
-``sample_chars`` characters of each; prediction reads every text as a whole.
+Fitting reads at most ``texts_per_language`` training documents of each language, chosen by a hash of their id, and of the passages
+that they fall into as a whole at most ``passages_per_language``, chosen likewise; with very many languages these bounds shrink so that
+``sample_rows`` passages are enough for all, and every language keeps one at least. Any language of a training row can be
+predicted. Prediction reads every text as a whole.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; training rows of null language or text are left out;
 without training rows every text is ``und``; with one language every text with letters gets it; repeated rows get the
@@ -22,14 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import in_training, map_texts
+from veilframe.llm.common import first_of, in_training, map_texts, passages
 
 
 @dataclass(frozen=True)
 class Settings:
     texts_per_language: int = 300
-    most_languages: int = 200
-    sample_chars: int = 4000
+    passages_per_language: int = 600
+    passage_chars: int = 2000
+    sample_rows: int = 100_000
     window: int = 128
     widths: tuple[int, ...] = (2, 3, 4)
     filters: int = 16
@@ -178,21 +181,20 @@ class Predictor:
 
 
 def training_sample(docs: DataFrame, s: Settings) -> list[tuple[str, str]]:
-    """At most texts_per_language texts of each of the most_languages most frequent languages, without held-out rows."""
+    """(passage, language) of the chosen documents, without held-out rows."""
     own = docs.select("doc_id", "text", "lang").where(in_training(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(s.most_languages).collect()
-    picked = None
-    rows: list[tuple[str, str]] = []
+    languages = own.select("lang").distinct().count()
+    if not languages:
+        return []
+    most = max(1, s.sample_rows // languages)
     ids = own.select("doc_id", "lang", F.xxhash64("doc_id", "lang").alias("h"))
-    for r in counts:
-        # A top-k per language: each task keeps texts_per_language ids at most.
-        part = ids.where(F.col("lang") == r["lang"]).orderBy("h", "doc_id").limit(s.texts_per_language)
-        picked = part if picked is None else picked.unionAll(part)
-    if picked is not None:
-        chosen = F.broadcast(picked.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct())
-        texts = own.join(chosen, (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("doc_id", F.substring("text", 1, s.sample_chars).alias("text"), "lang")
-        rows = sorted((r.lang, r.doc_id, r.text) for r in texts.collect())
-    return [(t, y) for y, _, t in rows]
+    ids = first_of(ids, "lang", [F.col("h"), F.col("doc_id")], F.lit(min(s.texts_per_language, most))).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
+    # At most sample_rows pairs of an id and a language. A document of several rows gives one text.
+    texts = own.join(F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).groupBy("doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    parts = texts.select("doc_id", "lang", F.explode(passages(F.col("text"), s.passage_chars)).alias("p")).select("doc_id", "lang", "p.at", "p.passage")
+    parts = parts.withColumn("h", F.xxhash64("doc_id", "at"))
+    rows = first_of(parts, "lang", [F.col("h"), F.col("doc_id"), F.col("at")], F.lit(min(s.passages_per_language, most))).collect()
+    return [(r.passage, r.lang) for r in sorted(rows, key=lambda r: (r.lang, r.doc_id, r["at"]))]
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
