@@ -51,3 +51,39 @@ def test_quality_ignores_held_out_labels(spark, mid_dir):
     flipped = labels.selectExpr("doc_id", "if(crc32(cast(doc_id as string)) % 4 = 2, 1 - quality, quality) as quality")
     s = compression_classifier.Settings()
     assert compression_classifier.labelled_sample(docs, labels, s) == compression_classifier.labelled_sample(docs, flipped, s)
+
+
+def test_samples_are_bounded(spark):
+    """Repeated rows of an id, many languages, long texts: the driver gets what the settings say, from all of every text."""
+    rows = [(i % 8 + 100, "ein wort und noch eines " * 50 + str(i), "de") for i in range(400)] + [(i, "one word " * 2000, f"l{i % 40}") for i in range(1000, 1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7)
+    s = language_id.Settings(sample_rows=205, passage_chars=100)
+    got = language_id.training_sample(docs, s)
+    by = {y: [t for t, x in got if x == y] for _, y in got}
+    assert len(by) == 41 and all(len(x) <= 5 for x in by.values()) and got == language_id.training_sample(docs.repartition(3), s)
+    assert any(t not in rows[-1][1][:1000] or len(t) < 100 for x in by.values() for t in x)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100, 1200)], "doc_id long, quality int")
+    c = compression_classifier.Settings(sample_per_class=60, passages_per_class=25, passage_chars=100)
+    sample = compression_classifier.labelled_sample(docs, labels, c)
+    assert {q: sum(x == q for _, x in sample) for q in (0, 1)} == {0: 25, 1: 25}
+
+
+def test_difference_alone_tells_quality(spark):
+    """Scored against a plain version: sizes window by window, one weight for the difference, one for one."""
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(map(chr, 97 + rng.integers(0, 6, n)))
+    rows = [(i, " ".join(word(4) for _ in range(200)) if i % 2 else " | ".join(word(4).upper() for _ in range(200))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    model = compression_classifier.fit(docs, labels)
+    import zstandard
+
+    def size(text, d):
+        c = zstandard.ZstdCompressor(level=12, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False)
+        data = text.encode()
+        return sum(len(c.compress(data[k : k + 64])) for k in range(0, len(data), 64))
+
+    for r in compression_classifier.classify(docs, labels).where("doc_id < 20").collect():
+        good, bad = size(rows[r.doc_id][1], model.good), size(rows[r.doc_id][1], model.bad)
+        at = model.weights[0] * 10 * (bad - good + 100 * model.usual) / (bad + good + 100) + model.weights[1]
+        assert abs(r.score - 1 / (1 + np.exp(-at))) < 1e-9 and r.predicted == r.doc_id % 2

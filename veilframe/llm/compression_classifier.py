@@ -1,17 +1,18 @@
 """Quality classifier by compression: texts like the good examples shrink more under a dictionary made of good text.
 
-Two zstandard dictionaries are built from labelled text, one per class. A text is compressed block by block with each, and the
-normalised difference of the compressed sizes, (bad - good) / (bad + good), goes through a logistic calibration that is fitted
-on labelled rows the dictionaries have not seen. A text of few bytes says little, so ``prior_bytes`` bytes of the usual difference
-are added to every text; the text's own compression ratio enters the calibration too, as repetition shrinks under either
-dictionary. Scores need one pass over the text and no shuffle.
-
-Fitting reads at most ``sample_per_class`` labelled texts per class, chosen by a hash of their id, and at most
-``sample_chars`` characters of each, from its middle; scoring reads every text as a whole.
-
-Edge cases: null and empty texts get the calibrated score of the usual difference and ratio; labels of null quality, unknown
-documents or several rows per document are left out, or count once; if one of the classes has fewer than ``least_examples`` texts,
-every score is the share of good ones (0.5 without labels); repeated rows score alike; other columns are ignored.
+Two zstandard dictionaries are built from labelled text, one per class. A text is compressed with each, window by window of
+``block_bytes`` bytes, so that what a window repeats of itself counts little beside what the dictionaries know of it. The normalised
+difference of the compressed sizes, (bad - good) / (bad + good), goes through a logistic calibration that is fitted on whole labelled
+texts which the dictionaries have not seen. A text of few bytes says little, so ``prior_bytes`` compressed bytes of the usual difference are
+added to every text. Scores need one pass over the text and no shuffle.
+
+Fitting reads at most ``sample_per_class`` labelled documents of each class, chosen by a hash of their id. One half is calibrated on, as
+a whole; of the passages that the other half falls into, at most ``passages_per_class``, chosen likewise, make the dictionary.
+Scoring reads every text as a whole.
+
+Edge cases: null and empty texts get the calibrated score of the usual difference; labels of null quality, unknown
+documents or several rows per document are left out, or count once; if one of the classes has no text for its dictionary or fewer than
+``least_examples`` to calibrate on, every score is the share of good labels (0.5 without labels); repeated rows score alike; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,16 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import in_training, map_texts
+from veilframe.llm.common import first_of, in_training, map_texts, passages
 
 
 @dataclass(frozen=True)
 class Settings:
-    sample_per_class: int = 1500
-    sample_chars: int = 6000
-    dictionary_bytes: int = 110000
-    block_bytes: int = 2048
-    level: int = 3
+    sample_per_class: int = 3000
+    passages_per_class: int = 4000
+    passage_chars: int = 2000
+    dictionary_bytes: int = 256_000
+    block_bytes: int = 64
+    level: int = 12
     least_examples: int = 8
     prior_bytes: int = 100
     threshold: float = 0.7
@@ -42,25 +44,27 @@ class Settings:
 
 @dataclass(frozen=True)
 class Model:
+    """``weights``: of the difference and of one."""
+
     good: bytes
     bad: bytes
-    weights: tuple[float, ...]
-    usual: tuple[float, float] = (0.0, 0.5)
-    block_bytes: int = 2048
-    level: int = 3
+    weights: tuple[float, float]
+    usual: float = 0.0
+    block_bytes: int = 64
+    level: int = 12
     prior_bytes: int = 100
 
 
-def blocks(text: str, size: int) -> list[bytes]:
+def blocks(text: str, size: int) -> Iterator[bytes]:
     data = text.encode()
-    return [data[k : k + size] for k in range(0, len(data), size)]
+    return (data[k : k + size] for k in range(0, len(data), size))
 
 
 def dictionary(texts: list[str], s: Settings) -> bytes:
-    """A zstandard dictionary of the texts; of very few texts, their raw content."""
+    """A zstandard dictionary of the passages; of very few, their raw content."""
     import zstandard
 
-    samples = [b for t in texts for b in blocks(t, 512)]
+    samples = [t.encode() for t in texts]
     try:
         return zstandard.train_dictionary(s.dictionary_bytes, samples, level=s.level).as_bytes()
     except zstandard.ZstdError:
@@ -74,25 +78,27 @@ class Scorer:
         import zstandard
 
         self.model = m
-        self.pair = [zstandard.ZstdCompressor(level=m.level, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False) for d in (m.good, m.bad)]
-
-    def sizes(self, text: str | None) -> tuple[int, int, int]:
-        """Compressed sizes under the good and the bad dictionary, and the plain size."""
-        good = bad = plain = 0
-        for b in blocks(text or "", self.model.block_bytes):
-            good += len(self.pair[0].compress(b))
-            bad += len(self.pair[1].compress(b))
-            plain += len(b)
-        return good, bad, plain
-
-    def features(self, sizes: tuple[int, int, int]) -> list[float]:
-        """Smoothed difference, smoothed ratio and its square, and a one."""
-        (good, bad, plain), prior, (difference, ratio) = sizes, self.model.prior_bytes, self.model.usual
-        d, r = (bad - good + prior * difference) / (bad + good + prior), ((good + bad) / 2 + prior * ratio) / (plain + prior)
-        return [10 * d, 3 * r, 9 * r * r, 1.0]
+        both = [zstandard.ZstdCompressionDict(d) for d in (m.good, m.bad)]
+        for d in both:
+            d.precompute_compress(level=m.level)
+        self.pair = [zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False) for d in both]
+
+    def sizes(self, text: str | None) -> tuple[int, int]:
+        """Compressed sizes under the good and the bad dictionary."""
+        good, bad = (c.compress for c in self.pair)
+        a = b = 0
+        for x in blocks(text or "", self.model.block_bytes):
+            a += len(good(x))
+            b += len(bad(x))
+        return a, b
+
+    def difference(self, sizes: tuple[int, int]) -> float:
+        """Normalised and smoothed."""
+        (good, bad), prior = sizes, self.model.prior_bytes
+        return (bad - good + prior * self.model.usual) / (bad + good + prior)
 
     def score(self, text: str | None) -> float:
-        at = sum(w * x for w, x in zip(self.model.weights, self.features(self.sizes(text)), strict=True))
+        at = self.model.weights[0] * 10 * self.difference(self.sizes(text)) + self.model.weights[1]
         return 1.0 / (1.0 + math.exp(-max(-40.0, min(40.0, at))))
 
 
@@ -108,33 +114,56 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
     return w
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, s: Settings) -> list[tuple[str, int]]:
-    """At most sample_per_class training texts of each class, without held-out rows."""
+def picked(docs: DataFrame, labels: DataFrame, s: Settings, half: int) -> DataFrame:
+    """(doc_id, quality, text) of the chosen training documents of a half, without held-out rows; one row per document."""
     own = labels.where(F.col("quality").isin(0, 1) & in_training(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    order = F.xxhash64("doc_id")
-    picked = own.where("quality = 0").orderBy(order, "doc_id").limit(s.sample_per_class).union(own.where("quality = 1").orderBy(order, "doc_id").limit(s.sample_per_class))
+    found = first_of(own, "quality", [F.xxhash64("doc_id"), F.col("doc_id")], F.lit(s.sample_per_class))
     # At most 2 * sample_per_class rows of two numbers are broadcast.
-    start = F.greatest(F.lit(1), F.floor((F.length("text") - s.sample_chars) / 2)).cast("int")
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id").select("doc_id", F.substring("text", start, F.lit(s.sample_chars)).alias("text"), "quality")
-    rows = rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.min("quality").alias("quality"))
-    return [(r.text, r.quality) for r in rows.orderBy(order, "doc_id").collect()]
+    found = F.broadcast(found.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == half))
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(found, "doc_id")
+    return rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.min("quality").alias("quality"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, s: Settings) -> list[tuple[str, int]]:
+    """(passage, quality): what the dictionaries are made of."""
+    parts = picked(docs, labels, s, 0).select("doc_id", "quality", F.explode(passages(F.col("text"), s.passage_chars)).alias("p")).select("doc_id", "quality", "p.at", "p.passage")
+    parts = parts.withColumn("h", F.xxhash64("doc_id", "at"))
+    rows = first_of(parts, "quality", [F.col("h"), F.col("doc_id"), F.col("at")], F.lit(s.passages_per_class)).collect()
+    return [(r.passage, r.quality) for r in sorted(rows, key=lambda r: (r.h, r.doc_id, r["at"]))]
+
+
+def calibration(docs: DataFrame, labels: DataFrame, model: Model, s: Settings) -> list[tuple[int, int, int]]:
+    """(good, bad, quality): sizes of the whole texts of the other half, measured where the texts are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for b in batches:
+            sizes = [scorer.sizes(x.as_py()) for x in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([z[k] for z in sizes], pa.int64()) for k in (0, 1))], names=["doc_id", "quality", "good", "bad"])
+
+    kinds = dict(docs.select("doc_id").dtypes) | dict(labels.select("quality").dtypes)
+    rows = picked(docs, labels, s, 1).where("text <> ''").select("doc_id", "quality", "text")
+    found = map_texts(rows, run, f"doc_id {kinds['doc_id']}, quality {kinds['quality']}, good long, bad long").collect()
+    return [(r.good, r.bad, r.quality) for r in sorted(found, key=lambda r: r.doc_id)]
 
 
-def fit(sample: list[tuple[str, int]], s: Settings = Settings()) -> Model:
-    """Dictionaries from the even examples of each class; the calibration on the odd ones, which they have not seen."""
+def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
+    """Dictionaries from one half of the labelled documents; the calibration on the other, which they have not seen."""
+    sample = labelled_sample(docs, labels, s)
     by = {q: [t for t, x in sample if x == q] for q in (0, 1)}
-    total = len(by[0]) + len(by[1])
-    if min(len(by[0]), len(by[1])) < s.least_examples:
-        share = min(max(len(by[1]) / total, 1e-3), 1 - 1e-3) if total else 0.5
-        return Model(b"\n" * 16, b"\n" * 16, (0.0, 0.0, 0.0, math.log(share / (1 - share))), (0.0, 0.5), s.block_bytes, s.level, s.prior_bytes)
-    model = Model(dictionary(by[1][::2], s), dictionary(by[0][::2], s), (), (0.0, 0.5), s.block_bytes, s.level, s.prior_bytes)
-    held = [(Scorer(model).sizes(t), q) for q in (0, 1) for t in by[q][1::2] if t]
-    good = [x for x, q in held if q == 1]
-    usual = (float(np.mean([(b - g) / (b + g) for g, b, _ in good])), float(np.mean([(g + b) / 2 / n for g, b, n in good])))
-    model = replace(model, usual=usual)
+    blind = Model(b"\n" * 16, b"\n" * 16, (0.0, 0.0), 0.0, s.block_bytes, s.level, s.prior_bytes)
+    model = replace(blind, good=dictionary(by[1], s), bad=dictionary(by[0], s)) if by[0] and by[1] else blind
+    held = calibration(docs, labels, model, s)
+    good = [x for x in held if x[2] == 1]
+    if not (by[0] and by[1]) or min(len(good), len(held) - len(good)) < s.least_examples:
+        share = labels.where(F.col("quality").isin(0, 1) & in_training(F.col("doc_id"))).agg(F.avg("quality")).first()[0]
+        share = 0.5 if share is None else min(max(float(share), 1e-3), 1 - 1e-3)
+        return replace(blind, weights=(0.0, math.log(share / (1 - share))))
+    model = replace(model, usual=float(np.mean([(b - g) / (b + g) for g, b, _ in good])))
     scorer = Scorer(model)
-    weights = logistic(np.array([scorer.features(x) for x, _ in held]), np.array([q for _, q in held], dtype=float))
-    return replace(model, weights=tuple(map(float, weights)))
+    x = np.array([[10 * scorer.difference((g, b)), 1.0] for g, b, _ in held])
+    weights = logistic(x, np.array([q for _, _, q in held], dtype=float))
+    return replace(model, weights=(float(weights[0]), float(weights[1])))
 
 
 def score(docs: DataFrame, model: Model, s: Settings = Settings()) -> DataFrame:
@@ -152,12 +181,12 @@ def score(docs: DataFrame, model: Model, s: Settings = Settings()) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Fits on the labelled documents and scores all of them."""
-    return score(docs, fit(labelled_sample(docs, labels, s), s), s)
+    return score(docs, fit(docs, labels, s), s)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
     """The documents that the classifier does not reject, with all their columns."""
-    model = fit(labelled_sample(docs, labels, s), s)
+    model = fit(docs, labels, s)
     names, place = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
