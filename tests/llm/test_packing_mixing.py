@@ -144,10 +144,10 @@ def test_mix_of_given_documents(spark, mid_dir):
         usual[r.source] += r.taken
     assert all(abs(usual[s] - target[s]) <= 0.01 * target[s] for s in usual)
     per_shard = Counter(x for r in rows for x in r.shards)
-    assert len(per_shard) == mix.shards and max(per_shard.values()) < 2 * min(per_shard.values())
+    assert len(per_shard) == 8 and max(per_shard.values()) < 2 * min(per_shard.values())
     mixed = mixing.mix_rows(docs, mix)
     assert mixed.count() == sum(r.copies for r in rows)
-    parts = mixing.shuffle_shards(mixed, mix).groupBy("mix_shard").count().collect()
+    parts = mixing.shuffle_shards(mixed).groupBy("mix_shard").count().collect()
     assert {r.mix_shard: r["count"] for r in parts} == dict(per_shard)
 
 
@@ -166,3 +166,28 @@ def test_repeated_rows_share_copies(spark):
     docs = spark.createDataFrame([(1, "a b c", "s"), (1, "a b c", "s"), (2, "d e", "s"), (3, "f", None), (4, " ".join("x" * 40), "t")], "doc_id long, text string, source string")
     rows = mixing.assign(docs).collect()
     assert mixing.mix_rows(docs).count() == sum(r.copies for r in rows)
+
+
+def test_nothing_is_taken_past_the_tree(spark, small_dir, monkeypatch):
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet")
+    split = mixing.split_quotas
+    monkeypatch.setattr(mixing, "split_quotas", lambda quotas, shards, seed: 0 * split(quotas, shards, seed))
+    assert {(r.taken, r.copies, tuple(r.shards)) for r in mixing.assign(docs).collect()} == {(0, 0, ())}
+
+
+def test_many_repeated_rows(spark):
+    """A third of all rows repeat one: they are spread over blocks, each at most three times, and reruns agree."""
+    rows = [(1, "a b c", "s")] * 2000 + [(i, f"w{i} x " * (i % 9), f"t{i % 3}") for i in range(10, 4010)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    mix = mixing.Mix(block_docs=100, run=4)
+    got = mixing.assign(docs, mix).collect()
+    assert len(got) == len(rows) and max(r.copies for r in got) <= 3 and sum(r.same == 2000 for r in got) == 2000
+    taken, target = defaultdict(int), {}
+    for r in got:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert all(abs(taken[s] - target[s]) <= 0.01 * target[s] for s in taken)
+    again = Counter((r.doc_id, r.copies, tuple(r.shards), tuple(r.orders)) for r in mixing.assign(docs.repartition(3), mix).collect())
+    assert again == Counter((r.doc_id, r.copies, tuple(r.shards), tuple(r.orders)) for r in got)
+    mixed = mixing.mix_rows(docs, mix)
+    assert Counter(r.doc_id for r in mixed.collect()) == Counter({i: n for i in {r.doc_id for r in got} if (n := sum(r.copies for r in got if r.doc_id == i))})

@@ -1,16 +1,19 @@
 """Mixes sources to target weights: a multivariate-hypergeometric splitting tree over blocks of documents.
 
 Documents fall into blocks of their source by a seeded hash, which permutes them. The target of a source fixes how often all its
-documents are taken and how many blocks, in permuted order, are taken once more; one block is taken in part. These block quotas,
+blocks are taken and how many blocks, in permuted order, are taken once more; one block is taken in part. These block quotas,
 one number per source, are split down a binary tree over the output shards, each split a multivariate hypergeometric draw,
 so every shard gets a fair share of every source and the quotas add up exactly. A shard draws the next blocks of each source,
-disjoint from the others', and orders their documents by a seeded hash.
+disjoint from the others', and orders their documents by a seeded hash. What a document contributes is what shards have drawn of
+its block: nothing is taken that the tree doesn't hand to a shard.
 
 The driver holds a few numbers per source (a source is a line of the mix) and shard; documents stay in the executors, and no
 task holds more than one block of a source, about ``block_docs`` documents.
 
 Edge cases: a null source is one of its own, the last; a null or blank text has size 0 and takes nothing; a source without
-words has target 0; repeated rows are rows of their own and may differ in what is taken; an empty table gives an empty result.
+words has target 0; rows that repeat id, source and text are rows of their own, spread over the blocks, and may differ in what is taken; a
+null id is an id; an empty table gives an empty result; columns of any name pass through ``mix_rows``, but ``mix_shard`` and
+``mix_order`` are replaced.
 """
 
 from __future__ import annotations
@@ -24,17 +27,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import materialize, small, text_key, words
+from veilframe.llm.common import materialize, numbered, restored, small, text_key, words
 
 
 @dataclass(frozen=True)
 class Mix:
-    """Weights repeat over the sources in the order of their names; no source is taken more than ``most_times`` its size."""
+    """Weights repeat over the sources in the order of their names; no source is taken more than ``most_times`` its size. There are
+    ``shards`` shards, or, where it is 0, one per ``shard_words`` words and eight at least."""
 
     weights: tuple[int, ...] = (1, 2, 3)
     most_times: int = 3
-    shards: int = 8
+    shards: int = 0
+    shard_words: int = 2_000_000_000
     block_docs: int = 4096
+    #: So many blocks are summed first where a source's blocks are summed up in order.
+    run: int = 1024
     seed: int = 17
 
 
@@ -108,12 +115,13 @@ def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def assign(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """The columns of ``docs`` less the text, and: size, source_size, target, copies, taken, shards and orders (one per copy): where a copy
-    stands is its order's place among its shard's."""
+    """Per row: doc_id, source, key of the text, again (its number among rows that repeat these), same (how many these are), size,
+    source_size, target, copies, taken, shards and orders (one per copy): where a copy stands is its order's place among its shard's."""
     own = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), text_key(F.col("text")).alias("key"))
-    own = own.withColumns({"row": F.monotonically_increasing_id(), "draw": F.xxhash64(F.lit(mix.seed), "doc_id", "key")})
-    own = materialize(own)  # from here on, row numbers and sizes are fixed
-    per = [(r["source"], r["n"], r["words"]) for r in own.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")).collect()]
+    # Rows that repeat are counted, then dealt by their number, so they don't meet in one block.
+    own = own.groupBy("doc_id", "source", "key").agg(F.first("size").alias("size"), F.count(F.lit(1)).alias("same"))
+    own = materialize(own)  # from here on, sizes are fixed
+    per = [(r["source"], r["n"], r["words"]) for r in own.groupBy("source").agg(F.sum("same").alias("n"), F.sum(F.col("size") * F.col("same")).alias("words")).collect()]
     per.sort(key=lambda r: (r[0] is None, r[0] or ""))  # Python orders strings by code point
     goal = targets([w for _, _, w in per], mix)
     spark = docs.sparkSession
@@ -121,50 +129,80 @@ def assign(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     for i, (source, n, size) in enumerate(per):
         times = min(mix.most_times, int(goal[i] // size)) if size else 0
         rows.append((source, i, size, goal[i], times, max(0, round(goal[i]) - times * size) if size and times < mix.most_times else 0, -(-n // mix.block_docs)))
-    # One row per source; the hint rests on that and on the cap of Spark's own threshold.
+    # One row per source.
     plan = spark.createDataFrame(rows, "source string, _i int, source_size long, target double, times int, over long, blocks long")
-    own = own.join(plan.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    own = own.join(F.broadcast(plan.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    own = own.withColumn("again", F.explode(F.sequence(F.lit(0).cast("long"), F.col("same") - 1)))
+    own = own.withColumn("draw", F.xxhash64(F.lit(mix.seed), "doc_id", "key", "again"))
     own = own.withColumn("block", F.pmod(F.xxhash64("draw", F.lit(mix.seed)), F.col("blocks")))
-    sums = own.where("over > 0").groupBy("_i", "block", "over").agg(F.sum("size").alias("words"))
-    upto = F.sum("words").over(Window.partitionBy("_i").orderBy("block"))
-    cuts = sums.withColumn("upto", upto).where("upto > over").groupBy("_i").agg(F.min(F.struct("block", F.expr("over - (upto - words)").alias("room"))).alias("c"))
+    # In which block a source's target falls: sums over runs of blocks in order, then inside the runs.
+    sums = own.where("over > 0").groupBy("_i", "block", "over").agg(F.sum("size").alias("words")).withColumn("run", F.floor(F.col("block") / mix.run))
+    runs = sums.groupBy("_i", "run").agg(F.sum("words").alias("words"))
+    earlier = Window.partitionBy("_i").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select("_i", "run", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("before"))
+    upto = F.col("before") + F.sum("words").over(Window.partitionBy("_i", "run").orderBy("block"))
+    cuts = sums.join(runs, ["_i", "run"]).withColumn("upto", upto).where("upto > over").groupBy("_i").agg(F.min(F.struct("block", F.expr("over - (upto - words)").alias("room"))).alias("c"))
     cuts = {r["_i"]: (r["c"]["block"], r["c"]["room"]) for r in cuts.collect()}  # one row per source
-    quotas = [times * blocks + (cuts.get(i, (blocks, 0))[0] + 1 if over else 0) for _, i, _, _, times, over, blocks in rows]
-    shares = split_quotas(quotas, mix.shards, mix.seed)
-    ends = shares.cumsum(0)
-    table = [(i, *(cuts.get(i, (rows[i][6], 0))), [int(x) for x in ends[:, i]]) for i in range(len(rows))]
-    extra = spark.createDataFrame(table, "_i int, cut long, room long, ends array<long>")
-    own = own.join(extra, "_i")
+    quotas = [times * blocks + (cuts.get(i, (blocks - 1, 0))[0] + 1 if over else 0) for _, i, _, _, times, over, blocks in rows]
+    shards = mix.shards or max(8, -(-sum(w for _, _, w in per) // mix.shard_words))
+    ends = split_quotas(quotas, shards, mix.seed).cumsum(0) if rows else np.zeros((0, 0), np.int64)
+    # The numbers that shard k draws of a source follow those of shard k - 1. Number n is block n % blocks, taken for the (n // blocks)th time.
+    drawn = [(i, k, int(ends[k - 1][i]) if k else 0, int(ends[k][i])) for k in range(len(ends)) for i in range(len(rows))]
+    drawn = spark.createDataFrame([x for x in drawn if x[2] < x[3]], "_i int, shard int, first long, last long").join(F.broadcast(plan.select("_i", "blocks")), "_i")
+    drawn = drawn.withColumn("n", F.explode(F.expr("sequence(first, last - 1)"))).select("_i", F.expr("n % blocks").alias("block"), F.struct(F.expr("cast(n div blocks as int)").alias("time"), "shard").alias("copy"))
+    # A block is drawn most_times times at most.
+    drawn = materialize(drawn.groupBy("_i", "block").agg(F.sort_array(F.collect_list("copy")).alias("drawn")))
+    own = own.join(small(drawn), ["_i", "block"], "left")
+    cut = spark.createDataFrame([(i, *(cuts.get(i, (rows[i][6], 0)))) for i in range(len(rows))], "_i int, cut long, room long")
+    own = own.join(F.broadcast(cut), "_i")
     # Only the block in which a source's target falls is looked at document by document.
-    part = own.where("over > 0 and block = cut").select("_i", "row", "doc_id", "key", "draw", "size", "room")
-    part = part.repartition("_i").sortWithinPartitions("_i", "draw", "doc_id", "key")
-    chosen = part.select("_i", "row", "size", "room").mapInArrow(_filled, "row long, extra boolean")
-    own = own.join(chosen, "row", "left")
-    once_more = (F.col("over") > 0) & ((F.col("block") < F.col("cut")) | F.coalesce("extra", F.lit(False)))
-    own = own.withColumn("copies", F.col("times") + once_more.cast("int"))
-    # Copy c of a block is number c * blocks + block in the order of its source; a shard owns the numbers below its end.
-    shard = F.expr("transform(if(copies > 0, sequence(0, copies - 1), array()), c -> size(filter(ends, e -> e <= c * blocks + block)))")
-    order = F.expr(f"transform(if(copies > 0, sequence(0, copies - 1), array()), c -> xxhash64({mix.seed}, doc_id, c, key))")
-    return own.select("doc_id", "source", "key", "row", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), shard.alias("shards"), order.alias("orders"))
+    part = own.where("over > 0 and block = cut").select("_i", "doc_id", "source", "key", "again", "draw", "size", "room").withColumn("row", F.monotonically_increasing_id())
+    part = materialize(part.repartition("_i").sortWithinPartitions("_i", "draw", "doc_id", "key", "again"))
+    chosen = part.select("_i", "row", "size", "room").mapInArrow(_filled, "row long, extra boolean").where("extra")
+    # Of one block per source.
+    chosen = materialize(part.join(chosen, "row").select(F.col("_i").alias("_ci"), F.col("draw").alias("_cd"), F.col("doc_id").alias("_cid"), F.col("key").alias("_ck"), F.col("again").alias("_ca"), F.lit(True).alias("extra")))
+    same = (F.col("_i") == F.col("_ci")) & (F.col("draw") == F.col("_cd")) & F.col("doc_id").eqNullSafe(F.col("_cid")) & (F.col("key").eqNullSafe(F.col("_ck"))) & (F.col("again") == F.col("_ca"))
+    own = own.join(small(chosen), same, "left")
+    taken = F.expr("filter(coalesce(drawn, array()), x -> x.time < times or block <> cut or extra is not null)")
+    own = own.withColumn("took", taken).withColumn("copies", F.size("took"))
+    order = F.expr(f"transform(took, x -> xxhash64({mix.seed}, doc_id, x.time, key, again))")
+    return own.select("doc_id", "source", "key", "again", "same", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), F.col("took.shard").alias("shards"), order.alias("orders"))
 
 
 def mix_rows(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The mixed corpus: the columns of ``docs``, once per copy, with shard and position key; sort by both to read a shard."""
-    got = assign(docs, mix).groupBy("doc_id", "source", "key").agg(F.flatten(F.collect_list(F.arrays_zip("shards", "orders"))).alias("_shards"), F.count(F.lit(1)).alias("_rows")).where(F.size("_shards") > 0)
-    got = materialize(got.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("key").alias("_key"), "_shards", "_rows"))
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_k") == F.col("_key"))
-    rows = docs.withColumn("_k", text_key(F.col("text"))).join(small(got), on)
-    single = rows.where("_rows = 1")
-    if not got.where("_rows > 1").isEmpty():  # rows that repeat share one line of copies: one of them carries it
-        single = single.unionByName(rows.where("_rows > 1").dropDuplicates(["doc_id", "source", "_k"]))
-    return single.select(*docs.columns, F.explode("_shards").alias("_at")).select(*docs.columns, F.col("_at.shards").alias("mix_shard"), F.col("_at.orders").alias("mix_order"))
+    found = _mixed(docs, mix)[0].withColumns({"mix_shard": F.col("at.mix_shard"), "mix_order": F.col("at.mix_order")})
+    return restored(found, docs.columns, "mix_shard", "mix_order")
 
 
-def shuffle_shards(mixed: DataFrame, mix: Mix = Mix()) -> DataFrame:
+def mix_in_order(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """The mixed corpus shard after shard, each shuffled: the columns of ``docs``."""
+    found, shards = _mixed(docs, mix)
+    return restored(shuffle_shards(found, shards, "at.mix_shard", "at.mix_order"), docs.columns)
+
+
+def _mixed(docs: DataFrame, mix: Mix) -> tuple[DataFrame, int]:
+    got = materialize(assign(docs, mix).where("copies > 0").select("doc_id", "source", "key", "same", F.arrays_zip(F.col("shards").alias("mix_shard"), F.col("orders").alias("mix_order")).alias("at")))
+    rows, (doc, source, text) = numbered(docs, "doc_id", "source", "text")
+    rows = rows.withColumn("row_key", text_key(text))
+    on = doc.eqNullSafe(F.col("doc_id")) & source.eqNullSafe(F.col("source")) & (F.col("row_key") == F.col("key"))
+    found = rows.join(small(got.where("same = 1")), on).select(*rows.columns, F.explode("at").alias("at"))
+    many = got.where("same > 1")
+    if not many.isEmpty():  # of rows that repeat, one carries the copies of all
+        copies = materialize(many.select("doc_id", "source", "key", F.explode("at").alias("at")))
+        names = materialize(many.select("doc_id", "source", "key").distinct())
+        one = rows.join(small(names), on, "left_semi").dropDuplicates([*(f"#{docs.columns.index(c)}" for c in ("doc_id", "source")), "row_key"])
+        found = found.unionByName(one.join(small(copies), on).select(*rows.columns, "at"))
+    shards = (got.agg(F.max(F.array_max("at.mix_shard"))).first()[0] or 0) + 1
+    return found, shards
+
+
+def shuffle_shards(mixed: DataFrame, shards: int | None = None, shard: str = "mix_shard", order: str = "mix_order") -> DataFrame:
     """Shard after shard, each shuffled by the position key: its range is cut evenly, so that a shard is several tasks, in order."""
-    parts = -(-int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions")) // mix.shards)
-    part = F.least(F.floor((F.col("mix_order").cast("double") / 2.0**64 + 0.5) * parts), F.lit(parts - 1))
-    return mixed.repartitionById(mix.shards * parts, (F.col("mix_shard") * parts + part).cast("int")).sortWithinPartitions("mix_shard", "mix_order")
+    shards = shards or (mixed.agg(F.max(shard)).first()[0] or 0) + 1
+    parts = -(-int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards)
+    part = F.least(F.floor((F.col(order).cast("double") / 2.0**64 + 0.5) * parts), F.lit(parts - 1))
+    return mixed.repartitionById(shards * parts, (F.col(shard) * parts + part).cast("int")).sortWithinPartitions(shard, order)
 
 
 def coarse_error(taken: Iterator[int], target: float) -> float:
