@@ -71,7 +71,7 @@ def test_against_brute_force(spark, words, percent):
     docs = near_copies(words)
     want, sizes = brute(docs, words, percent)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
-    got = ngram_join.join_components(df, ngram_join.JoinSettings(words=words, percent=percent, block=3)).collect()
+    got = ngram_join.join_components(df, ngram_join.JoinSettings(words=words, percent=percent, block=3, side=2)).collect()
     assert {r.doc_id: r.component_id for r in got} == want
     assert {r.doc_id: r.n_shingles for r in got} == sizes
     kept = {r.doc_id for r in ngram_join.keep_first(df, ngram_join.JoinSettings(words=words, percent=percent)).collect()}

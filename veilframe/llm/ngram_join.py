@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import BROADCAST_ROWS, map_texts, materialize, small, text_key
+from veilframe.llm.common import BROADCAST_ROWS, map_texts, materialize, numbered, restored, small, text_key
 from veilframe.llm.components import components
 from veilframe.llm.parity import Bands, bit_sketch, folded, hamming
 from veilframe.llm.shingles import Shingler
@@ -45,6 +45,8 @@ class JoinSettings:
     ratio: float = 1.6
     #: Texts that one task compares with a least set before the group continues in another block.
     block: int = 512
+    #: Sets of a key's group that one task holds of either side when all bounds are tried.
+    side: int = 1024
     broadcast_rows: int = BROADCAST_ROWS
 
     @property
@@ -158,10 +160,12 @@ def open_groups(rows: DataFrame) -> DataFrame:
 
 
 def remaining_pairs(rows: DataFrame, s: JoinSettings) -> DataFrame:
-    """Pairs of different components in a key's group that pass every bound, each at the first key that both sets have."""
+    """Pairs of different components in a key's group that pass every bound, each at the first key that both sets have. A group
+    is dealt over pairs of blocks of about ``side`` sets."""
     bands = s.bands
 
-    def pairs(key: int, group: list[tuple]) -> Iterator[tuple[int, int]]:
+    def pairs(at: tuple[int, int, int], group: list[tuple]) -> Iterator[tuple[int, int]]:
+        key, one_block, part = at[0], at[1] == at[2], np.array([x[7] for x in group])
         sid, n, u, delta, comp = (np.array(c, np.int64) for c in zip(*[x[:5] for x in group], strict=True))
         keys = [np.array(x[5], np.int64) for x in group]
         bits = folded([x[6] for x in group])
@@ -171,6 +175,8 @@ def remaining_pairs(rows: DataFrame, s: JoinSettings) -> DataFrame:
             limit = (100 - s.percent) * (n[i] + n[:i])
             fits = (comp[:i] != comp[i]) & (share * (u[i] + u[:i]) <= limit) & (share * (delta[i] + far[:i]) <= limit) & (share * (delta[:i] + far[i]) <= limit)
             fits &= 100 * np.minimum(n[:i], n[i]) >= s.percent * np.maximum(n[:i], n[i])
+            if not one_block:
+                fits &= part[:i] != part[i]
             near = np.flatnonzero(fits)
             near = near[share * hamming(bits[i], bits[near]) <= limit[near]]
             for j in near:
@@ -178,9 +184,9 @@ def remaining_pairs(rows: DataFrame, s: JoinSettings) -> DataFrame:
                     yield int(max(sid[i], sid[j])), int(min(sid[i], sid[j]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(key: int, group: list[tuple]) -> Iterator[pa.RecordBatch]:
+        def emit(at: tuple[int, int, int], group: list[tuple]) -> Iterator[pa.RecordBatch]:
             out: list[tuple[int, int]] = []
-            for p in pairs(key, group):
+            for p in pairs(at, group):
                 out.append(p)
                 if len(out) == 10000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
@@ -188,19 +194,21 @@ def remaining_pairs(rows: DataFrame, s: JoinSettings) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
-        key, group = None, []
+        at, group = None, []
         for b in batches:
-            for k, *x in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
-                if k != key and group:
-                    yield from emit(key, group)
+            for k, i, j, *x in zip(*(b.column(c).to_pylist() for c in range(11)), strict=True):
+                if (k, i, j) != at and group:
+                    yield from emit(at, group)
                     group = []
-                key = k
+                at = (k, i, j)
                 group.append(x)
         if group:
-            yield from emit(key, group)
+            yield from emit(at, group)
 
-    dealt = rows.select("key", "sid", "n", "u", "delta", "comp", "keys", "bits").repartition("key").sortWithinPartitions("key", "sid")
-    return map_texts(dealt, run, "a long, b long")
+    parts = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / s.side).cast("int").alias("parts"))
+    dealt = rows.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "sid", "n", "u", "delta", "comp", "keys", "bits", "part")
+    return map_texts(dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "sid"), run, "a long, b long")
 
 
 def unique_shingles(docs: DataFrame, sets: DataFrame, s: JoinSettings, every: int) -> DataFrame:
@@ -297,14 +305,16 @@ def join_components(docs: DataFrame, s: JoinSettings = JoinSettings()) -> DataFr
 
 
 def keep_first(docs: DataFrame, s: JoinSettings = JoinSettings()) -> DataFrame:
-    """The rows of ``docs`` less all but the first document of every component. Texts without shingles stay."""
-    rows = materialize(join_components(docs, s).select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), "n_shingles", "stays"))
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row_key") == F.col("_tk"))
-    keyed = docs.withColumn("_row_key", text_key(F.col("text")))
-    gone = materialize(rows.where("not stays").select("_id", "_tk").distinct())
-    kept = keyed.join(small(gone, s.broadcast_rows), on, "left_anti")
-    again = materialize(rows.where("stays and n_shingles > 0").groupBy("_id", "_tk").count().where("count > 1").select("_id", "_tk"))
+    """The rows of ``docs`` less all but the first document of every component. Texts without shingles stay. Columns of any name pass."""
+    found = materialize(join_components(docs, s).select("doc_id", "tk", "n_shingles", "stays"))
+    rows, (doc, text) = numbered(docs, "doc_id", "text")
+    rows = rows.withColumn("row_key", text_key(text))
+    on = doc.eqNullSafe(F.col("doc_id")) & (F.col("row_key") == F.col("tk"))
+    gone = materialize(found.where("not stays").select("doc_id", "tk").distinct())
+    kept = rows.join(small(gone, s.broadcast_rows), on, "left_anti")
+    again = materialize(found.where("stays and n_shingles > 0").groupBy("doc_id", "tk").count().where("count > 1").select("doc_id", "tk"))
     if not again.isEmpty():  # repeated rows of a document that stays: one of them does
         again = small(again, s.broadcast_rows)
-        kept = kept.join(again, on, "left_anti").unionByName(kept.join(again, on, "left_semi").dropDuplicates(["doc_id", "_row_key"]))
-    return kept.select(*docs.columns)
+        one = kept.join(again, on, "left_semi").dropDuplicates([f"#{docs.columns.index('doc_id')}", "row_key"])
+        kept = kept.join(again, on, "left_anti").unionByName(one)
+    return restored(kept, docs.columns)
