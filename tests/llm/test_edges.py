@@ -1,6 +1,7 @@
 """Nulls in any column, empty and very long texts, ties and repeated rows, empty tables, extra columns with clashing names."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from veilframe.llm import compression_classifier, edit_fingerprint, language_id, line_dedup, mixing, ngram_join, packing, quality_rules, url_filter, wrappers
 from veilframe.llm.queries import URL_RULES
@@ -79,6 +80,27 @@ def test_filters(name, docs, labels):
     assert FILTERS[name](docs.limit(0), labels.limit(0)).collect() == []
 
 
+#: Names that operators use inside, or return.
+CLASHES = "_row_key _drop _hashes _drop_key lines_removed _id _tk _k _shards _rows _key _copy _source mix_shard mix_order row_key drop hashes same at key tk rid bucket mark _at h a b label draw block".split()
+
+
+@pytest.mark.parametrize("name", [*OPERATORS, *FILTERS])
+def test_clashing_columns(name, spark):
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(12)], "doc_id long, quality int, toxic int")
+    rows = [(i, f"text number {i} of some words that are all its own {i * 7}", "en", f"s{i % 3}", 5) for i in range(12)]
+    docs = spark.createDataFrame(rows + rows[:1], "doc_id long, text string, lang string, source string, n_chars long")
+    pages = spark.createDataFrame([(i, f"http://h.org/{i}", f"<p>page {i}") for i in range(5)], "page_id long, url string, html string")
+    wide = lambda df: df.select("*", *(F.lit(f"own {c}").alias(c) for c in CLASHES))
+    run = (lambda d, p: FILTERS[name](d, labels)) if name in FILTERS else lambda d, p: OPERATORS[name](d, p, labels)
+    plain, got = run(docs, pages), run(wide(docs), wide(pages))
+    got_rows = sorted(map(str, got.select(*plain.columns).collect()))
+    assert got_rows == sorted(map(str, plain.collect())) and got_rows
+    if name in FILTERS or name == "op4":
+        made = {"lines_removed"} if name == "op4" else {"mix_shard", "mix_order"} if name == "mix_rows" else set()
+        assert all(set(got.columns) >= {c} for c in CLASHES) and len(got.columns) == len(set(got.columns))
+        assert all(r[c] == f"own {c}" for r in got.collect() for c in CLASHES if c not in made)
+
+
 def test_results_of_awkward_rows(docs, labels):
     by = {}
     for r in ngram_join.join_components(docs).collect():

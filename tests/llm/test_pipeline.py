@@ -59,3 +59,33 @@ def test_run(spark, small_dir):
     rows = corpus_pipeline.run(spark, small_dir)
     assert rows.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and rows.count() > 0
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
+
+
+def test_awkward_tables(spark, tmp_path):
+    """Every stage on nulls, empty, long and repeated texts, clashing columns, and on empty tables; what the docstrings say holds."""
+    from pyspark.sql import functions as F
+
+    from tests.llm.test_edges import CLASHES, LONG
+
+    own = [(i, " ".join(f"w{i}x{k * k % 83}" for k in range(60)), "en", f"s{i % 3}", 5) for i in range(20, 32)]
+    rows = [*own, own[0], (1, None, None, None, None), (2, "", "en", "a", 0), (3, LONG, "en", "b", 7), (4, LONG, "en", None, 7), (None, "only here " * 9, "en", "a", 7)]
+    spread = "this line stands on three sites of three texts"
+    rows += [(40 + i, f"{own[i][1].replace('w', 'other')}\n{spread}", "en", f"s{i}", 7) for i in range(3)] + [(50, spread.upper(), "en", "s7", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").select("*", *(F.lit(f"own {c}").alias(c) for c in CLASHES))
+    for name, part in (("some", docs), ("none", docs.limit(0))):
+        part.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+    out = [spark.read.parquet(f"{tmp_path}/some/documents.parquet")]
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out.append(stage(spark, out[-1], f"{tmp_path}/some"))
+        if k < 4:
+            assert out[-1].columns == docs.columns
+            assert all(r[c] == f"own {c}" for r in out[-1].collect() for c in CLASHES)
+    ids = [Counter(r.doc_id for r in x.collect()) for x in out[:4]]
+    assert ids[1] == ids[0]  # only good labels: nothing is rejected
+    assert ids[2] == ids[1] - Counter([50])  # its only line goes; null and empty texts stay
+    assert ids[3] == ids[2] - Counter([4, 20])  # the copy and the repeated row go; a null id and texts without words stay
+    copies = Counter(r.doc_id for r in out[4].collect())
+    assert {1, 2}.isdisjoint(copies) and max(copies.values()) <= 3
+    assert Counter(r.doc_id for r in out[5].collect() if r.piece == 0) == copies

@@ -11,7 +11,7 @@ A line of at least ``min_words`` words spreads from ``min_sites`` sites on, a sh
 Edge cases: null and empty texts are returned as they are; lines without a word are never removed; a null source is a site of
 its own; of rows that repeat a doc_id with other texts each is treated by its text; an empty table gives an empty result; the
 other columns are returned unchanged, whatever their names (``n_chars`` follows the text where it is present, a column
-``lines_removed`` is replaced).
+named like the count is replaced).
 """
 
 from __future__ import annotations
@@ -69,9 +69,9 @@ def spread_lines(docs: DataFrame, s: Spread = Spread()) -> tuple[DataFrame, Data
     return lines, small(chosen)
 
 
-def dedup_lines(docs: DataFrame, s: Spread = Spread()) -> DataFrame:
-    """The columns of ``docs`` with cleaned texts, and lines_removed (long)."""
-    docs = docs.drop("lines_removed")
+def dedup_lines(docs: DataFrame, s: Spread = Spread(), removed: str = "lines_removed") -> DataFrame:
+    """The columns of ``docs`` with cleaned texts, and how many lines went (long) under the name ``removed``."""
+    docs = docs.drop(removed)
     lines, spread = spread_lines(docs, s)
     gone = materialize(lines.join(spread, "h").where(F.col("first") != F.col("owner")).select("key", "h"))
     losers = gone.groupBy(F.col("key").alias("drop_key")).agg(F.collect_set("h").alias("drop"))  # a text's own lines at most
@@ -99,10 +99,10 @@ def dedup_lines(docs: DataFrame, s: Spread = Spread()) -> DataFrame:
             columns[place] = pa.array(texts, pa.string())
             if chars is not None:
                 columns[chars] = pa.array([old if n == 0 else len(t) for old, n, t in zip(columns[chars].to_pylist(), counts, texts, strict=True)], b.schema.field(chars).type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], names=[*names, "lines_removed"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], names=[*names, removed])
 
     # The hashes of a text's lines, in order and with null for lines without a word, only where some line goes.
     rows, (text,) = numbered(docs, "text")
     ordered = F.transform(F.split(text, "\n", -1), lambda x: F.when(x.rlike(WORD), F.xxhash64(F.lower(F.btrim(F.regexp_replace(x, GAP, " "))))))
     joined = rows.withColumn("row_key", text_key(text)).join(losers, F.col("row_key") == F.col("drop_key"), "left")
-    return map_texts(joined.select(*rows.columns, F.when(F.col("drop").isNotNull(), ordered).alias("hashes"), "drop"), run, f"{kinds}, lines_removed long")
+    return map_texts(joined.select(*rows.columns, F.when(F.col("drop").isNotNull(), ordered).alias("hashes"), "drop"), run, f"{kinds}, `{removed}` long")
