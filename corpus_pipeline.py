@@ -1,6 +1,16 @@
 """A corpus from documents to packed training sequences.
 
-Stages run in order; what each returns is written as Parquet to the shared folder and read again as the next one's documents.
+Stages run in order; what each returns is written as Parquet to the shared folder and read again as the next one's documents. Once
+a stage is written, what it read is deleted.
+
+Edge cases, the same for every stage: columns of any name pass through to the packing, which names its own; empty tables give empty results.
+
+* Quality classifier: a null or empty text is scored like any other, a repeated row as often as it is there; without labels nothing
+  is known and all scores are 0.5, below the threshold.
+* Line dedup: null texts, empty texts and texts without words stay as they are; a null source is a site of its own.
+* N-gram Jaccard join: texts without words link with nothing and stay; of repeated rows one stays; a null id is the first of its group.
+* Mixing: texts without words have no size and are taken no more; a null source is the last source; rows that repeat are taken by themselves.
+* Packing: every row is packed, repeated rows too; a very long text is cut into pieces.
 """
 
 from __future__ import annotations
@@ -21,8 +31,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that spread over sites go from all texts but the first; a document that loses its last word goes too."""
-    cleaned = line_dedup.dedup_lines(docs)
-    return cleaned.where((F.col("lines_removed") == 0) | F.col("text").rlike(WORD)).select(*docs.columns)
+    cleaned = line_dedup.dedup_lines(docs, removed="#removed")
+    return cleaned.where((F.col("#removed") == 0) | F.col("text").rlike(WORD)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +42,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources come to their target weights: a document is there as often as the mix takes it, in its shards, which are shuffled."""
-    return mixing.shuffle_shards(mixing.mix_rows(docs)).select(*docs.columns)
+    return mixing.mix_in_order(docs).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,4 +64,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k + 1 < len(STAGES):
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            if k:
+                remove(spark, f"{folder}/{k - 1}")
     return docs
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
