@@ -10,7 +10,8 @@ its block: nothing is taken that the tree doesn't hand to a shard.
 The driver holds a few numbers per source (a source is a line of the mix) and shard; documents stay in the executors, and no
 task holds more than one block of a source, about ``block_docs`` documents.
 
-Edge cases: a null source is one of its own, the last; a null or blank text has size 0 and takes nothing; a source without
+Edge cases: a null source is one of its own, the last; a null or blank text has size 0, adds nothing to what is taken
+and comes as often as its block; a source without
 words has target 0; rows that repeat id, source and text are rows of their own, spread over the blocks, and may differ in what is taken; a
 null id is an id; an empty table gives an empty result; columns of any name pass through ``mix_rows``, but ``mix_shard`` and
 ``mix_order`` are replaced.
