@@ -9,7 +9,8 @@ Edge cases, the same for every stage: columns of any name pass through to the pa
   is known and all scores are 0.5, below the threshold.
 * Line dedup: null texts, empty texts and texts without words stay as they are; a null source is a site of its own.
 * N-gram Jaccard join: texts without words link with nothing and stay; of repeated rows one stays; a null id is the first of its group.
-* Mixing: texts without words have no size and are taken no more; a null source is the last source; rows that repeat are taken by themselves.
+* Mixing: texts without words add nothing to what is taken and come as often as their block; a null source is the last source; rows that
+  repeat are taken by themselves.
 * Packing: every row is packed, repeated rows too; a very long text is cut into pieces.
 """
 
