@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from veilframe.llm.common import map_texts, materialize, text_key
 from veilframe.llm.components import components
@@ -136,21 +137,32 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def by_ranges(rows: DataFrame, parts: int) -> DataFrame:
+    """Adds bucket: about ``parts`` ranges of ids, as even as their number asks for."""
+    from pyspark.ml.feature import Bucketizer
+
+    if isinstance(rows.schema["doc_id"].dataType, NumericType):
+        steps = [(i + 1) / parts for i in range(parts - 1)] or [0.5]
+        exact = F.lit(max(10_000, 10 * parts))
+        cuts = rows.select(F.percentile_approx(F.col("doc_id").cast("double"), F.array(*map(F.lit, steps)), exact).alias("c")).first()["c"] or [0.0]
+        bucket = Bucketizer(splits=[float("-inf"), *sorted(set(cuts)), float("inf")], inputCol="_at", outputCol="bucket", handleInvalid="keep")
+        place = F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf")))
+        return bucket.transform(rows.withColumn("_at", place)).drop("_at").withColumn("bucket", F.col("bucket").cast("int"))
+    # Other ids are cut at some of a sample of bounded size.
+    sample = sorted(r["doc_id"] for r in rows.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(20 * parts).collect())
+    cuts = sorted(set(sample[20::20]))
+    below = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
+    return rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), 0).otherwise(below).cast("int"))
+
+
 def with_next(docs: DataFrame, parts: int) -> DataFrame:
     """(bucket, mark, doc_id, key, text), so that a sorted bucket holds runs of successive documents.
 
     Buckets are ranges of ids. The first document of a bucket is also sent, marked, to the end of the bucket before, and the
     very first one to the end of the last.
     """
-    from pyspark.ml.feature import Bucketizer
-
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", text_key(F.col("text")))
-    place = F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf")))
-    steps = [(i + 1) / parts for i in range(parts - 1)]
-    cuts = docs.select(F.percentile_approx(F.col("doc_id").cast("double"), F.array(*map(F.lit, steps)) if steps else F.array(F.lit(0.5)), F.lit(10000)).alias("c")).first()["c"] or [0.0]
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    bucket = Bucketizer(splits=splits, inputCol="_at", outputCol="bucket", handleInvalid="keep")
-    rows = bucket.transform(rows.withColumn("_at", place)).drop("_at").withColumn("bucket", F.col("bucket").cast("int"))
+    rows = by_ranges(rows, parts)
     # One row per bucket.
     heads = [(r["bucket"], r["h"]["seen"], r["h"]["doc_id"], r["h"]["key"]) for r in rows.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("seen"), "doc_id", "key")).alias("h")).orderBy("bucket").collect()]
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -168,7 +180,7 @@ def fingerprint(docs: DataFrame, w: Walk = Walk()) -> DataFrame:
     spark = docs.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    id_type = pa.int64() if kind == "bigint" else None
+    id_type = pa.int64() if kind == "bigint" else pa.string() if kind == "string" else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         embed = Embedder(w)
@@ -222,11 +234,13 @@ def near_pairs(prints: DataFrame, least: float = 0.8, bands: int = 24, per_band:
     one = materialize(prints.groupBy("fingerprint").agg(F.min("id").alias("id")))
     copies = prints.join(one.withColumnRenamed("id", "a"), "fingerprint").where("id <> a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("likeness"))
     piece = lambda p: F.concat(*[F.substring("fingerprint", 2 * i + 1, 2) for i in p])
-    keyed = one.select("id", "fingerprint", F.explode(F.array(*[F.xxhash64(F.lit(k), piece(p)) for k, p in enumerate(picks)])).alias("key"))
-    heads = keyed.groupBy("key").agg(F.min(F.struct("id", "fingerprint")).alias("lo"), F.max(F.struct("id", "fingerprint")).alias("hi")).where("lo.id < hi.id")
-    near = keyed.join(heads, "key")
-    pairs = near.select(F.explode(F.array(F.struct(F.col("lo").alias("x")), F.struct(F.col("hi").alias("x")))).alias("o"), "id", "fingerprint").where("o.x.id <> id")
-    pairs = pairs.select(F.least("o.x.id", "id").alias("a"), F.greatest("o.x.id", "id").alias("b"), F.when(F.col("o.x.id") < F.col("id"), F.col("o.x.fingerprint")).otherwise(F.col("fingerprint")).alias("fa"), F.when(F.col("o.x.id") < F.col("id"), F.col("fingerprint")).otherwise(F.col("o.x.fingerprint")).alias("fb")).dropDuplicates(["a", "b"])
+    keyed = one.select("id", F.explode(F.array(*[F.xxhash64(F.lit(k), piece(p)) for k, p in enumerate(picks)])).alias("key"))
+    # Only keys that several have go on, and prints join only what is compared.
+    heads = materialize(keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi"))
+    keyed = materialize(keyed.join(heads, "key"))
+    pairs = keyed.select(F.explode(F.array("lo", "hi")).alias("o"), "id").where("o <> id").select(F.least("o", "id").alias("a"), F.greatest("o", "id").alias("b")).distinct()
+    side = lambda c: one.select(F.col("id").alias(c), F.col("fingerprint").alias(f"f{c}"))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "fa", "fb")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -239,9 +253,9 @@ def near_pairs(prints: DataFrame, least: float = 0.8, bands: int = 24, per_band:
     first = materialize(map_texts(pairs, verify, found).where(F.col("likeness") >= least))
 
     label = components(first.select("a", "b")).select(F.col("id").alias("_id"), "label")
-    members = keyed.join(label, F.col("id") == F.col("_id"), "left").select("key", "id", "fingerprint", F.coalesce("label", "id").alias("label"))
-    mixed = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("n > 2 and lo <> hi").select("key", F.ceil(F.col("n") / block).cast("int").alias("parts"))
-    dealt = members.join(mixed, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    members = keyed.where("n > 2").join(label, F.col("id") == F.col("_id"), "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    mixed = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", F.ceil(F.col("n") / block).cast("int").alias("parts"))
+    dealt = members.join(mixed, "key").join(one, "id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "fingerprint", "label")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,3 +293,32 @@ def near_pairs(prints: DataFrame, least: float = 0.8, bands: int = 24, per_band:
 
     rest = map_texts(dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id"), compare, found).dropDuplicates(["a", "b"])
     return first.unionByName(rest).unionByName(copies)
+
+
+def near_documents(docs: DataFrame, w: Walk = Walk(), least: float = 0.8) -> DataFrame:
+    """Per row: doc_id, class_id (the least doc_id that near fingerprints reach from it, its own included) and n_links (how many
+    verified links its text has). Likeness of ``least`` or more makes a link."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        embed = Embedder(w)
+        for b in batches:
+            texts, lot, size = b.column(1), [], 0
+            made = []
+            for t in texts:  # so many characters at once as one embedding holds
+                lot.append(t.as_py())
+                size += len(lot[-1])
+                if size > AT_ONCE:
+                    made.extend(embed.prints(lot))
+                    lot, size = [], 0
+            made.extend(embed.prints(lot) if lot else [])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes().hex() for r in made], pa.string())], names=["doc_id", "fingerprint"])
+
+    prints = materialize(map_texts(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), run, f"doc_id {kind}, fingerprint string").withColumn("id", F.monotonically_increasing_id()))
+    links = materialize(near_pairs(prints.select("id", "fingerprint"), least))
+    label = components(links.select("a", "b")).withColumnRenamed("id", "_id")
+    ends = links.select(F.explode(F.array("a", "b")).alias("_end")).groupBy("_end").agg(F.count(F.lit(1)).alias("n"))
+    rows = prints.select("id", "doc_id").join(label, F.col("id") == F.col("_id"), "left").join(ends, F.col("id") == F.col("_end"), "left")
+    rows = rows.select("doc_id", F.coalesce("label", "id").alias("label"), F.coalesce("n", F.lit(0)).alias("n_links"))
+    class_of = rows.groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    return rows.join(class_of, "label").select("doc_id", "class_id", "n_links")
