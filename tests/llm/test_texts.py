@@ -17,7 +17,7 @@ def test_sql(spark, mid_dir, name):
 
 def test_names_and_columns(spark, small_dir):
     found = queries()
-    assert [n.split("_")[0] for n in found] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in found if n.startswith("op")] == [f"op{i}" for i in range(1, 11)]
 
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script>var t="</p>";</script></head><body class="has-sidebar">
@@ -185,6 +185,75 @@ def test_near_pairs_of_mixed_buckets(spark, block):
     assert len(near) > 10 and got <= near and groups(got) == groups(near)
 
 
+def test_insertions_anywhere_stay_near():
+    """0.1 % of a long text inserted at its start, middle or end; unrelated texts stay far apart."""
+    rng = np.random.default_rng(4)
+    words = ["".join(map(chr, 97 + rng.integers(0, 26, rng.integers(2, 9)))) for _ in range(3000)]
+    texts = [" ".join(rng.choice(words, 8500))[:50_000] for _ in range(4)]
+    embed = edit_fingerprint.Embedder()
+    own = embed.prints(texts)
+    for at in (0, 25_000, 49_000):
+        like = edit_fingerprint.likeness(own, embed.prints([t[:at] + "zq x" * 12 + "yy" + t[at:] for t in texts]))
+        assert np.median(like) > 0.8, (at, like)
+    assert max(edit_fingerprint.likeness(own[i : i + 1], own[j : j + 1])[0] for i in range(4) for j in range(i)) < 0.1
+
+
+def test_near_documents_by_brute_force(spark, small_dir):
+    """All pairs of fingerprints that reach the likeness lie in one class; classes hold nothing else."""
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet")
+    rows = sorted((r.doc_id, r.text or "") for r in docs.collect())
+    rng = np.random.default_rng(8)
+    rows += [(10_000 + i, t[: len(t) - 1 - int(rng.integers(0, 40))] + "!") for i, t in rows if len(t) > 200]
+    prints = edit_fingerprint.Embedder().prints([t for _, t in rows])
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if edit_fingerprint.likeness(prints[i : i + 1], prints[j : j + 1])[0] >= 0.8]
+    of = list(range(len(rows)))
+    for i, j in pairs:
+        of = [of[j] if x == of[i] else x for x in of]
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[of[k]] = min(least.get(of[k], i), i)
+    got = {r.doc_id: r for r in edit_fingerprint.near_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert len(pairs) > 50 and len(got) == len(rows)
+    found = np.mean([got[rows[i][0]].class_id == got[rows[j][0]].class_id for i, j in pairs])
+    assert found >= 0.9
+    assert np.mean([got[i].class_id == least[of[k]] for k, (i, _) in enumerate(rows)]) >= 0.9
+    assert all((got[i].n_links > 0) == (got[i].class_id != i or any(r.class_id == i and r.doc_id != i for r in got.values())) for i, _ in rows)
+
+
+def test_string_ids(spark, small_dir):
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet").limit(60)
+    names = docs.selectExpr("concat('d', lpad(cast(doc_id as string), 8, '0')) as doc_id", "text")
+    a = {f"d{r.doc_id:08d}": r[1:] for r in edit_fingerprint.fingerprint(docs).collect()}
+    assert a == {r.doc_id: r[1:] for r in edit_fingerprint.fingerprint(names).collect()}
+
+
+def test_registered_domains(spark):
+    from pyspark.sql import functions as F
+
+    hosts = {"a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.y.example.com": ("example.com", "com"), "localhost": ("localhost", "localhost"), "": ("", "")}
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    got = {r[0]: (r[1], r[2]) for r in df.select("host", url_filter.registered_domain(F.col("host")), url_filter.suffix(F.col("host"))).collect()}
+    assert got == hosts
+
+
+def test_strengths_follow_the_outcomes(spark):
+    """Hosts of one mind each: a strong correlation, so a weak prior. Hosts that all behave alike: a strong one."""
+    apart = [(f"h{i}.a.com", i % 2 == 0) for i in range(40) for _ in range(10)] + [("new.a.com", True)]
+    alike = [(f"h{i}.a.com", k % 2 == 0) for i in range(40) for k in range(10)] + [("new.a.com", True)]
+    mean = [{r.host: r.mean for r in url_filter.host_reputation(spark.createDataFrame(x, "host string, good boolean")).collect()}["new.a.com"] for x in (apart, alike)]
+    assert mean[0] > 0.7 and mean[1] < 0.51
+
+
+def test_line_limits_follow_the_host(spark):
+    """A short line of a large host's ordinary texts stays; boilerplate of a small host goes."""
+    from veilframe.llm import quality_rules
+
+    rows = [(i, f"own words {i} of text {i * i}\n" + ("now and then" if i % 120 == 0 else f"else {i}"), "large") for i in range(3000)]
+    rows += [(5000 + i, f"line {i}\nall of this is boilerplate", "small") for i in range(30)]
+    got = {r.doc_id: r.lost_words for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[120] == 0 and got[5003] == 5
+
+
 def test_url_rules(spark):
     rules = [url_filter.Rule("com/en/", "block"), url_filter.Rule("example.com/en/7", "allow")]
     urls = ["http://WWW.Example.com/en/77?x", "http://example.com/en/8#y", "ftp://notcom/en/1", "a://b://c/d", None, "plain", "x://com", "http://h?x=://y/z"]

@@ -1,8 +1,8 @@
 """Quality rules: per-document measures, then the frequency of lines across the documents of a host.
 
 Only DataFrame expressions. Lines are normalised (white space collapsed, trimmed, lower case) and hashed; for every host the
-number of distinct texts that hold a line is counted (exact copies of a text count once); lines above ``max_texts_per_host``
-are removed, and a document that loses more than ``max_lost`` of the words of its distinct lines is rejected as depleted.
+number of distinct texts that hold a line is counted (exact copies of a text count once); lines in more than ``max_share`` of the
+host's distinct texts, and in more than ``max_texts_per_host``, are removed, and a document that loses more than ``max_lost`` of the words of its distinct lines is rejected as depleted.
 
 Edge cases: a null text has no words and fails the base rules; a null source is a host of its own; repeated rows are all
 returned and judged alike; an empty table gives an empty result; other columns of the input are ignored.
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import GAP, WORD, materialize, text_key, words
+from veilframe.llm.common import GAP, WORD, materialize, small, text_key, words
 
 
 @dataclass(frozen=True)
@@ -23,6 +23,7 @@ class QualityLimits:
     min_words: int = 50
     max_repeat_percent: int = 50
     max_texts_per_host: int = 20
+    max_share: float = 0.01
     max_lost: float = 0.7
 
 
@@ -57,8 +58,11 @@ def line_losses(docs: DataFrame, limits: QualityLimits = QualityLimits()) -> Dat
     texts = docs.select("source", text_key(F.col("text")).alias("_k"), F.explode(normalised_lines(F.col("text"))).alias("_x"))
     # Kept, for the counts and the losses both read it, and the texts should be taken apart once.
     lines = materialize(texts.select("source", "_k", "_x.h", "_x.w").groupBy("source", "_k", "h").agg(F.first("w").alias("w")))
-    common = lines.groupBy("source", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limits.max_texts_per_host).select(F.col("source").alias("_src"), F.col("h").alias("_h"), F.lit(True).alias("_common"))
-    seen = lines.join(common, F.col("source").eqNullSafe(F.col("_src")) & (F.col("h") == F.col("_h")), "left")
+    texts = lines.select("source", "_k").distinct().groupBy(F.col("source").alias("_of")).agg(F.count(F.lit(1)).alias("_texts"))
+    common = lines.groupBy("source", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limits.max_texts_per_host).join(texts, F.col("source").eqNullSafe(F.col("_of")))
+    # A host has no more such lines than a hundred times the lines of its average text: counted, and beyond the limit joined by shuffle.
+    common = materialize(common.where(F.col("n") > limits.max_share * F.col("_texts")).select(F.col("source").alias("_src"), F.col("h").alias("_h"), F.lit(True).alias("_common")))
+    seen = lines.join(small(common), F.col("source").eqNullSafe(F.col("_src")) & (F.col("h") == F.col("_h")), "left")
     return seen.groupBy("source", "_k").agg(F.sum("w").alias("all_words"), F.sum(F.when(F.col("_common"), F.col("w")).otherwise(0)).alias("lost_words"))
 
 

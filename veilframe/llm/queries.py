@@ -52,7 +52,12 @@ def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = (op1_parity_join, op2_language_id, op3_html_wrappers, op4_site_spread, op5_source_mix, op6_edit_fingerprint, op7_url_reputation, op8_line_frequency, op9_best_fit_packing, op10_compression_quality)
+def near_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Banding and verification of op6's fingerprints over all documents."""
+    return edit_fingerprint.near_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = (op1_parity_join, op2_language_id, op3_html_wrappers, op4_site_spread, op5_source_mix, op6_edit_fingerprint, op7_url_reputation, op8_line_frequency, op9_best_fit_packing, op10_compression_quality, near_fingerprints)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -75,25 +80,34 @@ with urls as (
   from urls
 ), ruled as (
   select *, case when rule in ('example.com/en/7', 'net/de/') then 'allow' when rule is not null then 'block' end as by_rule,
-    array_to_string(string_split(host, '.')[-2:], '.') as domain, string_split(host, '.')[-1] as suffix
-  from fit
+    case when two in (TWO) then array_to_string(string_split(host, '.')[-3:], '.') else two end as domain,
+    case when two in (TWO) then two else string_split(host, '.')[-1] end as suffix
+  from (select *, array_to_string(string_split(host, '.')[-2:], '.') as two from fit)
 ), h as (
   select host, any_value(domain) as domain, any_value(suffix) as suffix, count(*) as n, count(*) filter (where by_rule = 'allow') as k
   from ruled where rule is not null group by host
 ), d as (select domain, suffix, sum(n) as n, sum(k) as k from h group by all),
 s as (select suffix, sum(n) as n, sum(k) as k from d group by all),
-w as (select (coalesce(sum(k), 0) + 1)::double / (coalesce(sum(n), 0) + 2) as prior from s),
-s1 as (select suffix, prior * 4.0::double + k as a, (1 - prior) * 4.0::double + n - k as b from s, w),
+w as (select coalesce(sum(k), 0) as k, coalesce(sum(n), 0) as n from s),
+r0 as (select sum(c.k * (c.k - 1) - c.n * (c.n - 1) * (w.k::double / w.n) * (w.k::double / w.n)) as x, sum(c.n * (c.n - 1) * (w.k::double / w.n) * (1 - w.k::double / w.n)) as y from s c, w),
+r1 as (select sum(c.k * (c.k - 1) - c.n * (c.n - 1) * (p.k::double / p.n) * (p.k::double / p.n)) as x, sum(c.n * (c.n - 1) * (p.k::double / p.n) * (1 - p.k::double / p.n)) as y from d c join s p using (suffix)),
+r2 as (select sum(c.k * (c.k - 1) - c.n * (c.n - 1) * (p.k::double / p.n) * (p.k::double / p.n)) as x, sum(c.n * (c.n - 1) * (p.k::double / p.n) * (1 - p.k::double / p.n)) as y from h c join d p using (domain, suffix)),
+m as (
+  select i, case when coalesce(y, 0) = 0 then 8.0::double else round(1 / least(greatest(x / y, 1 / 201.0::double), 0.5::double) - 1, 3) end as strength
+  from (select 0 as i, * from r0 union all select 1, * from r1 union all select 2, * from r2)
+),
+m0 as (select strength as v from m where i = 0), m1 as (select strength as v from m where i = 1), m2 as (select strength as v from m where i = 2),
+s1 as (select suffix, (w.k + 1)::double / (w.n + 2) * v + s.k as a, (1 - (w.k + 1)::double / (w.n + 2)) * v + s.n - s.k as b from s, w, m0),
 s2 as (select suffix, a / (a + b) as mean, a / (a + b) + 2.0::double * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) as upper from s1),
-d1 as (select domain, mean * 8.0::double + k as a, (1 - mean) * 8.0::double + n - k as b from d join s2 using (suffix)),
+d1 as (select domain, mean * v + k as a, (1 - mean) * v + n - k as b from d join s2 using (suffix), m1),
 d2 as (select domain, a / (a + b) as mean, a / (a + b) + 2.0::double * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) as upper from d1),
-h1 as (select host, mean * 8.0::double + k as a, (1 - mean) * 8.0::double + n - k as b from h join d2 using (domain)),
+h1 as (select host, mean * v + k as a, (1 - mean) * v + n - k as b from h join d2 using (domain), m2),
 h2 as (select host, a / (a + b) + 2.0::double * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) as upper from h1)
 select page_id, host, path, rule,
   coalesce(by_rule, case when coalesce(h2.upper, d2.upper, s2.upper, 1.0) < 0.5 then 'block' else 'allow' end) as verdict,
   coalesce(h2.upper, d2.upper, s2.upper, 1.0)::double as reputation
 from ruled left join h2 using (host) left join d2 using (domain) left join s2 using (suffix)
-"""
+""".replace("TWO", ", ".join(f"'{x}'" for x in url_filter.TWO_LABELS))
 
 OP8_SQL = r"""
 with d as (
@@ -110,8 +124,11 @@ with d as (
 ), lines as (
   select distinct r, source, t0, lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))) as x
   from (select r, source, t0, unnest(l) as x from d)
+), hosts as (
+  select source, count(distinct t0) as texts from lines group by source
 ), common as (
-  select source, x from (select distinct source, t0, x from lines) group by all having count(*) > 20
+  select c.source, c.x from (select source, x, count(*) as n from (select distinct source, t0, x from lines) group by all) c
+  join hosts h on c.source is not distinct from h.source where n > 20 and n > 0.01 * texts
 ), loss as (
   select r, sum(len(string_split(x, ' '))) as every, sum(case when exists (select 1 from common c where c.source is not distinct from lines.source and c.x = lines.x) then len(string_split(x, ' ')) else 0 end) as lost
   from lines group by r
