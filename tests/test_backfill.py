@@ -24,7 +24,7 @@ def code(f):
 
 @pytest.fixture
 def engine(spark):
-    return Engine(spark, catalogue.rules(), Algorithms.standard(), tables={"user_account": spark.createDataFrame(ROWS, SCHEMA)})
+    return Engine(spark, catalogue.rules(), Algorithms.standard({"aes": "a key for tests", "sm4": "another one"}), tables={"user_account": spark.createDataFrame(ROWS, SCHEMA)})
 
 
 def define(**options):
@@ -52,10 +52,37 @@ def test_resume_and_incompatible(engine):
     assert backfill.Task(engine, define(batch=8), state).run().scanned == 20
 
 
+def test_slices_share_jobs(engine):
+    """Twenty rows in slices of three, four of them to a job: the table is staged in two jobs, and counts are those of rows."""
+    state = backfill.MemoryState()
+    report = backfill.Task(engine, define(batch=3, together=4), state).run()
+    assert (report.scanned, report.verified, state.load("user_account")["jobs"]) == (20, 20, 2)
+    assert sorted(tuple(r) for r in engine.sql("select id, phone, id_card, email from user_account").collect()) == ROWS
+
+
+def test_equal_cursors_lie_in_one_slice(spark):
+    rules = Rules.load([{"table": "t", "fields": [{"property": "phone", "cipher": "aes", "hash": "sha256", "storage_column": "phone_c", "hash_column": "phone_h"}]}])
+    rows = [(i // 4, f"p{i}") for i in range(22)]
+    e = Engine(spark, rules, Algorithms.standard({"aes": "a key for tests"}), tables={"t": spark.createDataFrame(rows, "no int, phone string")})
+    assert backfill.Task(e, backfill.Definition("t", ("no",), batch=3)).run(most_slices=2).scanned == 8
+    assert backfill.Task(e, backfill.Definition("t", ("no",), batch=3, together=2)).run().scanned == 22
+    assert sorted(r.phone for r in e.sql("select phone from t").collect()) == sorted(p for _, p in rows)
+
+
+def test_fingerprint_of_the_store(engine, tmp_path, spark):
+    from veilframe.sources.store import SnapshotStore
+
+    state = backfill.MemoryState()
+    backfill.Task(engine, define(batch=8), state).run(most_slices=1)
+    other = Engine(spark, engine.rules, engine.algorithms, store=SnapshotStore(spark, str(tmp_path)))
+    other.store.replace("user_account", spark.createDataFrame(ROWS, SCHEMA))
+    assert code(lambda: backfill.Task(other, define(batch=8), state).run()) == "STATE_INCOMPATIBLE"
+
+
 def test_composite_cursor(spark):
     rows = [(t, i, f"{t}{i}") for t in "ab" for i in range(5)]
     rules = Rules.load([{"table": "t", "fields": [{"property": "phone", "cipher": "aes", "hash": "sha256", "storage_column": "phone_c", "hash_column": "phone_h"}]}])
-    e = Engine(spark, rules, tables={"t": spark.createDataFrame(rows, "tenant string, no int, phone string")})
+    e = Engine(spark, rules, Algorithms.standard({"aes": "a key for tests"}), tables={"t": spark.createDataFrame(rows, "tenant string, no int, phone string")})
     report = backfill.Task(e, backfill.Definition("t", ("tenant", "no"), batch=3)).run()
     assert (report.scanned, report.range_end) == (10, "b,4")
     assert {r.phone for r in e.sql("select phone from t").collect()} == {r[2] for r in rows}
@@ -77,7 +104,7 @@ def test_refusals(engine, spark):
 
 
 def test_json(spark):
-    e = Engine(spark, catalogue.rules(), Algorithms.standard(), tables={"profile": spark.createDataFrame([(1, '{"phone":"13800000001","n":1}'), (2, None), (3, '{"n":2}')], "id long, profile_json string")})
+    e = Engine(spark, catalogue.rules(), Algorithms.standard({"aes": "a key for tests", "sm4": "another one"}), tables={"profile": spark.createDataFrame([(1, '{"phone":"13800000001","n":1}'), (2, None), (3, '{"n":2}')], "id long, profile_json string")})
     what = backfill.Definition("profile", ("id",))
     assert backfill.Task(e, what).run().migrated == 1
     assert backfill.Task(e, what).run().migrated == 0

@@ -24,6 +24,10 @@ def test_runs(spark, small_dir, name):
     assert catalogue.queries()[name](spark, small_dir).count() > 0
 
 
+def keys():
+    return Algorithms.standard({"aes": "a key for tests", "sm4": "another one"})
+
+
 @pytest.fixture(scope="module")
 def rules():
     own = {"cipher": "aes", "hash": "sha256"}
@@ -32,7 +36,7 @@ def rules():
 
 @pytest.fixture
 def engine(spark, rules):
-    e = Engine(spark, rules, Algorithms.standard())
+    e = Engine(spark, rules, keys())
     e.insert("u", spark.createDataFrame([(1, "13800000001", "a@b.c", "x"), (2, "13800000002", None, "y"), (3, "", "m", "z"), (4, None, " ", "w"), (5, "50%_x", "q", "13800000001")], "id int, phone string, mail string, note string"))
     e.insert("v", spark.createDataFrame([(1, "13800000001")], "id int, phone string"))
     return e
@@ -98,24 +102,24 @@ def test_update_and_delete_match_three_valued_logic(engine):
 
 
 def test_insert_select_on_request(spark, rules):
-    e = Engine(spark, rules, insert_select=True)
+    e = Engine(spark, rules, keys(), insert_select=True)
     e.insert("u", spark.createDataFrame([(1, "13800000001", "m", "x")], "id int, phone string, mail string, note string"))
     e.sql("insert into u (id, phone) select id + 1, phone from u")
     assert rows(e.sql("select id, phone from u")) == [(1, "13800000001"), (2, "13800000001")]
 
 
 def test_preprocessors(spark, rules):
-    e = Engine(spark, rules, preprocessors=[lambda t, df: df.withColumn("phone", F.trim("phone")) if "phone" in df.columns else df])
+    e = Engine(spark, rules, keys(), preprocessors=[lambda t, df: df.withColumn("phone", F.trim("phone")) if "phone" in df.columns else df])
     e.insert("u", spark.createDataFrame([(1, " 5 ", None, None)], "id int, phone string, mail string, note string"))
     assert rows(e.sql("select id from u where phone = '5'")) == [(1,)]
 
 
 def test_snapshots(spark, rules, tmp_path):
-    e = Engine(spark, rules, store=SnapshotStore(spark, str(tmp_path)))
+    e = Engine(spark, rules, keys(), store=SnapshotStore(spark, str(tmp_path)))
     e.insert("u", spark.createDataFrame([(1, "a", "m", "x"), (2, "b", "n", "y")], "id int, phone string, mail string, note string"))
     e.sql("insert into u (id, phone) values (3, 'c')")
     e.sql("delete from u where phone = 'a'")
-    again = Engine(spark, rules, store=SnapshotStore(spark, str(tmp_path)))
+    again = Engine(spark, rules, keys(), store=SnapshotStore(spark, str(tmp_path)))
     assert rows(again.sql("select id, phone from u")) == [(2, "b"), (3, "c")] and again.store.names() == ["u"]
 
 
@@ -145,7 +149,7 @@ def test_masking_strategies(spark, small_dir):
 
 
 def test_nested_fields(spark, rules):
-    a = Algorithms.standard()
+    a = keys()
     rule = rules.find("u", "phone")
     df = spark.createDataFrame([("13800000001",), (None,)], "p string").select(F.struct(F.array(F.struct(a.cipher("aes").encrypt(F.col("p")).alias("phone"))).alias("people")).alias("o"))
     assert [r[0] for r in decrypt_nested(df, "o.people.phone", rule, a).select("o.people.phone").collect()] == [["13800000001"], [None]]
@@ -165,7 +169,7 @@ def test_relations(spark, small_dir):
 
 
 def test_filters_reach_the_scan(spark, rules, tmp_path):
-    e = Engine(spark, rules, store=SnapshotStore(spark, str(tmp_path)))
+    e = Engine(spark, rules, keys(), store=SnapshotStore(spark, str(tmp_path)))
     e.insert("u", spark.createDataFrame([(1, "a", "m", "x")], "id int, phone string, mail string, note string"))
     plan = e.query("select id from u where phone = 'a'").physical._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     assert "EqualTo(phone_h" in plan and "ReadSchema: struct<id:int,phone_h:string>" in plan
@@ -193,3 +197,82 @@ def test_payloads(spark, small_dir):
     got = {r.i: r.payload for r in resolve_payloads(e, df).collect()}
     assert json.loads(got[0]) == {"a": 1, "phone": "13800000003"} and json.loads(got[1]) == {"idCard": "110101000000000003", "phone": "139"}
     assert json.loads(got[2]) == {"phone": "kept"} and (got[3], got[4], got[5]) == (None, "no json", "[1]")
+
+
+def test_stream_replays_append_once(spark, rules, tmp_path):
+    """A micro-batch whose commit is lost is run again by the next start: its rows are there once."""
+    import shutil
+
+    from veilframe.streaming.ingest import protect_stream
+
+    schema = "id int, phone string, mail string, note string"
+    spark.createDataFrame([(i, f"138{i:08d}", "m", "x") for i in range(40)], schema).write.parquet(f"{tmp_path}/in")
+    e = Engine(spark, rules, keys(), store=SnapshotStore(spark, f"{tmp_path}/tables"))
+    run = lambda: protect_stream(e, spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), "u", f"{tmp_path}/check").awaitTermination()
+    run()
+    shutil.rmtree(tmp_path / "check" / "commits")
+    run()
+    assert e.read("u").count() == 40
+    spark.createDataFrame([(99, "1", "m", "x")], schema).write.mode("append").parquet(f"{tmp_path}/in")
+    run()
+    assert e.read("u").count() == 41
+
+
+def test_readers_see_whole_appends(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path))
+    store.append("t", spark.range(3))
+    before = store.read("t")
+    store.append("t", spark.range(4), token="x")
+    store.append("t", spark.range(4), token="x")
+    assert before.count() == 3 and store.read("t").count() == 7
+    store.replace("t", store.read("t").limit(1))
+    assert store.read("t").count() == 1
+
+
+def test_several_rows_for_a_handle(engine, spark):
+    meta = engine.lookup_meta("u").where("id = 1").select("phone.*").where("sid is not null")
+    assert [r.plain for r in engine.resolve(meta).collect()] == ["13800000001"]
+    engine.insert("u", spark.createDataFrame([(1, "13800000001", "a@b.c", "x")], "id int, phone string, mail string, note string"))
+    with pytest.raises(Exception, match="2 rows for a handle"):
+        engine.resolve(meta).collect()
+    bare = Engine(spark, Rules.load([]), keys())
+    assert [r.plain for r in bare.resolve(meta).collect()] == [None]
+
+
+def test_sources(spark, rules):
+    from veilframe.sources.routing import Sources
+
+    a, b = Engine(spark, rules, keys()), Engine(spark, rules, keys())
+    both = Sources({"a": a, "b_1": b}, {"b_*": "DM"})
+    row = lambda i: spark.createDataFrame([(i, "13800000001", "m", "x")], "id int, phone string, mail string, note string")
+    both.insert("u", row(1))
+    meta = a.lookup_meta("u").first().phone.asDict()
+    assert both.lookup(meta) == "13800000001"
+    with both.use("b_1"):
+        both.insert("u", row(2))
+        assert both.current == "b_1" and both.dialect() == "DM" and rows(both.sql("select id, phone from u")) == [(2, "13800000001")]
+    assert both.dialect() == "MYSQL" and rows(both.sql("select id from u")) == [(1,)]
+    with pytest.raises(VeilError):
+        both.lookup(meta)  # both have the table
+    with pytest.raises(VeilError):
+        both.engine("c")
+
+
+def test_stored_tables_are_read_by_hash(spark, small_dir):
+    e = catalogue.engine(spark, small_dir, tables=("user_account",))
+    frame = e.query("select id, phone, name from user_account where phone = ?", ["13800000042"])
+    plan = frame.physical._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "EqualTo(phone_hash" in plan and "sha2" not in plan and "email_cipher" not in plan
+
+
+def test_trace_context(spark):
+    from veilframe.functions.trace import TraceContext, carried
+
+    with TraceContext(traceId="t1", userId="u", clientIp="1.2.3.4") as context:
+        assert TraceContext.current()["traceId"] == "t1"
+        run = carried(lambda: dict(TraceContext.current()))
+        context.tag(spark)
+        assert spark.sparkContext.getLocalProperty("veil.traceId") == "t1"
+    assert TraceContext.current() == {} and run()["userId"] == "u"
+    with pytest.raises(VeilError):
+        TraceContext(other="x")

@@ -120,6 +120,23 @@ def test_scrub_columns(spark):
     assert textmask.key_value("pwd", "abc") == "pwd=***" and textmask.mask_value("110101199003071", None) == "*" * 11 + "3071"
 
 
+def test_safe_logs_at_any_depth(spark):
+    schema = "l array<struct<password:string,ok:string>>, m map<string,struct<token:string>>, a array<array<string>>, s struct<p:array<map<string,string>>>, holder string, n int"
+    df = spark.createDataFrame([([("abc", "fine")], {"k": ("xyz",)}, [["13800138000"]], ([{"pwd": "q", "x": "y"}],), "Somebody", 3), (None, None, None, None, None, None)], schema)
+    row, empty = textmask.safe_frame(df, annotated=("holder",)).collect()
+    assert row.l[0][:] == ("***", "fine") and row.m["k"].token == "***" and row.a == [["*******8000"]] and row.s.p == [{"pwd": "*", "x": "y"}]
+    assert row.holder == "********" and row.n == 3 and all(x is None for x in empty)
+    assert textmask.safe_frame(df).schema == df.schema
+
+
+def test_log_values_and_install():
+    record = logging.makeLogRecord({"msg": "x", "phone": "13800138000", "deep": {"token": "abc"}, "n": 3})
+    assert textmask.LogFilter().filter(record) and record.phone == "*******8000" and record.deep == {"token": "***"} and record.n == 3
+    logger = logging.Logger("own")
+    logger.addHandler(logging.NullHandler())
+    assert (textmask.install(logger), textmask.install(logger)) == (1, 0)
+
+
 def test_log_filter():
     record = logging.LogRecord("x", logging.INFO, "f", 1, "user %s phone=%s", ("a", "13800138000"), None)
     assert textmask.LogFilter().filter(record) and record.getMessage() == "user a phone=*******8000"

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from contextlib import suppress
 from dataclasses import dataclass
 from functools import cached_property
 from itertools import count
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,10 @@ from veilframe.rules import Rules
 from veilframe.sources.store import SessionStore, TableStore
 
 _views = count()
+#: The column that holds the handles of a masked row.
+META = "sensitiveLookupMeta"
+#: What a key looks like in a plan; anything of this form is hidden there.
+KEYS_IN_PLANS = r"(?i)\b(0x|X')?[0-9a-f]{32}\b"
 
 
 @dataclass
@@ -54,15 +60,26 @@ class Frame:
     def reveal(self) -> DataFrame:
         return reveal(self.physical, self.outputs, self.compiled.order, self.engine.read, self.engine.algorithms)
 
-    def mask(self, strategy: str = masking.RECORDED_ONLY, fields: dict[str, masking.Sensitive] | None = None, stored: bool = True) -> DataFrame:
-        return masking.mask(self.reveal(), self.outputs, self.engine.algorithms, self.engine.read, strategy, fields, self.engine.maskers, stored)
+    def mask(self, strategy: str = masking.RECORDED_ONLY, fields: dict[str, masking.Sensitive] | None = None, stored: bool = True, meta: bool = False) -> DataFrame:
+        """``meta`` adds a map from properties to the handles by which their values can be looked up."""
+        df, outputs = self.reveal(), self.outputs
+        if meta:
+            df, outputs = df.withColumn(META, masking.handles(df.columns, outputs, self.engine.algorithms)), [*outputs, Out(META)]
+        return masking.mask(df, outputs, self.engine.algorithms, self.engine.read, strategy, fields, self.engine.maskers, stored)
 
 
 class Engine:
     """``tables`` are physical DataFrames, or ``store`` keeps them. ``preprocessors`` change logical rows before they are written."""
 
-    def __init__(self, spark: SparkSession, rules: Rules, algorithms: Algorithms | None = None, tables: dict[str, DataFrame] | None = None, store: TableStore | None = None, preprocessors: Iterable[Callable[[str, DataFrame], DataFrame]] = (), audit: Callable[[dict], None] | None = None, maskers: masking.Maskers | None = None, insert_select: bool = False, fail_on_missing_rule: bool = True):
-        self.spark, self.rules, self.algorithms = spark, rules, algorithms or Algorithms.standard()
+    def __init__(self, spark: SparkSession, rules: Rules, algorithms: Algorithms | None = None, tables: dict[str, DataFrame] | None = None, store: TableStore | None = None, preprocessors: Iterable[Callable[[str, DataFrame], DataFrame]] = (), audit: Callable[[dict], None] | None = None, maskers: masking.Maskers | None = None, insert_select: bool = False, fail_on_missing_rule: bool = True, ids: Callable[[Column], Column] | None = None):
+        """``ids`` makes the ids of external rows from their hashes; without it the hash is the id."""
+        self.spark, self.rules, self.algorithms, self.ids = spark, rules, algorithms or Algorithms.standard(), ids
+        for name in {r.cipher for t in rules.tables() for r in rules.of(t).values()}:
+            self.algorithms.cipher(name)  # an engine without the keys that its rules need doesn't start
+        for conf in ("spark.sql.redaction.string.regex", "spark.redaction.string.regex"):
+            if not spark.conf.get(conf, None):
+                with suppress(AnalysisException):  # the second one belongs to the context and may be fixed
+                    spark.conf.set(conf, KEYS_IN_PLANS)
         self.store = store or SessionStore(tables)
         self.preprocessors, self.audit, self.maskers = list(preprocessors), audit or (lambda event: None), maskers or {}
         self.insert_select, self.fail_on_missing_rule = insert_select, fail_on_missing_rule
@@ -137,24 +154,25 @@ class Engine:
     # --- writes
 
     def protect(self, df: DataFrame, table: str) -> Protected:
-        return protect(df, table, self.rules, self.algorithms)
+        return protect(df, table, self.rules, self.algorithms, self.ids)
 
-    def insert(self, table: str, rows: DataFrame) -> None:
-        """Appends logical rows: external rows of columns first, then the table, so that no reference ever lacks its row."""
+    def insert(self, table: str, rows: DataFrame, token: str | None = None) -> None:
+        """Appends logical rows: external rows of columns first, then the table, so that no reference ever lacks its row. What has been
+        inserted under a ``token`` is not inserted again."""
         for change in self.preprocessors:
             rows = change(table, rows)
         made = self.protect(rows, table)
-        self.add_external(table, made)
+        self.add_external(table, made, token)
         before = self.read(table)
         main = made.main
         if before is not None:
             main = main.select(*[F.col(f"`{named(main, c)}`").cast(before.schema[c].dataType).alias(c) if named(main, c) else F.lit(None).cast(before.schema[c].dataType).alias(c) for c in before.columns])
-        self.store.append(table, main)
+        self.store.append(table, main, token)
 
-    def add_external(self, table: str, made: Protected) -> None:
+    def add_external(self, table: str, made: Protected, token: str | None = None) -> None:
         keys = {normal(r.storage_table): r.hash_column for r in self.rules.of(table).values() if r.separate} | {normal(r.storage_table): r.hash_column for r in self.rules.json_of(table).values()}
         for name, rows in made.external.items():
-            self.store.append(name, only_new(rows, self.read(name), keys[name]))
+            self.store.append(name, only_new(rows, self.read(name), keys[name]), token)
 
     def execute(self, statement: Any, args: list | tuple | dict | None = None) -> None:
         compiler = self.compiler(args)
@@ -277,7 +295,8 @@ class Engine:
         return found[0]["v"]
 
     def resolve(self, requests: DataFrame) -> DataFrame:
-        """Values behind a table of handles (sid, pid, vid, hash): the same with a column ``plain``, null where none is found."""
+        """Values behind a table of handles (sid, pid, vid, hash): the same with a column ``plain``, null where none is found. A handle
+        that leads to several rows fails the job, as a single lookup does."""
         parts = []
         for table in self.rules.tables():
             for rule in self.rules.of(table).values():
@@ -291,7 +310,11 @@ class Engine:
                 if rule.separate:
                     own = own.join(self.read(rule.storage_table).groupBy(F.col(rule.hash_column).alias("hash")).agg(F.any_value(rule.storage_column).alias("_c2")), "hash").withColumn("_c", F.col("_c2")).drop("_c2")
                 wanted = requests.select("sid", "pid", "vid", "hash").distinct().join(own, ["sid", "pid", "vid", "hash"])
-                parts.append(wanted.select("sid", "pid", "vid", "hash", self.algorithms.cipher(rule.cipher).decrypt(F.col("_c")).alias("plain")))
+                single = wanted.groupBy("sid", "pid", "vid", "hash").agg(F.count(F.lit(1)).alias("_n"), F.any_value("_c").alias("_c"))
+                one = F.when(F.col("_n") == 1, F.col("_c")).otherwise(F.raise_error(F.concat(F.lit("GENERAL_FAILURE: "), F.col("_n"), F.lit(" rows for a handle"))).cast("string"))
+                parts.append(single.select("sid", "pid", "vid", "hash", self.algorithms.cipher(rule.cipher).decrypt(one).alias("plain")))
+        if not parts:
+            return requests.withColumn("plain", F.lit(None).cast("string"))
         known = parts[0]
         for p in parts[1:]:
             known = known.unionByName(p)

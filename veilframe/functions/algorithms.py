@@ -43,12 +43,13 @@ def material(key: str) -> str:
 
 def aes(key: str) -> Cipher:
     """AES-GCM under the first 16 bytes of the key's SHA-256; Base64 of nonce, ciphertext and tag."""
-    secret = F.unhex(F.lit(hashlib.sha256(material(key).encode()).hexdigest()[:32]))
+    own = hashlib.sha256(material(key).encode()).hexdigest()[:32]
+    secret = lambda: F.unhex(F.lit(own))
     text = lambda c: F.decode(c, "UTF-8")
     return Cipher(
-        lambda c: F.base64(F.aes_encrypt(F.encode(c, "UTF-8"), secret, F.lit("GCM"))),
-        lambda c: text(F.aes_decrypt(F.unbase64(c), secret, F.lit("GCM"))),
-        lambda c: text(F.try_aes_decrypt(F.when(c.rlike(r"^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$") & (F.length(c) >= 40), F.unbase64(c)), secret, F.lit("GCM"))),
+        lambda c: F.base64(F.aes_encrypt(F.encode(c, "UTF-8"), secret(), F.lit("GCM"))),
+        lambda c: text(F.aes_decrypt(F.unbase64(c), secret(), F.lit("GCM"))),
+        lambda c: text(F.try_aes_decrypt(F.when(c.rlike(r"^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$") & (F.length(c) >= 40), F.unbase64(c)), secret(), F.lit("GCM"))),
     )
 
 
@@ -130,10 +131,11 @@ class Algorithms:
 
     @classmethod
     def standard(cls, keys: dict[str, str] | None = None, sm3_salt: str = "") -> Algorithms:
-        keys = {"aes": "change-me-aes-key", "sm4": "change-me-sm4-key"} | (keys or {})
+        """``keys`` of "aes" and "sm4"; a cipher without a key isn't there, and a rule that names it is refused."""
+        keys = keys or {}
         tail4 = (masks.keep_first_last(0, 4), masks.value_keep(0, 4))
         likes = {"normalizedLike": (masks.normalized_like, masks.value_normalized), "idCardMaskLike": (masks.keep_first_last(3, 3), masks.value_keep(3, 3)), "phoneMaskLike": tail4, "bankCardMaskLike": tail4, "nameMaskLike": (masks.name_mask, masks.value_name)}
-        return cls({"aes": aes(keys["aes"]), "sm4": sm4(keys["sm4"])}, {"sha256": sha256(), "sm3": sm3(sm3_salt)}, {k: Transform(*f) for k, f in likes.items()})
+        return cls({name: make(keys[name]) for name, make in (("aes", aes), ("sm4", sm4)) if keys.get(name)}, {"sha256": sha256(), "sm3": sm3(sm3_salt)}, {k: Transform(*f) for k, f in likes.items()})
 
     def cipher(self, name: str) -> Cipher:
         if name not in self.ciphers:

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,15 +64,24 @@ def mask_value(value: str | None, hint: str | None = None) -> str | None:
     return value
 
 
+# What a match of the patterns can't do without; to look for it costs little.
+_KEYED = re.compile(rf"{_KEY}[A-Za-z0-9_.-]*\s*[:=]", re.I | re.A)
+_DIGITS = re.compile(r"[0-9]{11}")
+
+
 def scrub(text: str | None, hint: str | None = None) -> str | None:
     """Masks keyed fragments, then values that stand out; a text where nothing did is masked by its hint as one value."""
     if text is None or not text.strip():
         return text
-    out = JSON_VALUE.sub(lambda m: m[1] + mask_value(m[2], m[1].strip().strip('":').strip()) + m[3], text)
-    out = AUTHORIZATION.sub(lambda m: m[1] + (mask_value(m[2].strip(), "authorization") or ""), out)
-    out = KEY_VALUE.sub(lambda m: m[1] + m[3] + mask_value(m[4], m[2]) + m[5], out)
+    out = text
+    if '"' in out and ":" in out:
+        out = JSON_VALUE.sub(lambda m: m[1] + mask_value(m[2], m[1].strip().strip('":').strip()) + m[3], out)
+    if _KEYED.search(out):
+        out = AUTHORIZATION.sub(lambda m: m[1] + (mask_value(m[2].strip(), "authorization") or ""), out)
+        out = KEY_VALUE.sub(lambda m: m[1] + m[3] + mask_value(m[4], m[2]) + m[5], out)
     for kind, pattern in BARE:
-        out = pattern.sub(lambda m, kind=kind: mask_value(m[0], kind), out)
+        if "@" in out if kind == "email" else _DIGITS.search(out):
+            out = pattern.sub(lambda m, kind=kind: mask_value(m[0], kind), out)
     return mask_value(text, hint) if out == text and hint is not None else out
 
 
@@ -104,44 +114,83 @@ def mask_column(c: Column, hint: str | None = None) -> Column:
     return F.pandas_udf(run, "string", F.PandasUDFType.SCALAR_ITER)(c)
 
 
-def mask_entries(c: Column) -> Column:
-    """Masks a map of strings; every key is the hint of its value."""
+def mask_annotated(value: str | None, name: str) -> str | None:
+    """A field that is marked as sensitive: by what it is called, or as a whole."""
+    if value is None or not value.strip():
+        return value
+    named = lambda *words: any(w in name.lower() for w in words)
+    if named("phone", "mobile", "tel"):
+        return phone(value)
+    if named("email", "mail"):
+        return mask_value(value, "email") if "@" in value[1:-1] else keep(value, 1, 0)
+    if named("idcard", "id_card", "cert"):
+        return keep(value, 3, 3)
+    return keep(value, 0, 4) if named("bank", "card") else "*" * len(value)
+
+
+def mask_object(value: Any, hint: str | None = None, annotated: frozenset[str] = frozenset()) -> Any:
+    """A detached copy of nested lists, maps (as pairs or dicts) and records in which strings are masked by the names that hold them."""
+    if isinstance(value, str):
+        return mask_annotated(value, hint) if hint is not None and hint.lower() in annotated else mask_value(value, hint)
+    if isinstance(value, dict):
+        return {k: mask_object(v, str(k), annotated) for k, v in value.items()}
+    if isinstance(value, list):
+        # A map's pairs; what stands in a list goes by the name of the list.
+        return [(x[0], mask_object(x[1], str(x[0]), annotated)) if isinstance(x, tuple) else mask_object(x, hint, annotated) for x in value]
+    return value
 
-    def run(entries: pd.Series) -> pd.Series:
-        return entries.map(lambda x: None if x is None else {k: mask_value(v, k) for k, v in dict(x).items()})
 
-    return F.pandas_udf(run, "map<string,string>", F.PandasUDFType.SCALAR)(c)
+def _has_strings(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_has_strings(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.MapType):
+        return _has_strings(kind.valueType)
+    return isinstance(kind, (T.StringType, T.VariantType)) or isinstance(kind, T.ArrayType) and _has_strings(kind.elementType)
 
 
-def safe_frame(df: DataFrame) -> DataFrame:
-    """A copy for logs: strings masked by the names of their fields, through structs, arrays and maps; other types stay."""
+def safe_frame(df: DataFrame, annotated: tuple[str, ...] = ()) -> DataFrame:
+    """A copy for logs: strings masked by the names of their fields and keys, through structs, arrays and maps at any depth; other types
+    stay. Fields named in ``annotated`` are masked in any case."""
+    marked = frozenset(a.lower() for a in annotated)
 
-    def walk(c: Column, kind: T.DataType, name: str) -> Column:
-        if isinstance(kind, T.StringType):
-            return mask_column(c, name)
-        if isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType) and isinstance(kind.valueType, T.StringType):
-            return mask_entries(c)
-        if isinstance(kind, T.StructType):
-            return F.when(c.isNotNull(), F.struct(*[walk(c[f.name], f.dataType, f.name).alias(f.name) for f in kind.fields]))
-        if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
-            udf = F.pandas_udf(lambda s: s.map(lambda x: None if x is None else [mask_value(v, name) for v in x]), "array<string>", F.PandasUDFType.SCALAR)
-            return udf(c)
-        return c
+    def masked(f: T.StructField) -> Column:
+        if not _has_strings(f.dataType):
+            return F.col(f"`{f.name}`")
 
-    return df.select(*[walk(F.col(f"`{f.name}`"), f.dataType, f.name).alias(f.name) for f in df.schema.fields])
+        def run(values: pa.Array) -> pa.Array:
+            return pa.array([mask_object(v, f.name, marked) for v in values.to_pylist()], values.type)
+
+        return F.arrow_udf(run, f.dataType)(F.col(f"`{f.name}`"))
+
+    return df.select(*[masked(f).alias(f.name) for f in df.schema.fields])
+
+
+#: What a record has by itself; anything else was given with it.
+_OWN = frozenset(vars(logging.makeLogRecord({}))) | {"message", "asctime"}
 
 
 class LogFilter(logging.Filter):
-    """Scrubs the rendered message and the exception text of log records."""
+    """Scrubs the rendered message, the values given with it and the exception text of log records."""
 
     def filter(self, record: logging.LogRecord) -> bool:
         record.msg, record.args = scrub(record.getMessage()), ()
+        for key, value in vars(record).items():
+            if key not in _OWN:
+                setattr(record, key, mask_object(value, key))
         if record.exc_info and record.exc_info[1] is not None:
             record.exc_text = scrub(logging.Formatter().formatException(record.exc_info))
             record.exc_info = None
         return True
 
 
+def install(logger: logging.Logger | None = None) -> int:
+    """Puts the filter on every handler of a logger (the root one if none is given) that lacks it; how many there were."""
+    lacking = [h for h in (logger or logging.getLogger()).handlers if not any(isinstance(f, LogFilter) for f in h.filters)]
+    for h in lacking:
+        h.addFilter(LogFilter())
+    return len(lacking)
+
+
 def safe_error(error: BaseException) -> str:
     """Text of an exception and its causes, scrubbed."""
     parts: list[Any] = []

@@ -1,8 +1,10 @@
 """Backfill: turns a table with plaintext columns into a protected one, slice by slice, resumable and verified.
 
-A slice is a range of the cursor columns. Each is one set-based job that derives the protected columns, appends missing external
-rows, writes the slice to a staging folder, and checks it; its bounds and counts are saved only then. When the last slice
-is done the staged slices become the table. A run that stops is taken up after its last saved slice.
+A slice is a range of the cursor columns. The ends of all slices are found in one pass over the cursor, sorted by ranges. Then
+``together`` slices at a time are one set-based job that derives the protected columns, appends missing external rows, writes the
+rows to a staging folder once, and checks them; their ends and counts are saved only then. So the table is scanned once
+per job, by a range that its files can be skipped by, and not once per slice. When the last slice is done the staged rows
+become the table. A run that stops is taken up after its last saved slice.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ from veilframe.sources.shared import shared_folder
 @dataclass(frozen=True)
 class Definition:
     """What to backfill. ``include`` names columns or properties (all if empty); ``backup`` maps columns to where their plaintext is
-    kept before it is overwritten."""
+    kept before it is overwritten, and ``backup_template`` names that column for the others, from {table}, {property} and {column}. ``source``
+    and ``entity`` are names under which the table is known to those who confirm."""
 
     table: str
     cursor: tuple[str, ...]
@@ -41,6 +44,10 @@ class Definition:
     backup: dict[str, str] = field(default_factory=dict)
     verify: bool = True
     excluded_tables: tuple[str, ...] = ()
+    together: int = 64
+    backup_template: str | None = None
+    source: str | None = None
+    entity: str | None = None
 
 
 @dataclass
@@ -127,20 +134,23 @@ class FileState:
 
 # --- confirmation
 
-Confirm = Callable[[str, set[str]], None]
+Confirm = Callable[[Definition, set[str]], None]
 
 
-def allow_all(table: str, risks: set[str]) -> None:
+def allow_all(what: Definition, risks: set[str]) -> None:
     """Confirms anything."""
 
 
 def expected(scopes: dict[str, set[str]]) -> Confirm:
-    """Confirms a table whose risks are exactly those expected; ``*`` stands for tables without an entry."""
+    """Confirms a table whose risks are exactly those expected of its scope: "source|entity|table", "entity|table", "source|table" or
+    "table", of which the first that is there counts; ``*`` stands for tables without one."""
 
-    def confirm(table: str, risks: set[str]) -> None:
-        own = scopes.get(normal(table), scopes.get("*"))
+    def confirm(d: Definition, risks: set[str]) -> None:
+        table = normal(d.table)
+        names = [(d.source, d.entity, table), (d.entity, table), (d.source, table), (table,), ("*",)]
+        own = next((scopes[k] for parts in names if None not in parts and (k := "|".join(parts)) in scopes), None)
         if own is None:
-            raise migration_error("CONFIRMATION_REQUIRED", table)
+            raise migration_error("CONFIRMATION_REQUIRED", d.table)
         if own != risks:
             raise migration_error("CONFIRMATION_SCOPE_MISMATCH", f"{sorted(own ^ risks)}")
 
@@ -150,8 +160,8 @@ def expected(scopes: dict[str, set[str]]) -> Confirm:
 def from_file(folder: str) -> Confirm:
     """Writes the risks to a file on the first run; confirms once somebody has set ``approved`` in it and they still are the same."""
 
-    def confirm(table: str, risks: set[str]) -> None:
-        path = os.path.join(folder, f"{normal(table)}.confirm.json")
+    def confirm(d: Definition, risks: set[str]) -> None:
+        path = os.path.join(folder, f"{normal(d.table)}.confirm.json")
         try:
             if not os.path.exists(path):
                 with open(path, "w") as f:
@@ -178,7 +188,9 @@ class Plan:
     json: tuple[JsonRule, ...]
 
     def backup(self, rule: ColumnRule) -> str | None:
-        return next((b for k, b in self.definition.backup.items() if normal(k) in (normal(rule.column), normal(rule.property))), None)
+        own = next((b for k, b in self.definition.backup.items() if normal(k) in (normal(rule.column), normal(rule.property))), None)
+        template = self.definition.backup_template if self.overwrites(rule) else None
+        return own or (template and template.format(table=normal(rule.table), property=rule.property, column=rule.column))
 
     @staticmethod
     def targets(rule: ColumnRule) -> list[str]:
@@ -230,8 +242,19 @@ def plan(engine: Engine, d: Definition) -> Plan:
     for n in d.backup:
         pick(n)
     out = Plan(d, tuple(columns), tuple(documents))
+    # Rules that write the same columns from the same column are one.
+    single: dict[tuple, ColumnRule] = {}
+    for r in columns:
+        first = single.setdefault((normal(r.column), *map(normal, out.targets(r)), normal(r.storage_table or "")), r)
+        if normal(out.backup(first) or "") != normal(out.backup(r) or ""):
+            raise migration_error("DEFINITION_INVALID", f"{first.property} and {r.property} keep backups in different columns")
+    out = Plan(d, tuple(single.values()), tuple(documents))
+    if any(normal(r.table) != normal(d.table) for r in columns):
+        raise migration_error("DEFINITION_INVALID", "rules of several tables")
+    backups = {b for r in out.columns if (b := out.backup(r))} | set(d.backup.values())
     written = {normal(c) for r in columns for c in out.targets(r)} | {normal(r.column) for r in documents}
-    if any(normal(b) in written or normal(b) in map(normal, d.cursor) for b in d.backup.values()):
+    own = {normal(c) for r in columns for c in (r.column, r.storage_column, r.hash_column, r.like_column, r.masked_column) if c}
+    if any(normal(b) in written | own or normal(b) in map(normal, d.cursor) for b in backups):
         raise migration_error("BACKUP_COLUMN_CONFLICT", str(d.backup))
     if any(normal(c) in written for c in d.cursor):
         raise migration_error("CURSOR_COLUMN_MUTABLE", str(d.cursor))
@@ -272,32 +295,39 @@ class Task:
     def run(self, most_slices: int | None = None) -> Report:
         d, key = self.definition, normal(self.definition.table)
         with self.state.lock(key):
-            self.confirm(d.table, self.plan.risks())
+            self.confirm(d, self.plan.risks())
             df = self.engine.read(d.table)
             if df is None:
                 raise migration_error("RANGE_READ_FAILED", d.table)
-            old, signature = self.state.load(key), self.plan.signature()
-            if old and old["signature"] != signature:
+            old, signature, place = self.state.load(key), self.plan.signature(), self.engine.store.fingerprint()
+            if old and (old["signature"] != signature or old.get("place", place) != place):
                 raise migration_error("STATE_INCOMPATIBLE", d.table)
             total, start, end = self.span(df)
             if old and old["report"]["status"] == "COMPLETED" and [old["total"], old["start"], old["end"]] == [total, start, end]:
                 return Report(**old["report"])
             if old and old["report"]["status"] == "COMPLETED":
                 old = None  # rows came since: what is already protected is recognised and skipped
-            s = old or {"signature": signature, "total": total, "start": start, "end": end, "last": None, "folder": f"{shared_folder(self.engine.spark)}/backfill-{uuid4().hex}", "slices": 0, "report": asdict(Report(total, range_start=self.show(start), range_end=self.show(end)))}
-            done = 0
+            if old is None:
+                folder = f"{shared_folder(self.engine.spark)}/backfill-{uuid4().hex}"
+                s = {"signature": signature, "place": place, "total": total, "start": start, "end": end, "last": None, "folder": folder, "ends": self.ends(df, total, folder), "jobs": 0, "report": asdict(Report(total, range_start=self.show(start), range_end=self.show(end)))}
+            else:
+                s = old
+            left = len(s["ends"]) if most_slices is None else most_slices
             try:
-                while s["last"] != s["end"]:
-                    if most_slices is not None and done == most_slices:
-                        return Report(**s["report"])
-                    self.slice(df, s)
-                    done += 1
-                    s["report"]["status"] = "COMPLETED" if s["last"] == s["end"] else "RUNNING"
-                    if s["last"] == s["end"] and total:
-                        self.engine.store.replace(d.table, self.engine.spark.read.option("mergeSchema", "true").parquet(*[f"{s['folder']}/{i}" for i in range(s["slices"])]))
+                while s["ends"] and left > 0:
+                    now = s["ends"][: min(left, d.together)]
+                    self.job(df, s, now)
+                    left -= len(now)
+                    s["ends"], s["last"] = s["ends"][len(now) :], now[-1]
+                    s["jobs"] += 1
+                    s["report"]["status"] = "RUNNING" if s["ends"] else "COMPLETED"
+                    if not s["ends"]:
+                        staged = self.engine.spark.read.option("mergeSchema", "true").parquet(*[f"{s['folder']}/{i}" for i in range(s["jobs"])])
+                        self.engine.store.replace(d.table, staged.drop("_changed"))
+                    self.state.save(key, s)
+                if not s["ends"]:
+                    s["report"]["status"] = "COMPLETED"
                     self.state.save(key, s)
-                s["report"]["status"] = "COMPLETED"
-                self.state.save(key, s)
             except Exception as e:
                 s["report"]["status"] = "FAILED"
                 self.state.save(key, s)
@@ -310,17 +340,40 @@ class Task:
     def show(values: list | None) -> str | None:
         return None if values is None else ",".join(map(str, values))
 
-    def slice(self, df: DataFrame, s: dict) -> None:
-        """Derives, stages and checks the next rows after the last bound."""
+    def ends(self, df: DataFrame, total: int, folder: str) -> list[list]:
+        """The last cursor of every slice, in order: every ``batch``-th one, and the last. The sorted cursors are written, so that places
+        and counts are taken of the same order; one row per task and one per slice reach the driver."""
+        if not total:
+            return []
+        spark = self.engine.spark
+        parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        ordered = df.select(self.cursor(df).alias("c")).repartitionByRange(parts, "c").sortWithinPartitions("c")
+        ordered.select("c", F.monotonically_increasing_id().alias("i")).write.mode("overwrite").parquet(f"{folder}/cursors")
+        kept = spark.read.parquet(f"{folder}/cursors").select("c", F.shiftright("i", 33).alias("task"), F.col("i").bitwiseAND(F.lit((1 << 33) - 1)).alias("k"))
+        before, offsets = 0, []
+        for r in kept.groupBy("task").agg(F.count(F.lit(1)).alias("n")).orderBy("task").collect():
+            offsets.append((r["task"], before))
+            before += r["n"]
+        placed = kept.join(F.broadcast(spark.createDataFrame(offsets, "task long, before long")), "task").withColumn("place", F.col("before") + F.col("k") + 1)
+        chosen = placed.where((F.col("place") % self.definition.batch == 0) | (F.col("place") == total)).orderBy("place").select("c").collect()
+        out: list[list] = []
+        for r in chosen:
+            end = [encode(x) for x in r["c"]]
+            if not out or out[-1] != end:  # equal cursors lie in one slice
+                out.append(end)
+        return out
+
+    def job(self, df: DataFrame, s: dict, ends: list[list]) -> None:
+        """Derives, stages and checks the rows after the last saved slice up to the last of ``ends``."""
         self.folder = s["folder"]
-        at = self.cursor(df)
-        after = df if s["last"] is None else df.where(at > self.bound(df, s["last"]))
-        top = after.select(at.alias("c")).orderBy("c").limit(self.definition.batch).agg(F.max("c").alias("c")).first()["c"]
-        last = [encode(x) for x in top]
-        rows = after.where(at <= self.bound(df, last))
-        made = self.derive(rows)
-        path = f"{s['folder']}/{s['slices']}"
-        made.write.mode("overwrite").parquet(path)
+        at, first = self.cursor(df), named(df, self.definition.cursor[0])
+        column, kind = F.col(f"`{first}`"), df.schema[first].dataType
+        # The range of the first column is what files can be skipped by.
+        rows = df.where((column <= F.lit(ends[-1][0]).cast(kind)) & (at <= self.bound(df, ends[-1])))
+        if s["last"] is not None:
+            rows = rows.where((column >= F.lit(s["last"][0]).cast(kind)) & (at > self.bound(df, s["last"])))
+        path = f"{s['folder']}/{s['jobs']}"
+        self.derive(rows).write.mode("overwrite").parquet(path)
         staged = self.engine.spark.read.parquet(path)
         counts = staged.agg(F.count(F.lit(1)).alias("n"), F.count_if("_changed").alias("m")).first()
         if self.definition.verify:
@@ -329,18 +382,6 @@ class Task:
         s["report"]["scanned"] += counts["n"]
         s["report"]["migrated"] += counts["m"]
         s["report"]["skipped"] += counts["n"] - counts["m"]
-        staged.drop("_changed").write.mode("overwrite").parquet(path + "-clean")
-        s["slices"] += 1
-        s["last"] = last
-        self.swap(path)
-
-    def swap(self, path: str) -> None:
-        spark = self.engine.spark
-        here, clean = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, path + "-clean"))
-        fs = here.getFileSystem(spark._jsc.hadoopConfiguration())
-        fs.delete(here, True)
-        if not fs.rename(clean, here):
-            raise migration_error("STATE_STORE_IO_FAILED", path)
 
     def plain(self, rows: DataFrame, rule: ColumnRule) -> tuple[DataFrame, Column, Column]:
         """Rows, the plaintext of a column where it is to be protected, and whether the row is already done."""
@@ -358,12 +399,22 @@ class Task:
                 there = F.col("_there")
             lost = ~there & source.rlike("^[0-9a-f]{64}$") & backup.isNull()
         elif self.plan.overwrites(rule):
-            there = algorithms.cipher(rule.cipher).try_decrypt(source).isNotNull() if normal(rule.storage_column) == normal(rule.column) else F.lit(False)
-            lost = F.lit(False)
+            # Done where all that is derived is there and opens; something of it without the rest means that the plaintext is gone.
+            has = lambda c: filled(F.col(f"`{named(rows, c)}`").cast("string")).isNotNull() if named(rows, c) else F.lit(False)
+            stored = named(rows, rule.storage_column)
+            opens = algorithms.cipher(rule.cipher).try_decrypt(F.col(f"`{stored}`").cast("string")).isNotNull() if stored else F.lit(False)
+            others = [c for c in self.plan.targets(rule) if normal(c) != normal(rule.column)]
+            there = reduce(lambda a, b: a & b, map(has, others), opens) & backup.isNull()
+            lost = ~there & backup.isNull() & reduce(lambda a, b: a | b, map(has, others), F.lit(False))
         else:
             there = F.lit(False)
             lost = F.lit(False)
-        bad = rows.where(F.trim(source) != "").agg(F.count_if(lost).alias("lost"), F.count_if(backup.isNotNull() & (backup != source) & ~there & (algorithms.hash(rule.hash).column(backup) != source)).alias("odd")).first()
+        # Beside a backup stands its own value, or what the column was overwritten with.
+        opened = algorithms.cipher(rule.cipher).try_decrypt(source)
+        forms = [backup, algorithms.hash(rule.hash).column(backup), opened]
+        forms += [algorithms.like(name).column(backup) for column, name in ((rule.like_column, rule.like), (rule.masked_column if rule.distinct_masked else None, rule.masked)) if column and normal(column) == normal(rule.column)]
+        fits = reduce(lambda a, b: a | b, [source.eqNullSafe(f) if f is not opened else f.eqNullSafe(backup) for f in forms])
+        bad = rows.where(F.trim(source) != "").agg(F.count_if(lost).alias("lost"), F.count_if(backup.isNotNull() & ~there & ~fits).alias("odd")).first()
         if bad["lost"]:
             raise migration_error("PLAINTEXT_UNRECOVERABLE", f"{rule.table}.{rule.column}: {bad['lost']} rows")
         if bad["odd"] and self.plan.overwrites(rule):

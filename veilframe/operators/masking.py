@@ -80,6 +80,20 @@ def mask(df: DataFrame, outputs: list[Out], algorithms: Algorithms, read: Read,
     return df.select(*[done.get(p, F.col(p)).alias(x) for p, x in zip(inner, labels, strict=True)])
 
 
+def handles(labels: list[str], outputs: list[Out], algorithms: Algorithms) -> Column:
+    """Map from the properties of a revealed row's protected columns to their handles; those whose row's key isn't shown have none."""
+    pairs = []
+    for label, o in zip(labels, outputs, strict=True):
+        rule = o.shadow.rule if o.shadow else None
+        key = rule and next((x for x in labels if normal(x) == normal(rule.business_key or "id")), None)
+        if key and labels.count(key) == 1 and labels.count(label) == 1:
+            value, own = F.col(f"`{label}`"), F.col(f"`{key}`").cast("string")
+            handle = F.struct(F.lit(rule.sid).alias("sid"), F.lit(rule.pid).alias("pid"), own.alias("vid"), algorithms.hash(rule.hash).column(value).alias("hash"))
+            pairs.append(F.when(value.isNotNull() & own.isNotNull(), F.struct(F.lit(rule.property).alias("key"), handle.alias("value"))))
+    kind = "map<string,struct<sid:string,pid:string,vid:string,hash:string>>"
+    return F.map_from_entries(F.array_compact(F.array(*pairs))).cast(kind) if pairs else F.create_map().cast(kind)
+
+
 def mask_nested(df: DataFrame, algorithms: Algorithms, maskers: Maskers | None = None) -> DataFrame:
     """Masks every string field whose metadata has ``sensitive`` (attributes of ``Sensitive``), through structs and arrays."""
     maskers = maskers or {}

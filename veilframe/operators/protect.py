@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -37,12 +38,31 @@ def named(df: DataFrame, column: str) -> str | None:
     return next((c for c in df.columns if normal(c) == normal(column)), None)
 
 
-def external_rows(values: DataFrame, rule: ColumnRule, algorithms: Algorithms) -> DataFrame:
+Ids = Callable[[Column], Column]
+
+
+def sequential(node: int = 0, since: int | None = None) -> Ids:
+    """Time-ordered ids of 63 bits, as of a generator on ten bits of node: 41 bits of milliseconds, the node, 12 of a sequence. Rows of a
+    task count on; tasks stand for nodes, counted from ``node``, and every 1024 of them for other milliseconds."""
+    epoch = 1704067200000  # fixed value: 2024-01-01 in milliseconds
+
+    def of(_: Column) -> Column:
+        row = F.monotonically_increasing_id()
+        task, k = F.shiftright(row, 33) + node, row.bitwiseAND(F.lit((1 << 33) - 1))
+        now = (F.unix_millis(F.current_timestamp()) if since is None else F.lit(since).cast("long")) - epoch
+        milliseconds = now + F.shiftright(k, 12) + F.shiftright(task, 10) * (1 << 21)
+        return F.shiftleft(milliseconds, 22).bitwiseOR(F.shiftleft(task.bitwiseAND(F.lit(1023).cast("long")), 12)).bitwiseOR(k.bitwiseAND(F.lit(4095).cast("long"))).cast("string")
+
+    return of
+
+
+def external_rows(values: DataFrame, rule: ColumnRule, algorithms: Algorithms, ids: Ids | None = None) -> DataFrame:
     """One row per distinct value of the column ``plain``: id, ciphertext, hash, LIKE form, stored mask."""
     value = F.col("plain")
     hashed = values.where(value.isNotNull()).select(value, algorithms.hash(rule.hash).column(value).alias("_hash")).dropDuplicates(["_hash"])
     columns = derived(rule, value, algorithms) | {rule.hash_column: F.col("_hash")}
-    return hashed.select(F.col("_hash").alias(rule.storage_id_column), *[c.alias(n) for n, c in columns.items()])
+    made = F.col("_hash") if ids is None else ids(F.col("_hash"))
+    return hashed.select(made.alias(rule.storage_id_column), *[c.alias(n) for n, c in columns.items()])
 
 
 def json_external_rows(writes: DataFrame, rule: JsonRule, algorithms: Algorithms) -> DataFrame:
@@ -55,7 +75,7 @@ def json_external_rows(writes: DataFrame, rule: JsonRule, algorithms: Algorithms
     return rows.select(F.col("hash").alias(rule.storage_id_column), F.col("hash").alias(rule.hash_column), cipher.alias(rule.cipher_column))
 
 
-def protect(df: DataFrame, table: str, rules: Rules, algorithms: Algorithms) -> Protected:
+def protect(df: DataFrame, table: str, rules: Rules, algorithms: Algorithms, ids: Ids | None = None) -> Protected:
     """Set-based protection of logical rows. Nulls stay null; other types are protected as text."""
     out, external = df, {}
     for rule in rules.of(table).values():
@@ -64,7 +84,7 @@ def protect(df: DataFrame, table: str, rules: Rules, algorithms: Algorithms) ->
             continue
         value = F.col(f"`{label}`").cast("string")
         if rule.separate:
-            rows = external_rows(out.select(value.alias("plain")), rule, algorithms)
+            rows = external_rows(out.select(value.alias("plain")), rule, algorithms, ids)
             key = normal(rule.storage_table)
             external[key] = external[key].unionByName(rows, allowMissingColumns=True) if key in external else rows
             out = out.withColumn(label, algorithms.hash(rule.hash).column(value))

@@ -18,6 +18,8 @@ from veilframe.functions import masks, textmask
 from veilframe.functions.algorithms import Algorithms
 from veilframe.operators import backfill, ddl, masking
 from veilframe.rules import Rules
+from veilframe.sources.shared import shared_folder
+from veilframe.sources.store import SnapshotStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,16 +59,47 @@ def _formatted(spark: SparkSession, sql: str, table: str, source: DataFrame) ->
     return spark.sql(sql.replace(f"from {table}", f"from {view}"))
 
 
-def engine(spark: SparkSession, sf_dir: str, cipher: str = "aes", digest: str = "sha256", tables: tuple[str, ...] = ("user_account", "user_archive", "order_account", "profile"), **options) -> Engine:
-    """An engine over protected copies of the derived tables."""
-    own, algorithms = rules(cipher, digest), Algorithms.standard({"aes": "catalogue-aes-key", "sm4": "catalogue-sm4-key"})
-    sources = {"user_account": (USERS, "customer"), "user_archive": (ARCHIVE, "supplier"), "order_account": (ORDERS, "orders"), "profile": (PROFILES, "events")}
-    made = Engine(spark, own, algorithms, **options)
+SOURCES = {"user_account": (USERS, "customer"), "user_archive": (ARCHIVE, "supplier"), "order_account": (ORDERS, "orders"), "profile": (PROFILES, "events")}
+TABLES = tuple(SOURCES)
+
+
+def algorithms() -> Algorithms:
+    return Algorithms.standard({"aes": "catalogue-aes-key", "sm4": "catalogue-sm4-key"})
+
+
+def fresh(spark: SparkSession, sf_dir: str, cipher: str = "aes", digest: str = "sha256", tables: tuple[str, ...] = TABLES, **options) -> Engine:
+    """An engine that has just inserted the derived tables: what it reads is derived on the way."""
+    made = Engine(spark, rules(cipher, digest), algorithms(), **options)
     for name in tables:
-        made.insert(name, logical(spark, sf_dir, *sources[name]))
+        made.insert(name, logical(spark, sf_dir, *SOURCES[name]))
     return made
 
 
+#: Protected tables that this session has stored, by application, folder and algorithms.
+_stored: dict[tuple, tuple[SnapshotStore, dict[str, DataFrame]]] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, cipher: str, digest: str, tables: tuple[str, ...]) -> dict[str, DataFrame]:
+    """Protected Parquet of the derived tables and their external ones, written once in a session and read by all its statements."""
+    key = (spark.sparkContext.applicationId, sf_dir, cipher, digest)
+    if key not in _stored:
+        _stored[key] = SnapshotStore(spark, f"{shared_folder(spark)}/catalogue-{uuid4().hex}"), {}
+    store, found = _stored[key]
+    lacking = [t for t in tables if t not in found]
+    writer = Engine(spark, rules(cipher, digest), algorithms(), store=store)
+    for name in lacking:
+        writer.insert(name, logical(spark, sf_dir, *SOURCES[name]))
+    if lacking:
+        found.clear()
+        found.update((t, store.read(t)) for t in store.names())
+    return dict(found)
+
+
+def engine(spark: SparkSession, sf_dir: str, cipher: str = "aes", digest: str = "sha256", tables: tuple[str, ...] = TABLES, **options) -> Engine:
+    """An engine over stored protected copies of the derived tables. What it writes stays in the session."""
+    return Engine(spark, rules(cipher, digest), algorithms(), tables=stored(spark, sf_dir, cipher, digest, tables), **options)
+
+
 #: name: (statement over logical columns, arguments, statement over plaintext if it isn't the same)
 U, R, O, P = f"({USERS})", f"({ARCHIVE})", f"({ORDERS})", f"({PROFILES})"
 STATEMENTS: dict[str, tuple[str, list, str | None]] = {
@@ -117,7 +150,23 @@ STATEMENTS: dict[str, tuple[str, list, str | None]] = {
     "having_like": ("select phone, count(*) as n from user_account group by phone having phone like ?", ["%0012%"], None),
     "conditional_sum": ("select nation, sum(if(phone = ?, 1, 0)) as hits from user_account group by nation", ["13800000042"], "select nation, sum(case when phone = '13800000042' then 1 else 0 end) as hits from user_account group by nation"),
     "max_separate": ("select max(id_card) as m from user_account", [], "select arg_max(id_card, sha256(id_card)) as m from user_account"),
-    "rollup_protected": ("select email, nation, count(*) as n from user_account where id < 50 group by nation, email", [], None),
+    "group_by_two": ("select email, nation, count(*) as n from user_account where id < 50 group by nation, email", [], None),
+    "rollup_protected": ("select nation, email, count(*) as n, cast(grouping(email) as int) as g from user_account where id < 200 group by rollup(nation, email)", [], None),
+    "cube_protected": ("select id_card, phone, count(*) as n from user_account where id < 40 group by cube(id_card, phone)", [], None),
+    "grouping_sets": ("select email, nation, count(distinct phone) as n from user_account group by grouping sets ((email), (nation), (), (email, nation))", [], None),
+    "grouping_sets_after": ("select email, nation, count(*) as n from user_account group by email, nation grouping sets ((email), ())", [], "select email, null::int as nation, count(*) as n from user_account group by grouping sets ((email), ())"),
+    "with_rollup": ("select email, count(phone) as n from user_account group by email with rollup", [], "select email, count(phone) as n from user_account group by rollup(email)"),
+    "intersect_all": ("select email from user_account where id < 1500 intersect all select email from user_account where id > 600", [], None),
+    "except_all": ("select email, id_card from user_account where id < 1500 except all select email, id_card from user_account where id > 900", [], None),
+    "lateral_view": ("select u.id, u.phone, x.w from user_account u lateral view explode(split(u.name, '#')) x as w where u.phone like ?", ["%0001%"], "select id, phone, unnest(string_split(name, '#')) as w from user_account where phone like '%0001%'"),
+    "lateral_subquery": ("select u.id, u.phone, z.n from user_account u join lateral (select count(*) as n from order_account o where o.user_id = u.id) z on true where u.id < 60", [], None),
+    "pivot_plain": ("select * from (select status, price, user_id from order_account where user_id < 40) t pivot (count(price) for status in ('F' as f, 'O' as o))", [], "select user_id, nullif(count(*) filter (where status = 'F'), 0) as f, nullif(count(*) filter (where status = 'O'), 0) as o from order_account where user_id < 40 group by user_id"),
+    "sampled": ("select count(*) as n, count(phone) as phones from user_account tablesample (100 percent) u", [], "select count(*) as n, count(phone) as phones from user_account"),
+    "max_same_table": ("select id, max(phone) as p, first(email) as m from user_account where id < 90 group by id", [], "select id, phone as p, email as m from user_account where id < 90"),
+    "parenthesised": ("(select id, phone from user_account where id < 9) union all (select id, phone from user_archive where id < 5) order by id limit 6", [], None),
+    "duplicate_column": ("select u.*, u.phone from user_account u where u.id < 9", [], "select * from user_account where id < 9"),
+    "json_null": ("select id from profile where json_extract(profile_json, '$.phone') is null or id < 5", [], "select id from profile where json_extract_string(profile_json, '$.phone') is null or id < 5"),
+    "json_group_plain": ("select json_extract(profile_json, '$.tags[0]') as t, count(*) as n from profile group by json_extract(profile_json, '$.tags[0]')", [], "select json_extract_string(profile_json, '$.tags[0]') as t, count(*) as n from profile group by 1"),
     "window_partition": ("select id, email, row_number() over (partition by email order by id) as k from user_account", [], None),
     "window_named": ("select id, sum(balance) over w as s, count(phone) over w as n from user_account window w as (partition by id_card order by id rows between unbounded preceding and current row)", [], None),
     "window_lag": ("select id, lag(id) over (partition by id_card order by id) as before from user_account", [], None),
@@ -176,7 +225,7 @@ MASKS_SQL = f"""select id, repeat('*', length(phone) - 4) || right(phone, 4) as
 
 
 def shadow_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = engine(spark, sf_dir, tables=("user_account",))
+    e = fresh(spark, sf_dir, tables=("user_account",))
     return e.read("user_account").select("id", "phone_hash", "phone_like", "phone_masked", F.col("id_card").alias("card_ref"), F.length("phone_cipher").alias("cipher_length"))
 
 
@@ -184,7 +233,7 @@ SHADOW_SQL = f"select id, sha256(phone) as phone_hash, lower(phone) as phone_lik
 
 
 def separate_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = engine(spark, sf_dir, tables=("user_account", "user_archive"))
+    e = fresh(spark, sf_dir, tables=("user_account", "user_archive"))
     return e.read("card_store").select("id_card_hash", "id_card_like", "id_card_masked")
 
 
@@ -193,7 +242,7 @@ DEDUPE_SQL = f"select sha256(c) as id_card_hash, c as id_card_like, left(c, 3) |
 
 def national_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SM4 ciphertext and SM3 hashes end to end."""
-    return engine(spark, sf_dir, "sm4", "sm3", tables=("user_account",)).sql("select id, phone, id_card, email from user_account where phone in (?, ?) or id_card like ?", ["13800000003", "13800000004", "%0000001%"])
+    return fresh(spark, sf_dir, "sm4", "sm3", tables=("user_account",)).sql("select id, phone, id_card, email from user_account where phone in (?, ?) or id_card like ?", ["13800000003", "13800000004", "%0000001%"])
 
 
 def masked_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,7 +278,7 @@ INSERTED_SQL = f"select id, name, phone, id_card, email from {U} u where phone =
 
 
 def json_protected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = engine(spark, sf_dir, tables=("profile",))
+    e = fresh(spark, sf_dir, tables=("profile",))
     return e.read("profile").select("id", F.get_json_object("profile_json", "$.phone").alias("phone_ref"), F.get_json_object("profile_json", "$.tags[1].card").alias("card_ref"), F.get_json_object("profile_json", "$.n").alias("n"))
 
 
@@ -351,11 +400,23 @@ REFUSED: dict[str, tuple[str, list]] = {
     "two_ranges": ("select u.id from user_account u join user_archive a on u.phone < a.phone", []),
     "insert_select": ("insert into user_account (id, phone) select id, phone from user_archive", []),
     "write_operand": ("update user_account set phone = upper(name) where id = 1", []),
+    "find_in_set_reversed": ("select id from user_account where find_in_set('x', phone) > 0", []),
+    "json_like": ("select id from profile where json_extract(profile_json, '$.phone') like '138%'", []),
+    "json_projected": ("select json_extract(profile_json, '$.phone') as p from profile", []),
+    "json_grouped": ("select count(*) as n from profile group by json_extract(profile_json, '$.phone')", []),
+    "json_in_query": ("select id from profile where json_extract(profile_json, '$.phone') in (select phone from user_account)", []),
+    "json_range": ("select id from profile where json_extract(profile_json, '$.phone') > '1'", []),
+    "json_mutation": ("update profile set profile_json = json_set(profile_json, '$.phone', 'x') where id = 1", []),
+    "pivot": ("select * from user_account pivot (count(id) for nation in (1, 2))", []),
+    "rollup_expression": ("select count(*) as n from user_account group by rollup(substr(phone, 1, 3))", []),
+    "lateral_protected": ("select x.w from user_account u lateral view explode(split(u.phone, '0')) x as w", []),
+    "natural_join": ("select u.id from user_account u natural join user_archive a", []),
+    "using_join": ("select u.id from user_account u join user_archive a using (phone)", []),
 }
 
 
 def reject_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = engine(spark, sf_dir, tables=("user_account", "user_archive"))
+    e = engine(spark, sf_dir, tables=("user_account", "user_archive", "profile"))
     e.rules.add(Rules.load([{"table": "no_hash_table", "fields": [{"property": "phone", "storage_column": "phone_cipher"}]}]).find("no_hash_table", "phone"))
     e.store.replace("no_hash_table", spark.createDataFrame([(1, "x")], "id int, phone_cipher string"))
     found = []
@@ -374,13 +435,14 @@ REFUSAL_CODES = {
     "no_hash": "MISSING_ASSISTED_QUERY_COLUMN", "no_like": "MISSING_LIKE_QUERY_COLUMN", "operand": "INVALID_ENCRYPTED_QUERY_OPERAND", "star_join": "UNSUPPORTED_ENCRYPTED_SELECT",
     "in_star": "UNSUPPORTED_ENCRYPTED_IN_QUERY", "in_separate": "UNSUPPORTED_ENCRYPTED_IN_QUERY", "ambiguous": "AMBIGUOUS_ENCRYPTED_REFERENCE", "function": "UNSUPPORTED_ENCRYPTED_OPERATION",
     "recursive": "UNSUPPORTED_ENCRYPTED_SELECT", "two_ranges": "UNSUPPORTED_ENCRYPTED_RANGE", "insert_select": "UNSUPPORTED_ENCRYPTED_INSERT", "write_operand": "INVALID_ENCRYPTED_WRITE_OPERAND",
+    "find_in_set_reversed": "INVALID_ENCRYPTED_QUERY_OPERAND", "json_like": "UNSUPPORTED_ENCRYPTED_OPERATION", "json_projected": "UNSUPPORTED_ENCRYPTED_OPERATION", "json_grouped": "UNSUPPORTED_ENCRYPTED_GROUP_BY",
+    "json_in_query": "UNSUPPORTED_ENCRYPTED_IN_QUERY", "json_range": "UNSUPPORTED_ENCRYPTED_RANGE", "json_mutation": "INVALID_ENCRYPTED_WRITE_OPERAND", "pivot": "UNSUPPORTED_ENCRYPTED_SELECT",
+    "rollup_expression": "UNSUPPORTED_ENCRYPTED_GROUP_BY", "lateral_protected": "UNSUPPORTED_ENCRYPTED_OPERATION", "natural_join": "UNSUPPORTED_ENCRYPTED_OPERATION", "using_join": "UNSUPPORTED_ENCRYPTED_OPERATION",
 }
 
 
 def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows protected as they stream in, then read back through the engine."""
-    from veilframe.sources.shared import shared_folder
-    from veilframe.sources.store import SnapshotStore
     from veilframe.streaming.ingest import protect_stream
 
     folder = f"{shared_folder(spark)}/stream-{uuid4().hex}"
@@ -426,12 +488,18 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine(spark, sf_dir, tables=("user_account", "order_account")).sql(FLAGSHIP)
 
 
+def special() -> dict[str, tuple[Query, str | None]]:
+    from veilframe.plans.cases import CASES
+
+    return SPECIAL | CASES
+
+
 def queries() -> dict[str, Query]:
-    return {name: statement(name) for name in STATEMENTS} | {name: q for name, (q, _) in SPECIAL.items()}
+    return {name: statement(name) for name in STATEMENTS} | {name: q for name, (q, _) in special().items()}
 
 
 def oracle_sql() -> dict[str, str]:
     out = {}
     for name, (sql, args, other) in STATEMENTS.items():
         out[name] = plaintext(other or bound(sql, args))
-    return out | {name: sql for name, (_, sql) in SPECIAL.items() if sql}
+    return out | {name: sql for name, (_, sql) in special().items() if sql}
