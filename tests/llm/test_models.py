@@ -87,3 +87,25 @@ def test_difference_alone_tells_quality(spark):
         good, bad = size(rows[r.doc_id][1], model.good), size(rows[r.doc_id][1], model.bad)
         at = model.weights[0] * 10 * (bad - good + 100 * model.usual) / (bad + good + 100) + model.weights[1]
         assert abs(r.score - 1 / (1 + np.exp(-at))) < 1e-9 and r.predicted == r.doc_id % 2
+
+
+def test_language_network_by_plain_sums():
+    """The tables of byte pairs give what embedding, filters, pooling and softmax give written out."""
+    sample = [("the of and to in is that it was for " * 20, "en"), ("der die und das ist nicht ein zu von mit " * 20, "de"), ("le la les et que dans pour une est pas " * 20, "fr")] * 10
+    s = language_id.Settings(steps=30, window=32)
+    model = language_id.train(sample, s)
+    for text in ("the and of", "die katze und der hund " * 5, "é" * 40, "x"):
+        data, total, weight = text.encode().lower(), np.zeros(3), 0
+        for at in range(0, len(data), 32):
+            part = data[at : at + 32]
+            window, pooled = part.ljust(32), []
+            for k in s.widths:
+                for f in range(s.filters):
+                    sums = [sum(float(model.tables[k][j][window[i + j], f]) for j in range(k)) for i in range(32 - k + 1)]
+                    pooled.append(max(0.0, max(sums) + float(model.bias[k][f])))
+            total += len(part) * (np.array(pooled) @ model.weights + model.offset)
+            weight += len(part)
+        q = np.exp(total / weight - (total / weight).max())
+        q /= q.sum()
+        (name,), (score,) = language_id.Predictor(model).predict([text])
+        assert name == model.languages[int(q.argmax())] and abs(score - q.max()) < 1e-4
