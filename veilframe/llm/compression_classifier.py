@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import first_of, in_training, map_texts, passages
+from veilframe.llm.common import first_of, in_training, map_texts, materialize, passages
 
 
 @dataclass(frozen=True)
@@ -117,7 +117,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
 def picked(docs: DataFrame, labels: DataFrame, s: Settings, half: int) -> DataFrame:
     """(doc_id, quality, text) of the chosen training documents of a half, without held-out rows; one row per document."""
     own = labels.where(F.col("quality").isin(0, 1) & in_training(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    found = first_of(own, "quality", [F.xxhash64("doc_id"), F.col("doc_id")], F.lit(s.sample_per_class))
+    found = first_of(own, "quality", F.xxhash64("doc_id"), [F.col("doc_id")], s.sample_per_class)
     # At most 2 * sample_per_class rows of two numbers are broadcast.
     found = F.broadcast(found.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == half))
     rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(found, "doc_id")
@@ -127,8 +127,8 @@ def picked(docs: DataFrame, labels: DataFrame, s: Settings, half: int) -> DataFr
 def labelled_sample(docs: DataFrame, labels: DataFrame, s: Settings) -> list[tuple[str, int]]:
     """(passage, quality): what the dictionaries are made of."""
     parts = picked(docs, labels, s, 0).select("doc_id", "quality", F.explode(passages(F.col("text"), s.passage_chars)).alias("p")).select("doc_id", "quality", "p.at", "p.passage")
-    parts = parts.withColumn("h", F.xxhash64("doc_id", "at"))
-    rows = first_of(parts, "quality", [F.col("h"), F.col("doc_id"), F.col("at")], F.lit(s.passages_per_class)).collect()
+    parts = materialize(parts.withColumn("h", F.xxhash64("doc_id", "at")))
+    rows = first_of(parts, "quality", F.col("h"), [F.col("doc_id"), F.col("at")], s.passages_per_class).collect()
     return [(r.passage, r.quality) for r in sorted(rows, key=lambda r: (r.h, r.doc_id, r["at"]))]
 
 

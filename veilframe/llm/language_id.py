@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import first_of, in_training, map_texts, passages
+from veilframe.llm.common import first_of, in_training, map_texts, materialize, passages
 
 
 @dataclass(frozen=True)
@@ -188,12 +188,12 @@ def training_sample(docs: DataFrame, s: Settings) -> list[tuple[str, str]]:
         return []
     most = max(1, s.sample_rows // languages)
     ids = own.select("doc_id", "lang", F.xxhash64("doc_id", "lang").alias("h"))
-    ids = first_of(ids, "lang", [F.col("h"), F.col("doc_id")], F.lit(min(s.texts_per_language, most))).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
+    ids = first_of(ids, "lang", F.col("h"), [F.col("doc_id")], min(s.texts_per_language, most)).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
     # At most sample_rows pairs of an id and a language. A document of several rows gives one text.
     texts = own.join(F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).groupBy("doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     parts = texts.select("doc_id", "lang", F.explode(passages(F.col("text"), s.passage_chars)).alias("p")).select("doc_id", "lang", "p.at", "p.passage")
-    parts = parts.withColumn("h", F.xxhash64("doc_id", "at"))
-    rows = first_of(parts, "lang", [F.col("h"), F.col("doc_id"), F.col("at")], F.lit(min(s.passages_per_language, most))).collect()
+    parts = materialize(parts.withColumn("h", F.xxhash64("doc_id", "at")))
+    rows = first_of(parts, "lang", F.col("h"), [F.col("doc_id"), F.col("at")], min(s.passages_per_language, most)).collect()
     return [(r.passage, r.lang) for r in sorted(rows, key=lambda r: (r.lang, r.doc_id, r["at"]))]
 
 
