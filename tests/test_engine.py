@@ -276,3 +276,15 @@ def test_trace_context(spark):
     assert TraceContext.current() == {} and run()["userId"] == "u"
     with pytest.raises(VeilError):
         TraceContext(other="x")
+
+
+def test_form_payloads():
+    from veilframe.operators.payload import handles, read_form, rebuilt, rebuilt_form
+
+    meta = "&".join(f"sensitiveSubmitMeta%5Bphone%5D%5B{p}%5D={v}" for p, v in (("sid", "s"), ("pid", "p"), ("vid", "1"), ("hash", "h")))
+    key = "\0".join("sp1h")
+    assert handles(read_form(f"x=1&{meta}")[1]) == {"phone": tuple("sp1h")}
+    assert rebuilt_form(f"x=1&x=2&{meta}", {key: "138 1"}) == "x=1&x=2&phone=138+1" and rebuilt_form(f"phone=y&{meta}", {}) == "phone=y"
+    assert rebuilt_form("m[state]=masked&m[value]=v", {}) == "m%5Bstate%5D=masked&m%5Bvalue%5D=v" and rebuilt_form("m[state]=changed&m[value]=v&n=", {}) == "m=v&n="
+    assert rebuilt_form(None, {}) is None and rebuilt_form("", {}) == "" and read_form("a[b]=1")[1] == {}
+    assert rebuilt('{"sensitiveSubmitMeta":{"phone":{"sid":"s","pid":"p","vid":"1","hash":"h"}}}', {key: "138"}) == '{"phone":"138"}'

@@ -107,6 +107,17 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAYLOAD_SQL = f"""select id, '{{"phone":"' || phone || '"}}' as payload from {C.U} u where id between 3 and 30 and phone is not null union all select id, '{{"idCard":"' || id_card || '"}}' from {C.U} u where id between 3 and 30 and phone is not null"""
 
 
+def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = C.engine(spark, sf_dir, tables=("user_account",))
+    meta = e.lookup_meta("user_account").where("id between 3 and 30 and phone is not null")
+    parts = lambda head, c: [F.concat(F.lit(f"&{head}[{p}]="), F.col(f"{c}.{p}")) for p in ("sid", "pid", "vid", "hash")]
+    asked = F.concat(F.lit("a=1&phone=x"), *parts("sensitiveSubmitMeta[phone]", "phone"), F.lit("&idCard[state]=masked"), *parts("idCard[lookupMeta]", "idCard"), F.lit("&email[state]=changed&email[value]=new"))
+    return resolve_payloads(e, meta.select("id", asked.alias("payload")), form=True)
+
+
+FORMS_SQL = f"select id, 'a=1&phone=' || phone || '&idCard=' || id_card || '&email=new' as payload from {C.U} u where id between 3 and 30 and phone is not null"
+
+
 def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Single lookups, good and bad, as the audit hook hears of them."""
     seen: list[dict] = []
@@ -298,6 +309,7 @@ CASES: dict[str, tuple[C.Query, str | None]] = {
     "masked_with_handles": (masked_with_handles, HANDLES_SQL),
     "nested_decrypt": (nested, f"select nation, coalesce(string_agg(phone, ',' order by phone), '') as phones from {C.U} u where id < 200 group by nation"),
     "payloads": (payloads, PAYLOAD_SQL),
+    "form_payloads": (forms, FORMS_SQL),
     "audited_lookups": (audited, AUDIT_SQL),
     "preprocessed": (preprocessed, f"select id, phone from {C.U} u where phone in ('13800000003', '13800000004', '13800000005')"),
     "replayed_insert": (replayed_insert, REPLAYED_SQL),
