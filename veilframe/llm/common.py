@@ -88,7 +88,7 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES
 def first_of(df: DataFrame, group: str, h: Column, ties: list[Column], most: int) -> DataFrame:
     """The ``most`` rows of every group that are first by a 64-bit hash. Of a group of n rows only those whose hash lies in the first
     2 * most / n of its range and a little more are ranked: that many and no fewer, whatever the group's size."""
-    sizes = small(df.groupBy(F.col(group).alias("#g")).agg(F.count(F.lit(1)).alias("#n")))
+    sizes = small(materialize(df.groupBy(F.col(group).alias("#g")).agg(F.count(F.lit(1)).alias("#n"))))
     near = df.join(sizes, F.col(group) == F.col("#g")).where((h.cast("double") / 2.0**64 + 0.5) * F.col("#n") <= 2 * most + 50)
     ranked = near.withColumn("#k", F.row_number().over(Window.partitionBy(group).orderBy(h, *ties)))
     return ranked.where(F.col("#k") <= most).drop("#k", "#g", "#n")
