@@ -65,10 +65,17 @@ def mask_value(value: str | None, hint: str | None = None) -> str | None:
 
 
 # What a match of the patterns can't do without; to look for it costs little.
-_KEYED = re.compile(rf"{_KEY}[A-Za-z0-9_.-]*\s*[:=]", re.I | re.A)
+_WORDS = (*SECRET, *PHONE, *EMAIL, *ID_CARD, *BANK_CARD)
 _DIGITS = re.compile(r"[0-9]{11}")
 
 
+def _keyed(text: str) -> bool:
+    if ":" not in text and "=" not in text:
+        return False
+    low = text.lower()
+    return any(w in low for w in _WORDS)
+
+
 def scrub(text: str | None, hint: str | None = None) -> str | None:
     """Masks keyed fragments, then values that stand out; a text where nothing did is masked by its hint as one value."""
     if text is None or not text.strip():
@@ -76,7 +83,7 @@ def scrub(text: str | None, hint: str | None = None) -> str | None:
     out = text
     if '"' in out and ":" in out:
         out = JSON_VALUE.sub(lambda m: m[1] + mask_value(m[2], m[1].strip().strip('":').strip()) + m[3], out)
-    if _KEYED.search(out):
+    if _keyed(out):
         out = AUTHORIZATION.sub(lambda m: m[1] + (mask_value(m[2].strip(), "authorization") or ""), out)
         out = KEY_VALUE.sub(lambda m: m[1] + m[3] + mask_value(m[4], m[2]) + m[5], out)
     for kind, pattern in BARE:
@@ -89,8 +96,9 @@ def key_value(key: str, value: str | None) -> str:
     return f"{key}={mask_value(value, key)}"
 
 
-#: A text without any of these characters and words has nothing to scrub, which the JVM can tell.
-MAY_MATTER = rf"(?i)[0-9@]|{_KEY}"
+def may_matter(c: Column) -> Column:
+    """Whether there may be anything to scrub in a text; the JVM can tell for most that there isn't."""
+    return c.contains("@") | c.rlike("[0-9]{11}") | (c.contains(":") | c.contains("=")) & c.rlike(f"(?i){_KEY}")
 
 
 def scrub_column(c: Column, hint: str | None = None) -> Column:
@@ -101,7 +109,7 @@ def scrub_column(c: Column, hint: str | None = None) -> Column:
             yield s.map(lambda v: scrub(v, hint), na_action="ignore")
 
     udf = F.pandas_udf(run, "string", F.PandasUDFType.SCALAR_ITER)
-    return udf(c) if hint is not None else F.when(c.rlike(MAY_MATTER), udf(F.when(c.rlike(MAY_MATTER), c))).otherwise(c)
+    return udf(c) if hint is not None else F.coalesce(udf(F.when(may_matter(c), c)), c)
 
 
 def mask_column(c: Column, hint: str | None = None) -> Column:
