@@ -10,8 +10,8 @@ all pairs of a group:
 2. In every key's group each set is compared with the group's least set, and the links found are contracted to components.
 3. Groups that lie in one component are done. In the others the differences to the least set bound those among the rest, as the
    symmetric difference is a metric, and sets that can't link any more are removed.
-4. Pairs of different components that pass all bounds, the Hamming distance of finer bit sketches and the number of shared keys among
-   them, are compared, each once.
+4. Pairs of different components that pass all bounds, the Hamming distance of finer bit sketches among them, are compared, each at the
+   first key that it shares.
 
 A comparison is exact, on whole texts. Texts travel to the comparisons in blocks of bounded size per least set, so one group of
 copies, however large, is spread over many tasks. Small tables (counted first, up to ``broadcast_rows``) are broadcast, larger ones joined by
@@ -161,12 +161,15 @@ def open_groups(rows: DataFrame) -> DataFrame:
     return materialize(rows.join(several, "key"))
 
 
-def remaining_pairs(rows: DataFrame, bits: DataFrame, s: JoinSettings) -> DataFrame:
-    """Distinct pairs of different components in a key's group that pass every bound. A group is dealt over pairs of blocks of about
-    ``side`` sets or ``side_bytes`` bytes; of what a set holds only its bit sketch goes along."""
+def remaining_pairs(rows: DataFrame, sketches: DataFrame, s: JoinSettings) -> DataFrame:
+    """Pairs of different components in a key's group that pass every bound, each at the first key that both sets have. A group is
+    dealt over pairs of blocks of about ``side`` sets or ``side_bytes`` bytes. ``sketches`` has a set's keys and bit sketch, which join
+    the rows when these have been dealt, and so move once."""
+    bands = s.bands
 
-    def pairs(one_block: bool, group: list[tuple]) -> Iterator[tuple[int, int]]:
+    def pairs(key: int, one_block: bool, group: list[tuple]) -> Iterator[tuple[int, int]]:
         sid, n, u, delta, comp, part = (np.array(c, np.int64) for c in zip(*[x[:6] for x in group], strict=True))
+        keys = [x[7] for x in group]
         bits = folded([x[6] for x in group])
         far = 2 * u - delta
         share = 100 + s.percent
@@ -179,12 +182,13 @@ def remaining_pairs(rows: DataFrame, bits: DataFrame, s: JoinSettings) -> DataFr
             near = np.flatnonzero(fits)
             near = near[share * hamming(bits[i], bits[near]) <= limit[near]]
             for j in near:
-                yield int(max(sid[i], sid[j])), int(min(sid[i], sid[j]))
+                if shared(bands, int(n[i]), int(n[j]), keys[i], keys[j]) == key:
+                    yield int(max(sid[i], sid[j])), int(min(sid[i], sid[j]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(at: tuple[int, int, int], group: list[tuple]) -> Iterator[pa.RecordBatch]:
             out: list[tuple[int, int]] = []
-            for p in pairs(at[1] == at[2], group):
+            for p in pairs(at[0], at[1] == at[2], group):
                 out.append(p)
                 if len(out) == 10000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
@@ -194,7 +198,10 @@ def remaining_pairs(rows: DataFrame, bits: DataFrame, s: JoinSettings) -> DataFr
 
         at, group = None, []
         for b in batches:
-            for k, i, j, *x in zip(*(b.column(c).to_pylist() for c in range(10)), strict=True):
+            lists = b.column(10)  # keys stay numbers, not objects
+            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            own = [flat[a:z].copy() for a, z in zip(ends[:-1], ends[1:], strict=True)]
+            for k, i, j, *x in zip(*(b.column(c).to_pylist() for c in range(10)), own, strict=True):
                 if (k, i, j) != at and group:
                     yield from emit(at, group)
                     group = []
@@ -203,13 +210,13 @@ def remaining_pairs(rows: DataFrame, bits: DataFrame, s: JoinSettings) -> DataFr
         if group:
             yield from emit(at, group)
 
-    # A bit sketch takes at most a byte per element and eight in all.
-    size = F.greatest(F.ceil(F.count(F.lit(1)) / s.side), F.ceil(F.sum(F.col("n") + 8) / s.side_bytes))
+    # A set's sketches take about five bytes per element.
+    size = F.greatest(F.ceil(F.count(F.lit(1)) / s.side), F.ceil(F.sum(5 * F.col("n") + 64) / s.side_bytes))
     parts = rows.groupBy("key").agg(size.cast("int").alias("parts"))
     dealt = rows.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "sid", "n", "u", "delta", "comp", "part")
-    dealt = dealt.join(small(bits, s.broadcast_rows), "sid").select("key", "i", "j", "sid", "n", "u", "delta", "comp", "part", "bits")
-    return map_texts(dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "sid"), run, "a long, b long").distinct()
+    dealt = dealt.join(small(sketches, s.broadcast_rows), "sid").select("key", "i", "j", "sid", "n", "u", "delta", "comp", "part", "bits", "keys")
+    return map_texts(dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "sid"), run, "a long, b long")
 
 
 def unique_shingles(docs: DataFrame, sets: DataFrame, s: JoinSettings, every: int) -> DataFrame:
@@ -280,8 +287,8 @@ def find_links(docs: DataFrame, sets: DataFrame, keyed: DataFrame, s: JoinSettin
     if not lack.isEmpty():
         known = known.unionByName(compare(docs, lack, cands, s).select(F.col("a").alias("sid"), F.col("b").alias("p"), "delta"))
     rows = open_groups(prune(rows.join(known, ["sid", "p"]), F.col("delta"), 2 * F.col("u") - F.col("delta"), s))
-    bits = materialize(bit_sketches(docs, rows.select("sid").distinct().join(cands, "sid"), s))
-    rest = materialize(likely(remaining_pairs(rows, bits, s), cands, s))
+    sketches = materialize(bit_sketches(docs, rows.select("sid").distinct().join(cands, "sid"), s).join(cands.select("sid", "keys"), "sid"))
+    rest = materialize(remaining_pairs(rows, sketches, s))
     if rest.isEmpty():
         return labels
     return components(links.unionByName(links_of(compare(docs, rest, cands, s), s)))
