@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from veilframe.llm import components, ngram_join
 from veilframe.llm.parity import Bands, bit_sketch, folded, hamming
@@ -133,6 +134,36 @@ def test_components(spark):
     assert got == {x: find(x) for x in own}
 
 
+def test_a_small_graph_takes_few_jobs(spark, monkeypatch):
+    """One task contracts it; rounds of dozens of jobs would fill the driver's memory. Beyond a task's links the rounds agree."""
+    rng = random.Random(6)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(2000 - i, 1999 - i) for i in range(100)] + [(7, 7), (-5, 3000)]
+    df = spark.createDataFrame(links, "a long, b long").repartition(5)
+    spark.sparkContext.setJobGroup("small graph", "components")
+    try:
+        got = {(r.id, r.label) for r in components.components(df).collect()}
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("small graph")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < len(jobs) <= 10
+    monkeypatch.setattr(components, "EDGES_PER_TASK", 60)
+    assert {(r.id, r.label) for r in components.components(df).collect()} == got
+    named = df.select(*(F.format_string("%05d", F.col(c) + 10).alias(c) for c in "ab"))
+    assert {(int(r.id) - 10, int(r.label) - 10) for r in components.components(named).collect()} == got
+    assert components.components(df.where("a = b")).collect() == []
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(-9, 30), st.integers(-9, 30)), min_size=1, max_size=40))
+def test_least_reachable(links):
+    want = {x: x for p in links for x in p}
+    for _ in links:
+        for a, b in links:
+            want[a] = want[b] = min(want[a], want[b])
+    ids, label = components.least_reachable(*(np.array(c, np.int64) for c in zip(*links, strict=True)))
+    assert dict(zip(ids.tolist(), label.tolist(), strict=True)) == want
+
+
 def test_bit_sketches_bound_differences():
     rng = np.random.default_rng(2)
     for n in (3, 17, 64, 200, 900):
